@@ -26,5 +26,5 @@ def suffix_array_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id
     """Bytes covered by a window of bytes that also starts anywhere else are removed.
 
     A row per document: id, n_units (bytes), n_removed, n_spans (maximal removed runs), kept_sha256, and with `text`
-    kept_text (what is left as UTF-8; bytes of a character that a cut has split become U+FFFD)."""
+    kept_text (what is left as UTF-8, without the rest of a character that a cut has split)."""
     return RepeatFinder(window, max(1, min(48, window // 2)), False, False, suffix.shared_windows, text).find(docs, id_col, text_col)

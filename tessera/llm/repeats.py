@@ -83,24 +83,24 @@ class Units:
         spans = np.r_[0, np.cumsum(first)]
         at = self.bounds
         raw = memoryview(left.tobytes())
-        whole = [str(raw[x:y], "utf-8", "replace") if text else None for x, y in zip(off.tolist(), off[1:].tolist(), strict=False)]
+        whole = [str(raw[x:y], "utf-8", "ignore") if text else None for x, y in zip(off.tolist(), off[1:].tolist(), strict=False)]
         digest = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(off.tolist(), off[1:].tolist(), strict=False)]
         return list(zip(np.diff(at).tolist(), np.diff(total[at]).tolist(), np.diff(spans[at]).tolist(), digest, whole, strict=True))
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(d, text) with one row a document, and (d, id) of all rows where `d` is not the id itself."""
+    """(d, text, id) with one row a document, and (d, id) of all rows where `d` is not the id itself."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     if isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         n, ids, distinct = texts.agg(F.count("*"), F.count("id"), F.count_distinct("id")).first()
         if n == ids == distinct:
-            return texts.select(F.col("id").cast("long").alias("d"), "text"), None
+            return texts.select(F.col("id").cast("long").alias("d"), "text", "id"), None
     keyed = texts.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
     order = keyed.select("id", "h", "h2").distinct().orderBy("id", "h", "h2").rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
     kind = docs.schema[id_col].dataType
     names = table(docs.sparkSession.createDataFrame(order, T.StructType([T.StructField("i", kind), T.StructField("h", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("d", T.LongType())])))
     rows = table(keyed.join(names, [keyed["id"].eqNullSafe(names["i"]), keyed["h"] == names["h"], keyed["h2"] == names["h2"]]).select("d", "id", "text"))
-    return table(rows.groupBy("d").agg(F.first("text").alias("text"))), rows.select("d", "id")
+    return table(rows.groupBy("d").agg(F.first("text").alias("text"), F.first("id").alias("id"))), rows.select("d", "id")
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -244,6 +244,7 @@ class RepeatFinder:
     def find(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, n_units, n_removed, n_spans, kept_sha256), a row for each row of `docs`."""
         texts, names = with_keys(docs, id_col, text_col)
+        texts = texts.select("d", "text")
         rows = texts.mapInArrow(self._rows, "a long, s long, d long, p int")
         first = F.min(F.struct("d", "p")).alias("f")
         shared = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1"), first).filter("n > 1")
