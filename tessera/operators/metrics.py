@@ -1,0 +1,42 @@
+"""Retrieval metrics that keep every candidate, computed in blocks of queries against partitions of candidates."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def retrieval_ranks(queries: DataFrame, candidates: DataFrame, block: int = 2048) -> DataFrame:
+    """Rank of each query's own candidate: (id, greater, not_less), the numbers of candidates that score above it and at least as
+    high, itself left out; rank = their mean. Both sides are (id, vec); the score is the dot product over the candidate's
+    norm. Queries are a stated set, sent to all candidates in blocks of `block`; each partition of candidates returns
+    counts only."""
+    out = None
+    ids = [r[0] for r in queries.select("id").orderBy("id").collect()]
+    for at in range(0, len(ids), block):
+        some = queries.filter(F.col("id").between(ids[at], ids[min(len(ids), at + block) - 1]))
+        mine = candidates.join(some.select("id", F.col("vec").alias("q")), "id").select("id", "q", "vec").collect()
+        name = np.array([r[0] for r in mine])
+        x = np.array([r[1] for r in mine], "f8")
+        y = np.array([r[2] for r in mine], "f8")
+        own = np.einsum("ij,ij->i", x, y) / np.linalg.norm(y, axis=1)
+
+        def count(batches: Iterator[pa.RecordBatch], name=name, x=x, own=own) -> Iterator[pa.RecordBatch]:
+            above, least = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64)
+            for b in batches:
+                v = np.array(b.column(1).to_pylist(), "f8")
+                if len(v):
+                    s = x @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                    s[name[:, None] == np.asarray(b.column(0))[None, :]] = -np.inf
+                    close = np.abs(s - own[:, None]) <= 1e-12
+                    above += ((s > own[:, None]) & ~close).sum(1)
+                    least += ((s >= own[:, None]) | close).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(above), pa.array(least)], names=["id", "greater", "not_less"])
+
+        got = candidates.select("id", "vec").mapInArrow(count, "id long, greater long, not_less long").groupBy("id").agg(F.sum("greater").alias("greater"), F.sum("not_less").alias("not_less"))
+        out = got if out is None else out.unionByName(got)
+    return out
