@@ -248,7 +248,9 @@ class RepeatFinder:
         rows = texts.mapInArrow(self._rows, "a long, s long, d long, p int")
         first = F.min(F.struct("d", "p")).alias("f")
         shared = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1"), first).filter("n > 1")
-        seen = table(rows.join(shared.select("a", "s0", "s1", "f"), "a").select("a", "s", "d", "p", (F.col("s0") == F.col("s1")).alias("alone"), "f"))
+        # a table of its own, so that the join has a plain exchange on either side and a frequent anchor's rows can be split
+        shared = table(shared.select("a", "s0", "s1", "f"))
+        seen = table(rows.join(shared, "a").select("a", "s", "d", "p", (F.col("s0") == F.col("s1")).alias("alone"), "f"))
         not_first = (F.col("d") != F.col("f.d")) | (F.col("p") != F.col("f.p"))
         simple = seen.filter("alone")
         simple = (simple.filter(not_first) if self.earlier else simple).select("d", "p", F.lit(0).alias("act"))
