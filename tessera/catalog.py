@@ -1,22 +1,8 @@
-"""Registry of the queries and of the SQL that checks them."""
+"""All queries of the library and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import flows, folds, measures, relational, text, timeline  # noqa: F401  they register their queries
+from tessera.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: enter a query under `name`, with its SQL where there is one."""
-
-    def enter(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return enter
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -58,10 +58,10 @@ def k01(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("k02_insert_ignore", """
 SELECT n_nationkey AS k, n_name AS name FROM nation
-UNION ALL SELECT k, min(name) FROM (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey < 40) WHERE k NOT IN (SELECT n_nationkey FROM nation) GROUP BY k""")
+UNION ALL SELECT k, min(name) FROM (SELECT c_custkey AS k, c_name AS name FROM customer) WHERE k NOT IN (SELECT n_nationkey FROM nation) GROUP BY k""")
 def k02(spark: SparkSession, sf: str) -> DataFrame:
     base = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"))
-    new = load(spark, sf, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    new = load(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     return insert_ignore(base, new, ["k"])
 
 
@@ -292,10 +292,10 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("j09_bidirectional_substring", """
-SELECT n_nationkey, min(r_regionkey) AS first_hit FROM (SELECT n_nationkey, lower(n_name) AS a FROM nation) JOIN (SELECT p_partkey AS r_regionkey, 'nation_' || p_size AS h FROM part WHERE p_partkey < 60) ON contains(a, h) OR contains(h, a) GROUP BY 1""")
+SELECT n_nationkey, min(r_regionkey) AS first_hit FROM (SELECT n_nationkey, lower(n_name) AS a FROM nation) JOIN (SELECT p_partkey AS r_regionkey, 'nation_' || p_size AS h FROM part) ON contains(a, h) OR contains(h, a) GROUP BY 1""")
 def j09(spark: SparkSession, sf: str) -> DataFrame:
     a = load(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("a"))
-    h = load(spark, sf, "part").filter("p_partkey < 60").select(F.col("p_partkey").alias("r_regionkey"), F.concat(F.lit("nation_"), F.col("p_size").cast("string")).alias("h"))
+    h = load(spark, sf, "part").select(F.col("p_partkey").alias("r_regionkey"), F.concat(F.lit("nation_"), F.col("p_size").cast("string")).alias("h"))
     return a.join(h, F.col("a").contains(F.col("h")) | F.col("h").contains(F.col("a"))).groupBy("n_nationkey").agg(F.min("r_regionkey").alias("first_hit"))
 
 
@@ -331,10 +331,10 @@ def j18(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("j23_reconcile", """
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'add' WHEN b.k IS NULL THEN 'orphan' WHEN a.v IS DISTINCT FROM b.v THEN 'update' ELSE 'same' END AS action
-FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey < 100) a FULL JOIN (SELECT s_suppkey + 50 AS k, s_nationkey AS v FROM supplier WHERE s_suppkey < 100) b ON a.k = b.k""")
+FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer) a FULL JOIN (SELECT s_suppkey + 50 AS k, s_nationkey AS v FROM supplier) b ON a.k = b.k""")
 def j23(spark: SparkSession, sf: str) -> DataFrame:
-    a = load(spark, sf, "customer").filter("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
-    b = load(spark, sf, "supplier").filter("s_suppkey < 100").select((F.col("s_suppkey") + 50).alias("k"), F.col("s_nationkey").alias("v"))
+    a = load(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    b = load(spark, sf, "supplier").select((F.col("s_suppkey") + 50).alias("k"), F.col("s_nationkey").alias("v"))
     return reconcile(a, b, "k", "v")
 
 
@@ -348,9 +348,9 @@ def j28(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(l, "id", "left").groupBy("id").agg(F.count("one").alias("n_docs"))
 
 
-@register("a01_queue_by_unlocks", "SELECT l_partkey AS cite, count(*) AS unlocks, list(l_orderkey ORDER BY l_orderkey) AS entries FROM lineitem WHERE l_partkey < 300 GROUP BY 1")
+@register("a01_queue_by_unlocks", "SELECT l_partkey AS cite, count(*) AS unlocks, list(l_orderkey ORDER BY l_orderkey) AS entries FROM lineitem GROUP BY 1")
 def a01(spark: SparkSession, sf: str) -> DataFrame:
-    g = load(spark, sf, "lineitem").filter("l_partkey < 300").groupBy(F.col("l_partkey").alias("cite")).agg(F.count("*").alias("unlocks"), F.sort_array(F.collect_list("l_orderkey")).alias("entries"))
+    g = load(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("cite")).agg(F.count("*").alias("unlocks"), F.sort_array(F.collect_list("l_orderkey")).alias("entries"))
     return g.orderBy(F.desc("unlocks"), "cite")
 
 
@@ -473,11 +473,11 @@ def u02(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select(F.col("o_custkey").alias("id")).union(load(spark, sf, "customer").filter("c_nationkey = 4").select("c_custkey")).distinct()
 
 
-@register("u03_intersect_except", "SELECT 'both' AS kind, w FROM (SELECT unnest(string_split(p_name,' ')) AS w FROM part WHERE p_partkey % 2 = 0 INTERSECT SELECT unnest(string_split(p_name,' ')) FROM part WHERE p_size < 5) UNION ALL SELECT 'new', w FROM (SELECT lower(p_type) AS w FROM part EXCEPT SELECT unnest(string_split(p_name,' ')) FROM part)")
+@register("u03_intersect_except", "SELECT 'both' AS kind, w FROM (SELECT unnest(string_split(p_name,' ')) AS w FROM part WHERE p_size >= 5 INTERSECT SELECT unnest(string_split(p_name,' ')) FROM part WHERE p_size < 5) UNION ALL SELECT 'new', w FROM (SELECT lower(p_type) AS w FROM part EXCEPT SELECT unnest(string_split(p_name,' ')) FROM part)")
 def u03(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "part")
     words = lambda d: d.select(F.explode(F.split("p_name", " ")).alias("w"))
-    both = words(p.filter("p_partkey % 2 = 0")).intersect(words(p.filter("p_size < 5")))
+    both = words(p.filter("p_size >= 5")).intersect(words(p.filter("p_size < 5")))
     new = p.select(F.lower("p_type").alias("w")).distinct().join(words(p), "w", "left_anti")
     return both.select(F.lit("both").alias("kind"), "w").union(new.select(F.lit("new"), "w"))
 

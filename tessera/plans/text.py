@@ -19,9 +19,9 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
-@register("x01_cite_slug", f"SELECT doc_id, {SLUG.format('trim(substr(text,1,80))')} AS slug FROM documents")
+@register("x01_cite_slug", f"SELECT doc_id, {SLUG.format('trim(text)')} AS slug FROM documents")
 def x01(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", X.cite_slug(F.trim(F.substring("text", 1, 80))).alias("slug"))
+    return docs(spark, sf).select("doc_id", X.cite_slug(F.trim("text")).alias("slug"))
 
 
 @register("x02_case_slug", "SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(lower(url), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 120) AS slug FROM pages")
@@ -252,12 +252,12 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("pos", F.col("pos").cast("long"))
 
 
-@register("s12_markdown_dictionary", "SELECT item_id, 'term ' || item_id AS term, split_part(text, chr(10), 1) AS quote FROM benchmark")
+@register("s12_markdown_dictionary", "SELECT item_id, 'term ' || item_id AS term, text AS quote FROM benchmark")
 def s12(spark: SparkSession, sf: str) -> DataFrame:
     """One markdown body of many '## ' sections, cut into (term, quote)."""
     body = F.concat(F.lit("# Title\n"), F.lit("\n## term "), F.col("item_id").cast("string"), F.lit("\n> "), "text")
     section = F.element_at(F.split(body, "\n## "), 2)
-    return load(spark, sf, "benchmark").select("item_id", F.regexp_extract(section, r"^([^\n]+)", 1).alias("term"), F.regexp_extract(section, r"\n> ([^\n]*)", 1).alias("quote"))
+    return load(spark, sf, "benchmark").select("item_id", F.regexp_extract(section, r"^([^\n]+)", 1).alias("term"), F.regexp_extract(section, r"(?s)\n> (.*)$", 1).alias("quote"))
 
 
 @register("s13_journal_header", "SELECT c_custkey, c_name AS matter, c_mktsegment AS status FROM customer")
