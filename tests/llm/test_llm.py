@@ -316,3 +316,13 @@ def test_unigram_counts_equal_the_library(spark):
     df = frame(spark, [(1, None), (2, ""), (3, "hello world")])
     got = as_dict(unigram.token_counts(df, public_tokenizers.path("piece_bpe_32k.model")))
     assert got[1] == got[2] == (0, 0.0) and got[3][0] >= 2
+
+
+def test_dedups_with_joined_windows(spark, monkeypatch):
+    """Hot anchors with more repeated windows than tasks may hold."""
+    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "HELD", 0)
+    docs = corpus(2, 25)
+    df = frame(spark, docs)
+    assert as_dict(dedup.substring_dedup(df, 20).select("doc_id", "n_units", "n_removed", "kept_sha256")) == brute.substring_dedup(docs, 20)
+    assert as_dict(dedup.suffix_array_dedup(df, 200).select("doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")) == brute.byte_dedup(docs, 200)
