@@ -33,6 +33,7 @@ from tessera.llm.text import BYTE_VALUES, NOT_BLANK, Anchors, Chunk, chunks, mix
 from tessera.session import table
 
 HOT = 500
+HELD = 500_000  # repeated windows of hot anchors that tasks look up in memory; more of them are joined
 SHARD_UNITS = 1 << 18  # units of contents that an engine gets at once, whole anchors at least
 RESULT = "n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 COLUMNS = ["n_units", "n_removed", "n_spans", "kept_sha256", "kept_text"]
@@ -206,24 +207,56 @@ class RepeatFinder:
             units, bounds = self._units_of(block.column("content").to_pylist())
             group = np.cumsum(np.r_[0, a[at + 1 : to] != a[at : to - 1]])
             hit = self.engine(units, bounds, group, self.window, self.earlier)
-            span = np.searchsorted(bounds, hit, "right") - 1
-            first = block.column("first").to_numpy()
-            start = first[span] + hit - bounds[span]
-            yield pa.RecordBatch.from_arrays([block.column("d").take(pa.array(span)), pa.array(start.astype(np.int32))], names=["d", "start"])
+            yield self._found(block, hit, bounds)
             at = to
 
+    @staticmethod
+    def _found(rows: pa.RecordBatch, hit: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        """Runs of window starts (ascending units of the rows' contents) as (d, start, n)."""
+        span = np.searchsorted(bounds, hit, "right") - 1
+        head = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (span[1:] != span[:-1])]) if len(hit) else hit
+        size = np.diff(np.r_[head, len(hit)])
+        hit, span = hit[head], span[head]
+        start = rows.column("first").to_numpy()[span] + hit - bounds[span]
+        return pa.RecordBatch.from_arrays([rows.column("d").take(pa.array(span)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["d", "start", "n"])
+
+    def _looked_up(self, w1: np.ndarray, w2: np.ndarray, d: np.ndarray, start: np.ndarray):
+        """Runs of the windows of hot anchors that are among the repeated ones (hashes and first occurrences)."""
+        order = np.argsort(w1, kind="stable")
+        w1, w2, d, start = w1[order], w2[order], d[order], start[order]
+        most = int(np.unique(w1, return_counts=True)[1].max()) if len(w1) else 0
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 2000):
+                    part = b.slice(at, 2000)
+                    one, two, pos, bounds = self._window_hashes(part)
+                    span = np.searchsorted(bounds, pos, "right") - 1
+                    own_d, own_s = part.column("d").to_numpy()[span], part.column("first").to_numpy()[span] + pos - bounds[span]
+                    hit, near = np.zeros(len(pos), bool), np.searchsorted(w1, one)
+                    for k in range(most):
+                        i = np.minimum(near + k, len(w1) - 1)
+                        same = (w1[i] == one) & (w2[i] == two)
+                        hit |= same & ((d[i] != own_d) | (start[i] != own_s)) if self.earlier else same
+                    yield self._found(part, pos[hit], bounds)
+
+        return look
+
+    def _window_hashes(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes and the place of every window in the contents of some rows, and the contents' bounds."""
+        units, bounds = self._units_of(part.column("content").to_pylist())
+        u = units if self.words else BYTE_VALUES[units]
+        pos = ranges(bounds[:-1], np.diff(bounds) - self.window + 1)
+        return rolling(u, self.window)[pos].view(np.int64), rolling(mix(u), self.window)[pos].view(np.int64), pos, bounds
+
     def _windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                units, bounds = self._units_of(part.column("content").to_pylist())
-                u = units if self.words else BYTE_VALUES[units]
-                n = np.diff(bounds) - self.window + 1
-                pos = ranges(bounds[:-1], n)
-                one, two = rolling(u, self.window), rolling(mix(u), self.window)
-                start = ranges(part.column("first").to_numpy(), n)
-                d = part.column("d").take(pa.array(np.repeat(np.arange(part.num_rows), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(one[pos].view(np.int64)), pa.array(two[pos].view(np.int64)), d, pa.array(start.astype(np.int32))], names=["w1", "w2", "d", "start"])
+                one, two, pos, bounds = self._window_hashes(part)
+                span = np.searchsorted(bounds, pos, "right") - 1
+                start = part.column("first").to_numpy()[span] + pos - bounds[span]
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), part.column("d").take(pa.array(span)), pa.array(start.astype(np.int32))], names=["w1", "w2", "d", "start"])
 
     def _finish(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
@@ -234,9 +267,9 @@ class RepeatFinder:
                 np.add.at(edge, x[0], 1)
                 np.add.at(edge, x[1], -1)
                 if s:
-                    w = unpack(s) + u.bounds[i]
-                    np.add.at(edge, w, 1)
-                    np.add.at(edge, w + self.window, -1)
+                    w = unpack(s).reshape(-1, 2)
+                    np.add.at(edge, w[:, 0] + u.bounds[i], 1)
+                    np.add.at(edge, w[:, 0] + w[:, 1] - 1 + self.window + u.bounds[i], -1)
             done = u.results(np.cumsum(edge[:-1]) > 0, self.text)
             cols = [pa.array([r[k] for r in done], kind) for k, kind in enumerate(KINDS)]
             yield pa.RecordBatch.from_arrays([c.column("d"), *cols], names=["d", *COLUMNS])
@@ -256,11 +289,11 @@ class RepeatFinder:
         simple = (simple.filter(not_first) if self.earlier else simple).select("d", "p", F.lit(0).alias("act"))
         mixed = seen.filter("not alone").select("a", "s", "d", "p")
         spans = table(mixed.groupBy("a", "s").agg(F.count("*").alias("n"), first))
-        crowd = spans.groupBy("a").agg(F.count("*").alias("m"))
+        crowd = spans.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > HOT)
         more = spans.filter("n > 1").select("a", "s", "f")
         again = mixed.join(more, ["a", "s"])
         again = (again.filter(not_first) if self.earlier else again).select("d", "p", F.lit(0).alias("act"))
-        check = spans.join(crowd, "a").select("f.d", "f.p", F.when(F.col("m") > HOT, 2).otherwise(1).alias("act"))
+        check = spans.join(crowd, "a", "left").select("f.d", "f.p", F.when(F.col("m").isNotNull(), 2).otherwise(1).alias("act"))
         asked = simple.unionByName(again).unionByName(check)
         # an entry both removed and checked keeps its two acts
         asked = asked.groupBy("d").agg(F.collect_list(F.struct("p", "act")).alias("x"))
@@ -269,13 +302,19 @@ class RepeatFinder:
         read = table(read)
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         shard = read.filter("kind = 1").select("a", "d", "first", "content").repartition(parts, "a").sortWithinPartitions("a", "d", "first")
-        found = shard.mapInArrow(self._shards, "d long, start int")
-        every = table(read.filter("kind = 2").select("d", "first", "content").mapInArrow(self._windows, "w1 long, w2 long, d long, start int"))
-        twice = every.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("d", "start")).alias("f")).filter("n > 1")
-        hot = every.join(twice, ["w1", "w2"])
-        if self.earlier:
-            hot = hot.filter((F.col("d") != F.col("f.d")) | (F.col("start") != F.col("f.start")))
-        found = found.unionByName(hot.select("d", "start")).groupBy("d").agg(F.collect_list("start").alias("x")).mapInArrow(_packed_starts, "d long, starts binary")
+        found = shard.mapInArrow(self._shards, "d long, start int, n int")
+        crowded = read.filter("kind = 2").select("d", "first", "content")
+        every = crowded.mapInArrow(self._windows, "w1 long, w2 long, d long, start int")
+        twice = table(every.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("d", "start")).alias("f")).filter("n > 1").select("w1", "w2", "f.d", "f.start"))
+        if twice.count() <= HELD:
+            held = twice.toArrow()
+            hot = crowded.mapInArrow(self._looked_up(*(held.column(k).to_numpy() for k in range(4))), "d long, start int, n int")
+        else:
+            hot = every.join(twice.select("w1", "w2", F.struct("d", "start").alias("f")), ["w1", "w2"])
+            if self.earlier:
+                hot = hot.filter((F.col("d") != F.col("f.d")) | (F.col("start") != F.col("f.start")))
+            hot = hot.select("d", "start", F.lit(1).alias("n"))
+        found = found.unionByName(hot).groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("x")).mapInArrow(_packed_starts, "d long, starts binary")
         late = read.filter("kind = 3").select("d", "text", "gone").join(found, "d", "left").mapInArrow(self._finish, f"d long, {RESULT}")
         out = read.filter("kind = 0").select("d", *COLUMNS).unionByName(late)
         if names is not None:
@@ -298,5 +337,6 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = b.column("x")
-        off, v = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False).astype(np.int32)
+        off = x.offsets.to_numpy()
+        v = np.stack([x.values.field(k).to_numpy(zero_copy_only=False).astype(np.int32) for k in (0, 1)], 1)
         yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([v[i:j].tobytes() for i, j in zip(off, off[1:], strict=False)], pa.binary())], names=["d", "starts"])
