@@ -127,14 +127,23 @@ def pair_presses(rows: DataFrame) -> DataFrame:
     return rows.select("timeline", "id", "t", "key", "kind").groupBy("timeline").applyInPandas(fold, "id long, t double, duration double")
 
 
+def edit_costs(a: list, b: list) -> np.ndarray:
+    """Edit distances of all pairs of prefixes, a row at a time: the running minimum carries insertions along the row."""
+    codes = {v: k for k, v in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([codes[v] for v in s], np.int64) for s in (a, b))
+    at = np.arange(len(y) + 1)
+    cost = np.empty((len(x) + 1, len(y) + 1), np.int64)
+    cost[0] = at
+    for i, v in enumerate(x, 1):
+        row = np.r_[i, np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (y != v))]
+        cost[i] = np.minimum.accumulate(row - at) + at
+    return cost
+
+
 def edit_match(a: list, b: list, keep_replaced: bool = False) -> tuple[list[int], list[int]]:
     """Places in two sequences that an optimal edit script leaves matched (or also replaced)."""
     n, m = len(a), len(b)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j] + 1, cost[i, j - 1] + 1, cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+    cost = edit_costs(a, b)
     x, y, i, j = [], [], n, m
     while i and j:
         same = a[i - 1] == b[j - 1]
@@ -249,13 +258,7 @@ def word_error_rate(truth: Column, got: Column) -> Column:
         out = []
         for x, y in zip(t, g, strict=True):
             a, b = (x or "").split(), (y or "").split()
-            row = list(range(len(b) + 1))
-            for i, w in enumerate(a, 1):
-                new = [i]
-                for j, v in enumerate(b, 1):
-                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != v)))
-                row = new
-            out.append(row[-1] / max(1, len(a)))
+            out.append(edit_costs(a, b)[-1, -1] / max(1, len(a)))
         return pd.Series(out)
 
     return rate(truth, got)
