@@ -115,7 +115,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
     lengths = [r[0] for r in classes.select(F.length("v").alias("n")).distinct().limit(16).collect()]
     models: dict[int, Quantiser] = {}
     for n in lengths:
-        got = classes.filter(F.length("v") == n).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+        some = classes.filter(F.length("v") == n)
+        share = min(1.0, 1.1 * sample / max(1, some.count()))
+        if share < 1:
+            some = some.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        got = some.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
         models[n // 8] = Quantiser(unit_rows(np.array([np.frombuffer(r[0]) for r in got])))
 
     def model(dim: int) -> Quantiser:
