@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.operators import intervals as I
+from tessera.operators import raster
 from tessera.operators.metrics import retrieval_ranks
 from tessera.registry import register
 from tessera.tables import INTERVALS_SQL, intervals, load
@@ -225,6 +227,40 @@ def t07(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("timeline", "s").agg(F.max(F.when(F.col("s") == F.col("f"), 2).when(F.col("s") == F.col("l"), 1).otherwise(0)).alias("level"))
 
 
+RASTER_SQL = f"""
+WITH {INTERVALS_SQL}, w AS (SELECT event_id AS w_id, timeline, start - 1800 AS w_start FROM ev WHERE type = 'purchase'),
+p AS (SELECT w_id, CAST(trunc((start - w_start) * 0.02::DOUBLE) AS BIGINT) AS i, CAST(trunc((start + duration - w_start) * 0.02::DOUBLE) AS BIGINT) AS j, duration FROM w JOIN ev ON ev.timeline = w.timeline AND ev.start < w_start + 7200 AND ev.stop > w_start WHERE start + duration / 2 >= w_start AND start + duration / 2 < w_start + 7200),
+q AS (SELECT *, CAST(trunc((i + j) / 2) AS BIGINT) AS c FROM p)"""
+
+
+@register("t07_raster_modes", RASTER_SQL + """, r AS (
+SELECT 'start' AS mode, w_id, i AS k, 1.0::DOUBLE AS level FROM q UNION ALL SELECT 'middle', w_id, c, 1.0 FROM q UNION ALL SELECT 'duration_middle', w_id, c, duration / 7200 FROM q UNION ALL SELECT 'raw_duration', w_id, c, (j - i)::DOUBLE FROM q
+UNION ALL SELECT 'flat_confidence', w_id, k, 1.0 FROM q, LATERAL (SELECT unnest(range(greatest(i, 0), least(j, 144))) AS k)
+UNION ALL SELECT 'super_smooth', w_id, k, exp(-0.5::DOUBLE * (k - c) ** 2 / 9) FROM q, LATERAL (SELECT unnest(range(greatest(0, c - 9), least(144, c + 9))) AS k))
+SELECT mode, w_id, k, round(max(level), 5) AS level FROM r WHERE k >= 0 AND k < 144 GROUP BY 1, 2, 3""")
+def t07_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two hours around each purchase at one sample in 50 s, in six modes."""
+    e = intervals(spark, sf).select("timeline", "type", "event_id", "start", "stop", "duration")
+    w = e.filter("type = 'purchase'").select(F.col("event_id").alias("w_id"), "timeline", (F.col("start") - 1800).alias("w_start"), (F.col("start") - 1800 + 7200).alias("w_stop"), F.lit(7200.0).alias("w_duration"))
+    rows = I.range_join(w, e.select("timeline", "start", "stop", "duration"), I.overlaps(), 21_600.0).select("w_id", "w_start", "w_duration", "start", "duration")
+    out = None
+    for mode in ("start", "middle", "duration_middle", "raw_duration", "flat_confidence", "super_smooth"):
+        one = raster.rasterise(rows, mode, 0.02, sigma=3.0).select(F.lit(mode).alias("mode"), "w_id", "k", F.round("level", 5).alias("level"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("t07_listed_modes", RASTER_SQL.replace("AS j, duration FROM w", "AS j, duration, start, (start + duration / 2 - w_start) / 7200 AS m FROM w") + """
+SELECT w_id, list_transform(list_concat(list(m ORDER BY start, duration, m), [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE])[1:3], lambda x: round(x, 5)) AS centres FROM q GROUP BY 1""")
+def t07_listed(spark: SparkSession, sf: str) -> DataFrame:
+    e = intervals(spark, sf).select("timeline", "type", "event_id", "start", "stop", "duration")
+    w = e.filter("type = 'purchase'").select(F.col("event_id").alias("w_id"), "timeline", (F.col("start") - 1800).alias("w_start"), (F.col("start") - 1800 + 7200).alias("w_stop"), F.lit(7200.0).alias("w_duration"))
+    rows = I.range_join(w, e.select("timeline", "start", "stop", "duration"), I.overlaps(), 21_600.0)
+    middle = F.col("start") + F.col("duration") / 2
+    rows = rows.filter((middle >= F.col("w_start")) & (middle < F.col("w_start") + F.col("w_duration")))
+    return raster.listed(rows, "center_DETR", 3).select("w_id", F.transform("values", lambda x: F.round(x, 5)).alias("centres"))
+
+
 @register("t08_static_codes", "SELECT event_id, CASE event_type WHEN 'click' THEN [1.0::DOUBLE, 0.0::DOUBLE] WHEN 'view' THEN [0.0::DOUBLE, 1.0::DOUBLE] ELSE [0.0::DOUBLE, 0.0::DOUBLE] END AS code FROM events")
 def t08(spark: SparkSession, sf: str) -> DataFrame:
     pair = lambda a, b: F.array(F.lit(a), F.lit(b))
