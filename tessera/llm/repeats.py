@@ -157,7 +157,9 @@ class RepeatFinder:
             text = c.column("text")
             for i in range(len(c)):
                 if not waits[i]:
-                    cells = [0, d[i], *done[i], None, None, None, None, None]
+                    # an unchanged text need not be stored again
+                    left = done[i] if self.words or done[i][1] else (*done[i][:-1], None)
+                    cells = [0, d[i], *left, None, None, None, None, None]
                 else:
                     x, y = int(u.bounds[i]), int(u.bounds[i + 1])
                     s, e = runs(mask[x:y])
@@ -317,6 +319,8 @@ class RepeatFinder:
         found = found.unionByName(hot).groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("x")).mapInArrow(_packed_starts, "d long, starts binary")
         late = read.filter("kind = 3").select("d", "text", "gone").join(found, "d", "left").mapInArrow(self._finish, f"d long, {RESULT}")
         out = read.filter("kind = 0").select("d", *COLUMNS).unionByName(late)
+        if self.text and not self.words:
+            out = out.join(texts, "d").withColumn("kept_text", F.coalesce("kept_text", "text")).drop("text")
         if names is not None:
             out = names.join(out, "d").drop("d").withColumnRenamed("id", id_col)
         else:

@@ -326,3 +326,11 @@ def test_dedups_with_joined_windows(spark, monkeypatch):
     df = frame(spark, docs)
     assert as_dict(dedup.substring_dedup(df, 20).select("doc_id", "n_units", "n_removed", "kept_sha256")) == brute.substring_dedup(docs, 20)
     assert as_dict(dedup.suffix_array_dedup(df, 200).select("doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")) == brute.byte_dedup(docs, 200)
+
+
+def test_byte_dedup_returns_the_text_that_is_left(spark):
+    same = prose(random.Random(21), 60)
+    docs = [(1, f"é one {same} two"), (2, f"three {same} fo ñ"), (3, "untouched"), (4, None)]
+    got = as_dict(dedup.suffix_array_dedup(frame(spark, docs), 200, text=True).select("doc_id", "n_removed", "kept_text"))
+    assert got[3] == (0, "untouched") and got[4] == (0, "")
+    assert got[1][0] == got[2][0] >= len(same.encode()) and got[1][1].startswith("é one") and got[2][1].endswith("fo ñ")
