@@ -16,9 +16,11 @@ def retrieval_ranks(queries: DataFrame, candidates: DataFrame, block: int = 2048
     norm. Queries are a stated set, sent to all candidates in blocks of `block`; each partition of candidates returns
     counts only."""
     out = None
-    ids = [r[0] for r in queries.select("id").orderBy("id").collect()]
-    for at in range(0, len(ids), block):
-        some = queries.filter(F.col("id").between(ids[at], ids[min(len(ids), at + block) - 1]))
+    blocks = max(1, -(-queries.count() // block))
+    bounds = queries.approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        some = queries if low is None else queries.filter(F.col("id") > low)
+        some = some if high is None else some.filter(F.col("id") <= high)
         mine = candidates.join(some.select("id", F.col("vec").alias("q")), "id").select("id", "q", "vec").collect()
         name = np.array([r[0] for r in mine])
         x = np.array([r[1] for r in mine], "f8")
