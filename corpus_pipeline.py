@@ -44,8 +44,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if n != ids or n != distinct:
         docs = docs.dropDuplicates(["doc_id"])
         left = left.dropDuplicates(["doc_id"])
-    rest = docs.select("doc_id", "lang", "source")
-    joined = left.join(rest, left["doc_id"].eqNullSafe(rest["doc_id"]) if n != ids else left["doc_id"] == rest["doc_id"]).drop(rest["doc_id"])
+    rest = docs.select(F.col("doc_id").alias("_id"), "lang", "source")
+    same = F.col("doc_id") == F.col("_id") if n == ids else F.col("doc_id").eqNullSafe(F.col("_id"))
+    joined = left.join(rest, same)
     return joined.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
