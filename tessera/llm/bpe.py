@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.text import chunks
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 200_000
 NO_RANK = 1 << 60
 BATCH_CHARS = 1 << 20
 #: Fixed value: the pre-token pattern of byte-level BPE.

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 #: Odd multipliers of the rolling hashes and of the finaliser.
 BASE = 0x9E3779B97F4A7C15

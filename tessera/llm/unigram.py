@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 NONE = float("-inf")
