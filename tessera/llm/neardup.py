@@ -8,13 +8,15 @@ candidates by their longest common prefix: the orders are range-partitioned, so
 tasks. A region of classes with a common prefix of LEAST_DEPTH values becomes candidates pair by pair while it holds at
 most REGION classes; a larger one is split by its next value, and so on; direct neighbours with a common prefix of
 LEAST_DEPTH always are candidates. Candidates whose signatures agree far too little for the threshold (SLACK) are left out.
+Ties of a key are in another hashed order in each tree.
 
-Members of larger regions that look alike within WIDE places of an order get a second pass over those orders, once the links
-of the first are known: there, all pairs within WIDE places that lie in different components become candidates.
+Crowded classes, those of larger regions (or of regions that a partition's edge cuts), get an exact second pass over full sets,
+once the links of the first are known (`crowded_links`): a prefix-filtered join finds which blocks of classes hold a partner of
+another component for a class, and each pair of blocks counts the common shingles of all its pairs.
 
 Confirmation: of its candidates, each class first verifies the most alike one with a smaller id; the links found merge
 classes into components. All candidates that still lie in different components are then verified too. So every pair of
-candidates is either verified or already connected, and verification stays linear in the classes in dense groups.
+candidates is either verified or already connected.
 
 Recall: a pair of similarity 0.75 meets in a given tree at depth 3 with probability 0.42, in 16 trees with 0.9998 (measured
 against brute force in tests/llm).
@@ -30,16 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components, followed
 from tessera.llm.text import NOT_BLANK, chunks, mix, ranges, rolling, span_hashes, word_hashes, word_spans
 from tessera.session import table
 
-TREES, DEPTH, LEAST_DEPTH, REGION, WIDE = 16, 6, 3, 8, 96
+TREES, DEPTH, LEAST_DEPTH, REGION = 16, 6, 3, 8
 COMPARED = 64  # signature values that candidates are compared on
-SLACK, SLACK_WIDE = 0.22, 0.14  # of agreement below the threshold: 4 and 2.6 standard errors of COMPARED values
+SLACK = 0.22  # of agreement below the threshold: 4 standard errors of COMPARED values
+BLOCK_CLASSES, BLOCK_SHINGLES, COLUMNS = 512, 1 << 17, 2048  # of a block of crowded classes, about; shingles counted at a time
 _U = np.uint64
 MULTIPLIERS = mix(np.arange(1, TREES * DEPTH + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
 
@@ -86,54 +89,53 @@ def _signed(size: int, text_col: str):
     return sign
 
 
-def neighbours(batches: Iterator[pa.RecordBatch], least: float, strict: float, again: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs in sorted (tree, key) rows; some rows are carried from batch to batch.
+def neighbours(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs in sorted (tree, key) rows: all pairs of small regions and direct neighbours; some rows are carried
+    from batch to batch. Members of larger regions, and of those at either end of the rows, are named as pairs with
+    themselves."""
 
-    First pass: all pairs of small regions and direct neighbours; members of larger regions that look alike within WIDE
-    places are named as pairs with themselves. Second pass (`again`): pairs within WIDE places whose labels differ."""
-    carry = None
-    for b in batches:
-        if carry is not None:
-            b = pa.concat_batches([carry, b])
-        if not b.num_rows:
-            continue
-        carry = b.slice(max(0, b.num_rows - WIDE))
+    def pairs(b: pa.RecordBatch, head: bool, tail: bool) -> pa.RecordBatch | None:
         n = b.num_rows
         tree = b.column("tree").to_numpy()
-        mat = lambda name, w: np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint8).reshape(n, w)  # noqa: E731, B023
+        mat = lambda name, w: np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint8).reshape(n, w)
         key, sig, ids = mat("key", DEPTH), mat("sig", COMPARED), b.column("id")
-        label = b.column("label").dictionary_encode().indices.to_numpy() if again else None
         same = np.cumprod(key[1:] == key[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
         size = np.zeros((DEPTH + 1, n), np.int64)
         for d in range(LEAST_DEPTH, DEPTH + 1):
             run = np.r_[0, np.cumsum(same < d)]
             size[d] = np.bincount(run)[run]
-        dense = np.zeros(n, bool)
+        run = np.r_[0, np.cumsum(same < LEAST_DEPTH)]
+        dense = size[LEAST_DEPTH] > REGION
+        dense |= (head & (run == 0)) | (tail & (run == run[-1]))
         out_i, out_j, out_e = [], [], []
         lcp = same
-        for o in range(1, min(WIDE, n)):
+        for o in range(1, min(REGION + 1, n)):
             if o > 1:
                 lcp = np.minimum(lcp[:-1], same[o - 1 :])
             i = np.flatnonzero(lcp >= LEAST_DEPTH)
             if not len(i):
                 break
-            if again:
-                i = i[label[i] != label[i + o]]
             alike = (sig[i] == sig[i + o]).mean(1)
-            if again:
-                take = alike >= strict
-            else:
-                few = (size[lcp[i], i] <= REGION) | (o == 1)
-                take = few & (alike >= least)
-                far = ~few & (alike >= strict)
-                dense[i[far]] = dense[i[far] + o] = True
+            take = ((size[lcp[i], i] <= REGION) | (o == 1)) & (alike >= least)
             out_i.append(i[take])
             out_j.append(i[take] + o)
             out_e.append(alike[take])
         itself = np.flatnonzero(dense)
         i, j = np.concatenate([itself, *out_i]), np.concatenate([itself, *out_j])
         if len(i):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(np.concatenate([np.ones(len(itself)), *out_e]), pa.float64())], names=["a", "b", "alike"])
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(np.concatenate([np.ones(len(itself)), *out_e]), pa.float64())], names=["a", "b", "alike"])
+
+    carry, held, head = None, None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            if out := pairs(held, head, False):
+                yield out
+            carry, head = held.slice(max(0, held.num_rows - REGION - 1)), head and held.num_rows <= REGION
+        held = b if carry is None else pa.concat_batches([carry, b])
+    if held is not None and (out := pairs(held, head, True)):
+        yield out
 
 
 def _sets(size: int, text_col: str):
@@ -161,6 +163,101 @@ def _confirmed(percent: int):
     return confirm
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = b.column("n").to_numpy()
+        values = np.frombuffer(b"".join(b.column("s").to_pylist()), np.int64)
+        at = pa.array(np.repeat(np.arange(len(n)), n))
+        for x in range(0, len(values), 1 << 16):
+            part = at.slice(x, 1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(values[x : x + (1 << 16)]), *(b.column(c).take(part) for c in ("id", "label", "n", "block"))], names=["h", "id", "label", "n", "block"])
+
+
+def _placed(cuts: np.ndarray):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = np.searchsorted(cuts, b.column("place").to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "label", "n", "s")), pa.array(block, pa.int64())], names=["id", "label", "n", "s", "block"])
+
+    return place
+
+
+def _between_blocks(percent: int):
+    """Links between classes of different labels in one pair of blocks (x, y), one for each pair of labels."""
+
+    def links(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, block = t.column("id"), t.column("block").to_numpy()
+        label = t.column("label").combine_chunks().dictionary_encode()
+        label = (label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
+        left, right = (np.flatnonzero(block == t.column(c)[0].as_py()) for c in ("x", "y"))
+        cells = t.column("s").to_pylist()
+        n = np.array([len(c) // 8 for c in cells], np.int64)
+        values = np.frombuffer(b"".join(cells), _U)
+        owner = np.repeat(np.arange(len(n)), n)
+        _, word = np.unique(values, return_inverse=True)
+        spot = np.full((2, len(n)), -1)
+        spot[0, left], spot[1, right] = np.arange(len(left)), np.arange(len(right))
+        sides = []
+        for k in (0, 1):
+            mine = spot[k, owner] >= 0
+            sides.append((word[mine], spot[k, owner[mine]]))
+        size = int(word.max()) + 1
+        df = [np.bincount(w, minlength=size) for w, _ in sides]
+        both = np.flatnonzero((df[0] > 0) & (df[1] > 0))
+        column = np.full(size, -1)
+        column[both] = np.arange(len(both))
+        sides = [(c[c >= 0], r[c >= 0]) for c, r in ((column[w], r) for w, r in sides)]
+        sides = [(c[o], r[o]) for c, r in sides for o in [np.argsort(c, kind="stable")]]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for x in range(0, len(both), COLUMNS):
+            parts = []
+            for (c, r), m in zip(sides, (len(left), len(right)), strict=True):
+                lo, hi = np.searchsorted(c, [x, x + COLUMNS])
+                cell = np.zeros((m, min(COLUMNS, len(both) - x)), np.float32)
+                cell[r[lo:hi], c[lo:hi] - x] = 1
+                parts.append(cell)
+            common += parts[0] @ parts[1].T
+        common = common.astype(np.int64)
+        ok = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+        i, j = np.nonzero(ok & (label[left][:, None] != label[right][None, :]))
+        i, j = left[i], right[j]
+        _, at = np.unique(np.minimum(label[i], label[j]).astype(np.int64) * (len(n) + 1) + np.maximum(label[i], label[j]), return_index=True)
+        return pa.table({"a": ids.take(pa.array(i[at])), "b": ids.take(pa.array(j[at]))})
+
+    return links
+
+
+def crowded_links(crowded: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components (`label`) of all pairs of `crowded` (id, label, sig, s: the full set) that reach
+    the threshold: exact.
+
+    Shingles are in one order: those of a single label first, then by the classes that hold them. Two sets that reach the
+    threshold share one of the first n - ceil(n * percent / 100) + 1, and sets of different labels one that both labels hold.
+    Classes are cut into blocks by their signatures; a class goes to the pairs of blocks where it has such a partner, once
+    each, so that rows stay far fewer than pairs."""
+    kind = crowded.schema["id"].dataType.simpleString()
+    place = F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long") * F.lit(1 << 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
+    docs = table(crowded.select("id", "label", F.floor(F.length("s") / 8).cast("long").alias("n"), "s", place.alias("place")))
+    total, number = docs.agg(F.sum("n"), F.count("*")).first()
+    blocks = max(-(-(total or 0) // BLOCK_SHINGLES), -(-number // BLOCK_CLASSES), 1)
+    cuts = []
+    if blocks > 1:
+        cuts = docs.agg(F.percentile_approx("place", [k / blocks for k in range(1, blocks)], max(10_000, 20 * blocks))).first()[0]
+    docs = table(docs.mapInArrow(_placed(np.array(cuts, np.int64)), f"id {kind}, label {kind}, n long, s binary, block long"))
+    shingles = docs.mapInArrow(_exploded, f"h long, id {kind}, label {kind}, n long, block long")
+    across = F.min("label") != F.max("label")
+    shared = shingles.groupBy("h").agg(F.count("*").alias("df"), across.alias("across")).filter("across").select("h", "df")
+    one = Window.partitionBy("id")
+    ranked = shingles.join(shared, "h").select("*", F.row_number().over(one.orderBy("df", "h")).alias("k"), F.count("*").over(one).alias("m"))
+    first = table(ranked.filter(f"n - m + k <= n - ceil({percent} * n / 100) + 1").select("h", "id", "label", "block"))
+    met = first.groupBy("h").agg(F.collect_set("block").alias("blocks"), across.alias("across")).filter("across").select("h", "blocks")
+    goes = first.join(met, "h").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
+    goes = goes.select("id", F.explode("blocks").alias("other")).join(docs.select("id", "label", "s", "block"), "id")
+    goes = goes.select("id", "label", "s", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return table(goes.groupBy("x", "y").applyInArrow(_between_blocks(percent), f"a {kind}, b {kind}"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links reach), kept (id = component_id)."""
     spark = docs.sparkSession
@@ -170,14 +267,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     classes = table(signed.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "sig")).alias("m"), F.count("*").alias("copies")).select("h1", "h2", "copies", "m.id", "m.sig"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    def candidates(some: DataFrame, again: bool) -> DataFrame:
-        trees = some.select("*", F.substring("sig", 1, COMPARED).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        trees = trees.select("tree", F.expr(f"substring(sig, tree * {DEPTH} + 1, {DEPTH})").alias("key"), "id", F.col("s").alias("sig"), *(["label"] if again else []))
-        order = trees.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-        near = order.mapInArrow(lambda batches: neighbours(batches, max(0.0, percent / 100 - SLACK), max(0.0, percent / 100 - SLACK_WIDE), again), f"a {kind}, b {kind}, alike double")
-        return table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "alike").groupBy("a", "b").agg(F.max("alike").alias("alike")))
-
-    first = candidates(classes.select("id", "sig"), False)
+    trees = classes.select("id", "sig", F.substring("sig", 1, COMPARED).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trees = trees.select("tree", F.expr(f"substring(sig, tree * {DEPTH} + 1, {DEPTH})").alias("key"), F.xxhash64("id", "tree").alias("tie"), "id", F.col("s").alias("sig"))
+    order = trees.repartitionByRange(parts, "tree", "key", "tie").sortWithinPartitions("tree", "key", "tie")
+    near = order.mapInArrow(lambda batches: neighbours(batches, max(0.0, percent / 100 - SLACK)), f"a {kind}, b {kind}, alike double")
+    first = table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "alike").groupBy("a", "b").agg(F.max("alike").alias("alike")))
     pairs, dense = first.filter("a <> b"), first.filter("a = b").select(F.col("a").alias("id"))
     ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
     sets = table(texts.join(ends.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(size, "text"), f"id {kind}, s binary"))
@@ -192,9 +286,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     label = lambda c, name: found.select(F.col("id").alias(c), F.col("component").alias(name))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    labelled = table(classes.select("id", "sig").join(dense, "id", "left_semi").join(found.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
-    wide = candidates(labelled, True).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = confirmed(rest.select("a", "b").unionByName(wide).distinct())
+    labelled = classes.select("id", "sig").join(dense, "id", "left_semi").join(found.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = confirmed(rest.select("a", "b")).unionByName(crowded_links(labelled.join(sets, "id"), percent)).distinct()
     if not more.isEmpty():
         # the further links join components, so only their labels are linked anew
         joined = more.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -282,6 +282,30 @@ def test_near_duplicate_recall_at_the_threshold(spark):
     assert sum(got[2 * i + 1][1] == 2 * i for i in range(150)) >= 147
 
 
+def test_near_duplicates_in_crowded_regions(spark):
+    """Pairs just over the threshold among many documents that share a long passage and lie below it to each other."""
+    r = random.Random(15)
+    passage = prose(r, 200).split(" ")
+    docs = []
+    for i in range(450):  # 0.68 to all others
+        own = [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(46)]
+        docs.append((i, " ".join(passage + own)))
+        if i < 150:  # 0.754 to document i
+            docs.append((10**6 - i, " ".join(passage + own[:12] + [f"new{i}x{k}" for k in range(34)])))
+    assert as_dict(neardup.near_duplicates(frame(spark, docs))) == brute.near_duplicates(docs)
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 512])
+def test_links_of_crowded_classes_are_exact(spark, monkeypatch, blocks):
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", blocks)
+    r = random.Random(16)
+    sets = {i: set(range(40)) - set(r.sample(range(40), r.randint(0, 12))) | {1000 * i + k for k in range(r.randint(0, 8))} for i in range(1, 60)}
+    rows = [(i, i, bytes(r.randrange(256) for _ in range(96)), np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()]
+    links = neardup.crowded_links(spark.createDataFrame(rows, "id long, label long, sig binary, s binary"), 75)
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(min(x), max(x)) for x in links.collect()} == want and want
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, " ")], "doc_id long, text string")
     got = sorted((r[0] is None, r[0] or 0, *r[1:]) for r in neardup.near_duplicates(df).collect())
