@@ -37,24 +37,32 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select("doc_id", *COLUMNS)
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 200-byte strings that start anywhere else, too."""
-    left = dedup.suffix_array_dedup(docs, window=200, text=True).select("doc_id", F.col("kept_text").alias("text"))
+def keyed(docs: DataFrame, merge: bool) -> tuple[DataFrame, str]:
+    """The documents with a column that names each row: doc_id where it is neither null nor repeated, else a number.
+    With `merge`, rows that repeat both id and text become one before they are numbered."""
     n, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n != ids or n != distinct:
-        docs = docs.dropDuplicates(["doc_id"])
-        left = left.dropDuplicates(["doc_id"])
-    rest = docs.select(F.col("doc_id").alias("_id"), "lang", "source")
-    same = F.col("doc_id") == F.col("_id") if n == ids else F.col("doc_id").eqNullSafe(F.col("_id"))
-    joined = left.join(rest, same)
+    if n == ids == distinct:
+        return docs, "doc_id"
+    rows = docs.dropDuplicates(["doc_id", "text"]) if merge else docs
+    return table(rows.withColumn("row_key", F.monotonically_increasing_id())), "row_key"
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 200-byte strings that start anywhere else, too. Rows that repeat both id and text become
+    one; rows that only share an id, or have none, are documents of their own."""
+    docs, key = keyed(docs, merge=True)
+    left = dedup.suffix_array_dedup(docs, window=200, id_col=key, text=True).select(F.col(key).alias("_left"), F.col("kept_text").alias("text"))
+    rest = docs.select(F.col(key).alias("_rest"), "doc_id", "lang", "source")
+    joined = left.join(rest, F.col("_left") == F.col("_rest"))
     return joined.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    bad = table(found.filter("n_hit > 0").select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select("doc_id", *COLUMNS)
+    """Documents without a window of ten words of a benchmark item. Each row is judged by its own text, whatever its id."""
+    docs, key = keyed(docs, merge=False)
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, id_col=key)
+    bad = table(found.filter("n_hit > 0").select(F.col(key).alias("_bad")).distinct())
+    return docs.join(bad, docs[key] == bad["_bad"], "left_anti").select("doc_id", *COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

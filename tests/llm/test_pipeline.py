@@ -32,6 +32,16 @@ def test_stages_after_the_classifier(spark):
     assert all(last[d].decoded_sha256 == brute.sha(got[d].text.encode()) for d in last)
 
 
+def test_stages_keep_rows_that_share_an_id_or_have_none(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 10)
+    rows = [(None, "one clean text", "a"), (None, "another clean text", "b"), (None, f"x {item} y", "c"), (7, "the first of id seven", "d"), (7, "the second of id seven", "e"), (7, "the second of id seven", "e"), (8, "a text", "f")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    of = lambda df: sorted((str(r.doc_id), r.text, r.lang) for r in df.collect())
+    cut = corpus_pipeline.cut_repeats(spark, docs, SF)
+    assert cut.columns == docs.columns and of(cut) == sorted({(str(i), t, lang) for i, t, lang in rows})
+    assert of(corpus_pipeline.drop_contaminated(spark, docs, SF)) == sorted((str(i), t, lang) for i, t, lang in rows if lang != "c")
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < 200 and "n_tokens" in out.columns
