@@ -1,14 +1,17 @@
 """Language-model scores from class bigrams (Brown classes by exchange clustering).
 
 Words (ASCII letters folded) are units of the clustering: each of the FREQUENT most frequent training words is one, every other
-word belongs to the unit of its last two bytes, and the end of a text is one. Bigram counts of units over all training
+word belongs at first to the unit of its last two bytes, and the end of a text is one. Bigram counts of units over all training
 documents go to the driver (their number is fixed by UNITS); exchange clustering moves one unit at a time to the class
-that raises the class bigram likelihood most, until a pass moves none.
+that raises the class bigram likelihood most, until a pass moves none. Then each further word of the training vocabulary is
+clustered by itself: its counts of classes before and behind it, a distributed table that grows with the vocabulary, name the class
+that favours them most. Class bigrams and emissions are counted anew with every word in its own class; only words that
+training has not seen take the class of their ending.
 
 P(word | history) = P(class | class before) * P(word | class), with (n + 0.5) / (N + 0.5 C) for transitions and (count + 1) /
 (class tokens + class words + 1) for emissions, where one share a class is that of unknown words. The sum of log10(count + 1)
 over a document's words, which the base score and the emissions share, comes from the TOP words' counts in the closure
-(a fixed number) and, for all other words, from a join on the word: counts are never collected or cut off.
+(a fixed number) and, for all other words, from a join on the word, as do classes: neither is collected or cut off.
 
 Cases. Null and empty texts have one token, the end. A null id counts as training. Rows with equal id and text are one
 document. Without training tokens every count is 0. An empty table gives an empty one; extra columns are not read.
@@ -101,6 +104,66 @@ def _unit_bigrams(lexicon: Lexicon):
     return count
 
 
+def _contexts(lexicon: Lexicon, owner: np.ndarray):
+    """How often each class stands before (k) and behind (CLASSES + k) each word that is not a unit of its own."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            h, ending, first = words_of(c.data, c.off)
+            units = lexicon.units(h, ending)
+            seq, _ = sequence(units, first)
+            k = owner[seq]
+            more = np.flatnonzero(units >= FREQUENT)
+            at = more + np.searchsorted(first, more, "right") - 1
+            w, k = np.tile(h[more], 2), np.r_[np.r_[CLASSES - 1, k[:-1]][at], CLASSES + k[at + 1]]
+            order = np.lexsort((k, w))
+            w, k = w[order], k[order]
+            new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (k[1:] != k[:-1])]) if len(w) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(k[new].astype(np.int32)), pa.array(np.diff(np.r_[new, len(w)]))], names=["h", "k", "n"])
+
+    return count
+
+
+def _favoured(grid: np.ndarray):
+    """The class whose mutual information with the classes around a word is largest over all its places."""
+    row, col = (grid.sum(x, keepdims=True) + 0.5 * CLASSES for x in (1, 0))
+    shared = np.log((grid + 0.5) * (grid.sum() + 0.5 * CLASSES * CLASSES) / (row * col))
+    value = np.concatenate([shared, shared.T])[:, :-1]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = b.column("near")
+            doc = np.repeat(np.arange(b.num_rows), np.diff(near.offsets.to_numpy()))
+            k, n = (near.flatten().field(x).to_numpy() for x in (0, 1))
+            around = np.bincount(doc * (2 * CLASSES) + k, n, b.num_rows * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array((around @ value).argmax(1).astype(np.int32))], names=["h", "c"])
+
+    return assign
+
+
+def _patched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the joined words' classes into the documents' sequences of classes."""
+    for b in batches:
+        seqs = []
+        for seq, more in zip(b.column("seq").to_pylist(), b.column("more").to_pylist(), strict=True):
+            if more:
+                seq = np.frombuffer(seq, np.uint8).copy()
+                for x in more:
+                    seq[np.frombuffer(x["p"], np.int32)] = x["c"]
+                seq = seq.tobytes()
+            seqs.append(seq)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "held", "n_tokens", "n_known", "logs")), pa.array(seqs, pa.binary())], names=["d", "held", "n_tokens", "n_known", "logs", "seq"])
+
+
+def _class_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for b in batches:
+        k = np.frombuffer(b"".join(b.column("seq").to_pylist()), np.uint8).astype(np.int64)
+        total += np.bincount(np.r_[CLASSES - 1, k[:-1]] * CLASSES + k, minlength=CLASSES * CLASSES) if len(k) else 0
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["k", "n"])
+
+
 def exchange_classes(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """Class of each unit. The last unit, the end, keeps a class of its own. Starts with units dealt by their rank."""
     n = len(counts)
@@ -174,31 +237,34 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         if above > TOP:
             break
         least = step
-    top = [] if least is None else sorted(vocabulary.filter(step_of >= least).select("h", "t", "n").collect(), key=lambda r: (-r[2], r[0]))
-    top_h = np.array([r[0] for r in top], np.int64).view(_U)
-    top_n = np.array([r[2] for r in top], np.int64)
-    order = np.argsort(top_h)
-    top_sorted, top_log = top_h[order], np.log10(top_n[order] + 1.0)
-    lexicon = Lexicon(top_h[:FREQUENT])
+    frequent = vocabulary.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").collect()
+    frequent_h = np.array([r[0] for r in frequent], np.int64).view(_U)
+    lexicon = Lexicon(frequent_h)
     counts = np.zeros(UNITS * UNITS, np.int64)
     for k, n in train.mapInArrow(_unit_bigrams(lexicon), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[k] = n
     counts = counts.reshape(UNITS, UNITS)
     owner = exchange_classes(counts)
-    # tokens and words of each unit: all words by ending, the frequent ones moved to their own units
-    unit_n, unit_v = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
-    for t, n, v in vocabulary.groupBy("t").agg(F.sum("n"), F.count("*")).collect():
-        unit_n[FREQUENT + t], unit_v[FREQUENT + t] = n, v
-    total, words = int(unit_n.sum()) + ends, int(unit_v.sum()) + (ends > 0)
-    for u, (_, t, n) in enumerate(top[:FREQUENT]):
-        unit_n[FREQUENT + t] -= n
-        unit_v[FREQUENT + t] -= 1
-        unit_n[u], unit_v[u] = n, 1
-    unit_n[-1], unit_v[-1] = ends, ends > 0
-    class_n, class_v = np.bincount(owner, unit_n, CLASSES), np.bincount(owner, unit_v, CLASSES)
     grid = np.zeros((CLASSES, CLASSES))
     np.add.at(grid, (owner[:, None].repeat(UNITS, 1), owner[None, :].repeat(UNITS, 0)), counts)
-    step = np.log10((grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * CLASSES)) - np.log10(class_n + class_v + 1)[None, :]
+    # each further word takes the class that its own neighbours favour
+    near = train.mapInArrow(_contexts(lexicon, owner), "h long, k int, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
+    near = near.groupBy("h").agg(F.collect_list(F.struct("k", "n")).alias("near"))
+    classed = near.mapInArrow(_favoured(grid), "h long, c int")
+    words_c = table(vocabulary.join(classed, "h", "left").select("h", "n", "c"))
+    unit_of = {int(x): u for u, x in enumerate(frequent_h.view(np.int64))}
+    top = [] if least is None else sorted(words_c.filter(step_of >= least).collect())
+    top_sorted = np.array([r[0] for r in top], np.int64).view(_U)
+    order = np.argsort(top_sorted)
+    top_sorted, top_log = top_sorted[order], np.log10(np.array([r[1] for r in top], np.int64)[order] + 1.0)
+    top_class = np.array([owner[unit_of[r[0]]] if r[2] is None else r[2] for r in top], np.int64)[order]
+    class_v = np.bincount(owner[: len(frequent_h)], minlength=CLASSES)
+    total, words = ends, int(ends > 0)
+    for c, n, v in words_c.groupBy("c").agg(F.sum("n"), F.count("*")).collect():
+        total, words = total + n, words + v
+        if c is not None:
+            class_v[c] += v
+    class_v[-1] += ends > 0
     end_log, base = float(np.log10(ends + 1)), float(np.log10(total + words + 1))
 
     def known(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,19 +274,21 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         at = np.minimum(np.searchsorted(top_sorted, h), len(top_sorted) - 1)
         return top_sorted[at] == h, at
 
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             h, ending, first = words_of(c.data, c.off)
             seq, last = sequence(lexicon.units(h, ending), first)
             k = owner[seq]
-            moves = np.r_[0.0, np.cumsum(step[np.r_[CLASSES - 1, k[:-1]], k])]
             ok, at = known(h)
+            place = np.flatnonzero(ok)
+            k[place + np.searchsorted(first, place, "right") - 1] = top_class[at[place]]
+            k = k.astype(np.uint8)
             logs = np.r_[0.0, np.cumsum(np.where(ok, top_log[at], 0.0) if len(top_log) else np.zeros(len(h)))]
             seen = np.r_[0, np.cumsum(ok)]
             head = np.r_[0, last[:-1] + 1][: len(last)]
             yield pa.RecordBatch.from_arrays(
-                [c.column("d"), c.column("held"), pa.array(np.diff(first) + 1), pa.array(np.diff(seen[first]) + (ends > 0)), pa.array(np.diff(logs[first]) + end_log), pa.array(moves[last + 1] - moves[head])],
-                names=["d", "held", "n_tokens", "n_known", "logs", "moves"],
+                [c.column("d"), c.column("held"), pa.array(np.diff(first) + 1), pa.array(np.diff(seen[first]) + (ends > 0)), pa.array(np.diff(logs[first]) + end_log), pa.array([k[x : y + 1].tobytes() for x, y in zip(head, last, strict=True)], pa.binary())],
+                names=["d", "held", "n_tokens", "n_known", "logs", "seq"],
             )
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,17 +296,41 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             h, _, first = words_of(c.data, c.off)
             rest = np.flatnonzero(~known(h)[0])
             doc = np.searchsorted(first, rest, "right") - 1
+            place = (rest - first[doc]).astype(np.int32)
             order = np.lexsort((h[rest], doc))
-            doc, w = doc[order], h[rest[order]]
+            doc, w, place = doc[order], h[rest[order]], place[order]
             new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])]) if len(w) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), c.column("d").take(pa.array(doc[new])), pa.array(np.diff(np.r_[new, len(w)]).astype(np.int32))], names=["h", "d", "m"])
+            size = np.diff(np.r_[new, len(w)])
+            places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((np.r_[new, len(w)] * 4).astype(np.int32).tobytes()), pa.py_buffer(place.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), c.column("d").take(pa.array(doc[new])), pa.array(size.astype(np.int32)), places], names=["h", "d", "m", "p"])
+
+    kinds = "d long, held boolean, n_tokens long, n_known long, logs double, seq binary"
+    rare = words_c if least is None else words_c.filter(step_of < least)
+    if least is None or len(top) < FREQUENT:  # frequent words that the closure does not hold
+        named = docs.sparkSession.createDataFrame([(x, int(owner[u])) for x, u in unit_of.items()], "h long, own int")
+        rare = rare.join(F.broadcast(named), "h", "left").withColumn("c", F.coalesce("c", "own")).drop("own")
+    looked = texts.select("d", "text").mapInArrow(others, "h long, d long, m int, p binary").join(rare, "h")
+    looked = looked.groupBy("d").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("l"), F.collect_list(F.struct("p", "c")).alias("more"))
+    placed = flagged.select("d", "text", "held").mapInArrow(sequences, kinds).join(looked, "d", "left")
+    placed = placed.withColumn("n_known", F.col("n_known") + F.coalesce("k", F.lit(0))).withColumn("logs", F.col("logs") + F.coalesce("l", F.lit(0.0)))
+    sequenced = table(placed.select("d", "held", "n_tokens", "n_known", "logs", "seq", "more").mapInArrow(_patched, kinds))
+    final = np.zeros(CLASSES * CLASSES)
+    for k, n in sequenced.filter("not held").mapInArrow(_class_bigrams, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        final[k] = n
+    final = final.reshape(CLASSES, CLASSES)
+    step = np.log10((final + 0.5) / (final.sum(1, keepdims=True) + 0.5 * CLASSES)) - np.log10(final.sum(0) + class_v + 1)[None, :]
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = np.frombuffer(b"".join(b.column("seq").to_pylist()), np.uint8).astype(np.int64)
+            sums = np.r_[0.0, np.cumsum(step[np.r_[CLASSES - 1, k[:-1]][: len(k)], k])]
+            to = np.cumsum(b.column("n_tokens").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "held", "n_tokens", "n_known", "logs")), pa.array(sums[to] - sums[np.r_[0, to[:-1]][: len(to)]])], names=["d", "held", "n_tokens", "n_known", "logs", "moves"])
 
-    rare = (vocabulary if least is None else vocabulary.filter(step_of < least)).select("h", "n")
-    looked = texts.select("d", "text").mapInArrow(others, "h long, d long, m int").join(rare, "h").groupBy("d").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("l"))
-    scored = flagged.select("d", "text", "held").mapInArrow(steps, "d long, held boolean, n_tokens long, n_known long, logs double, moves double").join(looked, "d", "left")
-    logs = F.col("logs") + F.coalesce("l", F.lit(0.0))
+    scored = sequenced.mapInArrow(moved, "d long, held boolean, n_tokens long, n_known long, logs double, moves double")
+    logs = F.col("logs")
     out = scored.select(
-        "d", F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        "d", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(base)).alias("base_score"), (logs + F.col("moves")).alias("score"),
     )
     if names is not None:

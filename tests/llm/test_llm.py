@@ -244,6 +244,23 @@ def test_language_model(spark):
     assert lm.score_texts(df.limit(0), held).count() == 0
 
 
+def test_further_words_are_clustered_by_their_own_contexts(spark, monkeypatch):
+    """Rare words of one ending that follow different frequent words score best in the contexts that they had."""
+    monkeypatch.setattr(lm, "exchange_classes", lambda counts: np.r_[np.minimum(np.arange(lm.UNITS - 1), 20), lm.CLASSES - 1])
+    r = random.Random(17)
+    left, right = [f"l{i}ing" for i in range(30)], [f"r{i}ing" for i in range(30)]
+    docs = [(i, " ".join(x for _ in range(20) for x in (("pp", "aa", r.choice([*left, *["lo"] * 30]), "bb", "qq") if r.random() < 0.5 else ("ss", "cc", r.choice([*right, *["ro"] * 30]), "dd", "tt")))) for i in range(60)]
+    docs += [(100 + i, " ".join(r.sample([f"f{k}x" for k in range(400)], 400))) for i in range(50)]  # the frequent words
+    docs += [(1000, f"pp aa {left[0]} bb qq " * 20), (1001, f"pp aa {right[0]} bb qq " * 20)]
+    got = as_dict(lm.score_texts(frame(spark, docs), F.col("id") >= 1000))
+    known, other = (got[i][5] - got[i][4] for i in (1000, 1001))
+    assert known > other + 5
+    monkeypatch.setattr(lm, "TOP", 0)  # all classes by the join
+    joined = as_dict(lm.score_texts(frame(spark, docs), F.col("id") >= 1000))
+    assert {d: x[:4] for d, x in joined.items()} == {d: x[:4] for d, x in got.items()}
+    assert all(joined[d][4:] == pytest.approx(got[d][4:]) for d in got)
+
+
 def test_exchange_finds_planted_classes():
     r = np.random.default_rng(1)
     kind = r.integers(0, 3, 60)
