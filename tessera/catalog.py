@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import flows, folds, measures, relational, text, timeline  # noqa: F401  they register their queries
+from tessera.plans import flows, folds, measures, product, relational, text, timed, timeline  # noqa: F401  they register their queries
 from tessera.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -131,7 +131,7 @@ def error_rate(truth: Column, got: Column) -> Column:
     return F.levenshtein(truth, got) / F.greatest(F.length(truth), F.lit(1))
 
 
-def first_match(c: Column, rules: list[tuple[str, str]], rest: str) -> Column:
+def first_match(c: Column, rules: list[tuple[str, str]], rest: str | Column) -> Column:
     """Label of the first pattern that is found in the folded text."""
     low, out = F.lower(c), F
     for pattern, label in rules:
@@ -196,3 +196,38 @@ def bigram_dice(a: Column, b: Column) -> Column:
     common = F.aggregate(F.transform(F.array_distinct(x), lambda p: F.least(times(x, p), times(y, p))), F.lit(0), lambda s, n: s + n)
     total = F.size(x) + F.size(y)
     return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * common / total).otherwise(F.when(low(a) == low(b), 1.0).otherwise(0.0))
+
+
+#: Intents of a message in the order in which their patterns are tried, then the patterns that tell specialties apart.
+SHORT_MESSAGE = 80
+INTENT_RULES = [
+    (r"^(hi|hello|hey|thanks|thank you)\b", "simple"),
+    (r"^(what (does|is)|define|how do i spell|explain|what is)\b", "simple"),
+    (r"\b(summarize|summary|what (is|was) the holding|explain the (holding|case|decision))\b", "simple"),
+    (r"\b(edit|proofread|rewrite|writing|brief check|improve my|review my (brief|motion|memo|letter)|badverbs|zombie nouns|persuasive writing)\b", "writing_coach"),
+    (r"\b(deposition|depose|impeach|contradict|cross.?exam|prior testimony|inconsisten|conflict(s| in)|what did.*say|witness.*said)\b", "impeacher"),
+    (r"\b(defense theory|their argument|what will they argue|opposition map|counter.*argument|pre.?existing|sudden emergency|comparative fault|low.?impact|map.*defense|defense.*map)\b", "opposition_map"),
+    (r"\b(infringement|infringe|trademark dispute|copyright claim|patent claim|trade secret|stolen (idea|invention|code|design)|copying (my|our)|dmca|likelihood of confusion|triage|ip (issue|problem|dispute|violation))\b", "ip_triage"),
+    (r"\b(ip clause|assignment (clause|gap|provision)|work.?for.?hire|open source (clause|risk|license|exposure)|confidentiality clause|intellectual property (clause|provision)|review.*(?:ip|assignment|license)|license (grant|scope|restriction))\b", "ip_clause_review"),
+    (r"\b(dmca (notice|takedown|counter|letter)|takedown notice|counter.?notice|section 512|§\s?512|512[cg]|copyright (notice|complaint|claim))\b", "dmca_takedown"),
+    (r"\b(va (claim|rating|disability|benefit|appeal|decision)|veteran('s)? (benefit|health|disability|claim|appeal)|bva|cavc|38 (usc|cfr)|service.?connect|individual unemployability|cue (error|claim)|notice of disagreement)\b", "specialty"),
+    (r"\b(security clearance|clearance (denied|revoked|appeal|hearing)|doha|iscr|sf.?86|adjudicative guideline|foreign influence|whole person|sar access|sap access|ts.?sci|special access program)\b", "specialty"),
+    (r"\b(howey test|token (classification|security|commodity)|sec.*token|cftc.*crypto|defi (liability|regulation)|nft (security|regulation)|bitcoin (security|commodity)|digital asset (law|regulation|compliance)|blockchain (law|regulation))\b", "specialty"),
+    (r"\b(talent agenc|talent representation|7.?year rule|recording contract|360 deal|controlled composition|sync licens|master licens|right of publicity|sampling (clearance|infringement|license)|guild (minimum|agreement|residual)|sag.?aftra|wga|dga)\b", "specialty"),
+    (r"\b(ai (liability|copyright|training data|act compliance|regulation|ethics)|eu ai act|training data (copyright|infringement|fair use)|ai.?generated (copyright|ownership|authorship)|algorithmic (bias|accountability|discrimination)|llm (liability|copyright)|foundation model (compliance|regulation))\b", "specialty"),
+]
+SPECIALTY_RULES = [
+    (r"\b(va |veteran|bva|cavc|38 (usc|cfr)|service.?connect|unemployability|cue (error|claim)|notice of disagreement)\b", "veterans_health"),
+    (r"\b(security clearance|doha|iscr|sf.?86|adjudicative|foreign influence|sar access|sap access|ts.?sci)\b", "security_clearance"),
+    (r"\b(howey|token (class|secur)|sec.*token|cftc.*crypto|defi |nft (secur|reg)|digital asset|blockchain (law|reg))\b", "crypto_howey"),
+    (r"\b(talent agenc|talent rep|7.?year rule|recording contract|360 deal|controlled comp|sync licens|master licens|right of publicity|sampling |guild |sag.?aftra|wga |dga )\b", "entertainment_talent"),
+    (r"\b(ai (liabil|copyright|training|act compli|regulat|ethics)|eu ai act|training data|ai.?generat|algorithmic (bias|account|discrimin)|llm |foundation model)\b", "ai_legal_tech"),
+]
+
+
+def message_intent(message: Column, has_document: Column) -> tuple[Column, Column]:
+    """(intent, specialty) of a message: short ones are simple, then the first rule, then whether a document came with it."""
+    said = F.trim(F.coalesce(message, F.lit("")))
+    rest = F.when(has_document, "full_crew").otherwise("research_only")
+    intent = F.when(F.length(said) < SHORT_MESSAGE, "simple").otherwise(first_match(said, INTENT_RULES, rest))
+    return intent, F.when(intent == "specialty", first_match(said, SPECIALTY_RULES, SPECIALTY_RULES[-1][1]))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,24 +35,26 @@ def hash_split(uid: Column, ratios: dict[str, float], seed: float = 0.0) -> Colu
 
 
 def pack_clusters(sizes: dict[int, int], ratios: dict[str, float]) -> dict[int, str]:
-    """Whole clusters to splits: small splits get room for ceil(ratio * n), the largest the rest; each cluster, in the
-    given order, goes to the first split in ascending order of ratio that has room."""
-    total = sum(sizes.values())
-    order = sorted(ratios, key=ratios.get)
-    room = {s: int(np.ceil(ratios[s] * total)) for s in order[:-1]}
-    room[order[-1]] = total - sum(room.values())
-    out = {}
-    for cluster, n in sizes.items():
-        for s in room:
-            if room[s] >= n:
-                out[cluster] = s
-                room[s] -= n
-                break
-    if not out:
-        raise ValueError("no cluster fits a split")
-    if set(out.values()) != set(ratios):
-        raise ValueError("a split has no cluster")
-    return out
+    """Whole clusters to splits. The splits choose in turn, the smallest first, each from what is left and in the clusters'
+    order: it takes all that still fits into its share of the total, rounded up; the last one has what the others' shares leave.
+
+    Running totals find how far a split gets before a cluster is too large; from there it goes on at the next that fits."""
+    names, n = np.array(list(sizes)), np.array(list(sizes.values()), np.int64)
+    by_share = sorted(ratios, key=ratios.get)
+    shares = [int(np.ceil(ratios[s] * n.sum())) for s in by_share[:-1]]
+    shares.append(int(n.sum()) - sum(shares))
+    owner = np.full(len(n), -1)
+    for k, room in enumerate(shares):
+        free = np.flatnonzero((owner < 0) & (n <= room))
+        while len(free):
+            total = np.cumsum(n[free])
+            fits = int(np.searchsorted(total, room, "right"))
+            owner[free[:fits]] = k
+            room -= int(total[fits - 1]) if fits else 0
+            free = free[fits:][n[free[fits:]] <= room]
+    if len(set(owner[owner >= 0].tolist())) < len(ratios):
+        raise ValueError("a split gets no cluster: too few or too large ones for these ratios")
+    return {c: by_share[k] for c, k in zip(names.tolist(), owner.tolist(), strict=True) if k >= 0}
 
 
 def merge_sentences(rows: DataFrame, min_duration: float | None = None, min_words: int | None = None) -> DataFrame:
@@ -74,57 +76,40 @@ def merge_sentences(rows: DataFrame, min_duration: float | None = None, min_word
 
 
 def sentence_context(rows: DataFrame, max_context: int | None = None) -> DataFrame:
-    """Context of each word (id, timeline, start, text, sentence, sentence_char, split): the sentences before it in its timeline
-    and split, and its own sentence up to the word's end. `max_context` keeps that many blanks' worth of words and one
-    more."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        past: list[str] = []
-        last, out = None, []
-        for w in pdf.sort_values(["start", "id"]).itertuples(index=False):
-            if not (isinstance(w.sentence, str) and w.sentence):
-                if last is not None and last.split != w.split:
-                    past = []
-                out.append((w.id, ""))
-                last = None
-                continue
-            if last is not None and w.sentence != last.sentence and w.sentence_char <= last.sentence_char:
-                past.append(last.sentence)
-                if last.split != w.split:
-                    past = []
-            if w.sentence_char is None or np.isnan(w.sentence_char):
-                out.append((w.id, ""))
-                continue
-            last = w
-            context = "".join(past) + w.sentence[: int(w.sentence_char + len(w.text))]
-            if max_context is not None:
-                context = " ".join(context.split(" ")[-max_context - 1 :])
-            out.append((w.id, context))
-        return pd.DataFrame(out, columns=["id", "context"])
-
-    cols = ["id", "timeline", "start", "text", "sentence", "sentence_char", "split"]
-    return rows.select(*cols).groupBy("timeline").applyInPandas(fold, "id long, context string")
+    """Context of each word (id, timeline, start, text, sentence, sentence_char, split): the sentences that ended before it in its
+    timeline and split, and its own sentence up to the word's end. `max_context` keeps that many blanks' worth of words and one
+    more. Words without a sentence, or without a place in it, have an empty context.
+
+    Window expressions only. A sentence ends where the next placed word, with no word outside all sentences between them, is of
+    another sentence and not further on in it. What ended is forgotten where the split changes, either there or at a word
+    outside all sentences."""
+    order = Window.partitionBy("timeline").orderBy("start", "id")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.coalesce(F.col("sentence") != "", F.lit(False))
+    placed = inside & F.col("sentence_char").isNotNull() & ~F.isnan(F.col("sentence_char").cast("double"))
+    w = rows.select("id", "timeline", "start", "text", "sentence", "sentence_char", "split", inside.alias("inside"), placed.alias("placed"))
+    w = w.withColumn("stretch", F.sum((~F.col("inside")).cast("int")).over(so_far))
+    w = w.withColumn("prev", F.last(F.when(F.col("placed"), F.struct("sentence", "sentence_char", "split", "stretch")), ignorenulls=True).over(before))
+    # a word outside all sentences has begun a stretch of its own
+    near = F.col("prev.stretch") == F.col("stretch") - F.when(F.col("inside"), 0).otherwise(1)
+    ended = near & F.col("placed") & (F.col("sentence") != F.col("prev.sentence")) & (F.col("sentence_char") <= F.col("prev.sentence_char"))
+    other = near & ~F.col("prev.split").eqNullSafe(F.col("split"))
+    w = w.withColumn("ended", F.coalesce(ended, F.lit(False))).withColumn("reset", F.coalesce(other & (F.col("ended") | ~F.col("inside")), F.lit(False)))
+    w = w.withColumn("era", F.sum(F.col("reset").cast("int")).over(so_far))
+    past = F.collect_list(F.when(F.col("ended") & ~F.col("reset"), F.col("prev.sentence"))).over(Window.partitionBy("timeline", "era").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, 0))
+    own = F.substring("sentence", F.lit(1), (F.col("sentence_char") + F.length("text")).cast("int"))
+    context = F.concat(F.array_join(past, ""), own)
+    if max_context is not None:
+        context = F.substring_index(context, " ", -max_context - 1)
+    return w.select("id", F.when(F.col("placed"), context).otherwise("").alias("context"))
 
 
 def pair_presses(rows: DataFrame) -> DataFrame:
     """Key presses with the next release of the same key (timeline, id, t, key, kind): duration to the release; a press
-    followed by another press of the key has none, releases without a press are dropped."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_at: dict[str, tuple[int, float]] = {}
-        out = []
-        for r in pdf.sort_values(["t", "id"]).itertuples(index=False):
-            if r.kind == "press":
-                if r.key in open_at:
-                    out.append((*open_at[r.key], None))
-                open_at[r.key] = (r.id, r.t)
-            elif r.key in open_at:
-                i, t = open_at.pop(r.key)
-                out.append((i, t, r.t - t))
-        out += [(i, t, None) for i, t in open_at.values()]
-        return pd.DataFrame(out, columns=["id", "t", "duration"]).astype({"id": "int64", "t": "float64", "duration": "float64"})
-
-    return rows.select("timeline", "id", "t", "key", "kind").groupBy("timeline").applyInPandas(fold, "id long, t double, duration double")
+    followed by another press of the key has none, releases without a press are dropped. The next row of the key decides."""
+    order = Window.partitionBy("timeline", "key").orderBy("t", "id")
+    w = rows.select("id", "t", "kind", F.lead("kind").over(order).alias("then"), F.lead("t").over(order).alias("until"))
+    return w.filter("kind = 'press'").select(F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"), F.when(F.col("then") != "press", F.col("until") - F.col("t")).cast("double").alias("duration"))
 
 
 def edit_costs(a: list, b: list) -> np.ndarray:

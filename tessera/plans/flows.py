@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.registry import register
-from tessera.session import shared_dir, table
+from tessera.session import table, tables_dir
 from tessera.sources import files
 from tessera.streaming import flows
 from tessera.tables import INTERVALS_SQL, intervals, load
 
 
 def place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/flow-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/flow-{uuid.uuid4().hex}"
 
 
 def staged(spark: SparkSession, sf: str, parts: int = 3) -> tuple[DataFrame, str]:
@@ -68,12 +68,17 @@ def s15(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("g01_ndjson_assembly", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def g01(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of chunks for each user, every record cut into two chunks, with malformed lines in between."""
     e = load(spark, sf, "events")
-    chunk = e.select(F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit("}\n{broken")).alias("value"))
+    line = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit("}\n{broken\n"))
+    cut = (1 + F.col("event_id") % 20).cast("int")
+    halves = F.array(F.substring(line, F.lit(1), cut), F.substring(line, cut + 1, F.length(line)))
+    chunk = e.select(F.col("user_id").alias("stream"), "event_id", F.posexplode(halves).alias("half", "value"))
+    chunk = chunk.select("stream", (F.col("event_id") * 2 + F.col("half")).alias("seq"), "value")
     folder, at = place(spark), place(spark)
     chunk.write.parquet(folder)
-    flows.poll(flows.ndjson_cells(flows.source(spark, folder, chunk.schema, 4), "event_id long, k long"), f"{at}/sink", f"{at}/cp")
-    return spark.read.schema("event_id long, k long").parquet(f"{at}/sink")
+    flows.poll(flows.source(spark, folder, chunk.schema, 4), f"{at}/sink", f"{at}/cp")
+    return flows.ndjson_records(spark.read.schema(chunk.schema).parquet(f"{at}/sink"), "event_id long, k long").select("event_id", "k")
 
 
 @register("g02_rechunked_reply", "SELECT conv_id, turn, CAST(ceil(length(replace(text, chr(10), ' ')) / 80.0) AS INTEGER) AS chunks FROM conversations")
@@ -92,12 +97,25 @@ def g03(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(e.schema).parquet(f"{at}/sink").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@register("g04_isolated_sweep", "SELECT count(*) AS n FROM events")
+@register("g04_isolated_sweep", "SELECT event_id FROM events")
 def g04(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch fails in the first sweep, the others go through; the second sweep takes its rows up again."""
     _, folder = staged(spark, sf)
     at = place(spark)
-    flows.sweep(flows.source(spark, folder, load(spark, sf, "events").schema), f"{at}/cp", lambda b, k: b.select("event_id").write.parquet(f"{at}/sink/{k}"))
-    return spark.read.schema("event_id long").parquet(f"{at}/sink/*").agg(F.count("*").alias("n"))
+    stream = flows.source(spark, folder, load(spark, sf, "events").schema)
+
+    def work(down: tuple[int, ...]):
+        def write(batch: DataFrame, number: int) -> None:
+            if number in down:
+                raise ConnectionError("the sink is away")
+            batch.select("event_id").write.parquet(f"{at}/sink/{number}")
+
+        return write
+
+    failed = [len(flows.sweep(stream, f"{at}/cp", work(down))) for down in ((1,), ())]
+    if failed != [1, 0]:
+        raise RuntimeError(f"failed batches in the two sweeps: {failed}")
+    return spark.read.schema("event_id long").parquet(f"{at}/sink/*")
 
 
 @register("g05_resumable_batch", "SELECT doc_id, length(text) AS n FROM documents")

@@ -29,25 +29,54 @@ def build_session(master: str = "local[*]", app: str = "tessera", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary folder of
-    this machine takes its place.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset on a local master (tests on one machine) a temporary
+    folder of this machine takes its place; elsewhere executors would not see one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        named = spark.sparkContext.getCheckpointDir()
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where the tables of this application are; `drop_tables` removes it."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all that `table` has written in this application. DataFrames that read it cannot be used any more."""
+    delete(spark, tables_dir(spark))
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, in order; none where there is no such folder."""
+    fs, at = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the Python workers, once for each Spark context."""
     context = spark.sparkContext

@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.session import delete, folders
+
 
 def source(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -20,15 +22,27 @@ def poll(stream: DataFrame, sink: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def sweep(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> list[str]:
-    """Hand each micro-batch to `work`; a batch that fails is named in the result and does not stop the others."""
-    failed: list[str] = []
+def sweep(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], dead: str | None = None) -> list[str]:
+    """Hand each micro-batch to `work`. A batch that fails does not stop the others: it is named in the result, its rows go
+    to the folder `dead` (beside the checkpoint), and the next sweep hands them to `work` again under their old number."""
+    dead = dead or f"{checkpoint.rstrip('/')}-failed"
+    spark, failed = stream.sparkSession, []
 
-    def one(batch: DataFrame, number: int) -> None:
+    def tried(batch: DataFrame, number: int) -> bool:
         try:
             work(batch, number)
-        except Exception as e:  # noqa: BLE001  the failure is reported, the sweep goes on
+        except Exception as e:  # noqa: BLE001  the failure is reported and its rows are kept, the sweep goes on
             failed.append(f"{number}: {e}")
+            return False
+        return True
+
+    for name in folders(spark, dead):
+        if tried(spark.read.schema(stream.schema).parquet(f"{dead}/{name}"), int(name)):
+            delete(spark, f"{dead}/{name}")
+
+    def one(batch: DataFrame, number: int) -> None:
+        if not tried(batch, number):
+            batch.write.mode("overwrite").parquet(f"{dead}/{number}")
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return failed
@@ -39,10 +53,18 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
-def ndjson_cells(stream: DataFrame, schema: str) -> DataFrame:
-    """Records of newline-delimited JSON text (column value); lines that do not parse are left out."""
-    lines = stream.select(F.explode(F.split("value", "\n")).alias("line"))
-    return lines.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r")).filter(F.col("r").isNotNull() & (F.to_json("r") != "{}")).select("r.*")
+def ndjson_records(chunks: DataFrame, schema: str, key: str = "stream", seq: str = "seq", text: str = "value") -> DataFrame:
+    """(key, fields of `schema`): records of newline-delimited JSON that arrives in chunks, cut anywhere, in the order of `seq` for
+    each key. A line may run over any number of chunks; lines that do not parse are left out, the last one counts as it is.
+
+    The number of line ends before a chunk numbers its lines, so the parts of one line meet by (key, number)."""
+    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    numbered = chunks.select(key, seq, parts.alias("parts"), F.coalesce(F.sum(F.size(parts) - 1).over(before), F.lit(0)).alias("base"))
+    pieces = numbered.select(key, seq, "base", F.posexplode("parts").alias("k", "piece")).filter("piece <> ''")
+    lines = pieces.groupBy(key, (F.col("base") + F.col("k")).alias("line")).agg(F.sort_array(F.collect_list(F.struct(seq, "piece"))).alias("all"))
+    record = F.from_json(F.array_join(F.transform("all", lambda x: x["piece"]), ""), schema, {"mode": "PERMISSIVE"})
+    return lines.select(key, record.alias("r")).filter(F.col("r").isNotNull() & (F.to_json("r") != "{}")).select(key, "r.*")
 
 
 def event_windows(stream: DataFrame, late: str, size: str, slide: str | None = None) -> DataFrame:

@@ -89,6 +89,38 @@ def test_cluster_packing(clusters, ratios, want):
     assert [got[c] for c in clusters] == want
 
 
+@pytest.mark.parametrize(
+    ("other_timeline", "split", "want"),
+    [(False, "split", "b b b. c c c. d d d"), (True, "split", "d d d"), (False, None, "a a a. b b b. c c c. d d d")],
+)
+def test_sentence_context(spark, other_timeline, split, want):
+    # fixed values: words and contexts that must come out
+    w = []
+    for k, word in enumerate("abcd"):
+        for i in range(3):
+            side = ("test" if word == "a" else "train") if split else None
+            w.append((3 * k + i, "2" if word == "d" and other_timeline else "1", float(3 * k + i), word, f"{word} {word} {word}. ", 2.0 * i, side))
+    df = spark.createDataFrame(w, "id long, timeline string, start double, text string, sentence string, sentence_char double, split string")
+    got = dict(rows(L.sentence_context(df)))
+    assert got[11] == want and got[0] == "a"
+    assert dict(rows(L.sentence_context(df, 3)))[11] == " ".join(want.split(" ")[-4:])
+
+
+def test_sentence_context_of_words_outside_sentences(spark):
+    cols = "id long, timeline string, start double, text string, sentence string, sentence_char double, split string"
+    w = [(0, "t", 0.0, "a", "a b. ", 0.0, "x"), (1, "t", 1.0, "b", "a b. ", 2.0, "x"), (2, "t", 2.0, "c", "c. ", 0.0, "x"), (3, "t", 3.0, "?", None, None, "x"), (4, "t", 4.0, "?", "", 0.0, "y"),
+         (5, "t", 5.0, "d", "d. ", 0.0, "y"), (6, "t", 6.0, "?", "d. ", None, "y"), (7, "t", 7.0, "e", "e. ", 0.0, "y"), (8, "t", 8.0, "?", None, None, "z"), (9, "t", 9.0, "f", "f. ", 0.0, "z")]
+    got = dict(rows(L.sentence_context(spark.createDataFrame(w, cols))))
+    assert got == {0: "a", 1: "a b", 2: "a b. c", 3: "", 4: "", 5: "a b. d", 6: "", 7: "a b. d. e", 8: "", 9: "f"}
+    assert L.sentence_context(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_press_and_release(spark):
+    e = [(1, 1, 0.0, "k", "press"), (1, 2, 1.0, "k", "release"), (1, 3, 2.0, "k", "release"), (1, 4, 3.0, "k", "press"), (1, 5, 4.0, "j", "release"), (1, 6, 5.0, "k", "press"), (1, 7, 6.0, "j", "press")]
+    df = spark.createDataFrame(e, "timeline long, id long, t double, key string, kind string")
+    assert rows(L.pair_presses(df).na.fill(-1)) == [(1, 0.0, 1.0), (4, 3.0, -1.0), (6, 5.0, -1.0), (7, 6.0, -1.0)]
+
+
 def test_merge_sentences(spark):
     s = spark.createDataFrame([(1, 1, 1.0, "a b"), (2, 1, 5.0, "c"), (3, 1, 9.0, "d e"), (4, 2, 10.0, "f"), (5, 2, 20.0, "g")], "id long, timeline long, start double, text string")
     size = lambda df: sorted(r[2] for r in df.groupBy("timeline", "grp").count().collect())
@@ -156,6 +188,46 @@ def test_poll_sees_each_row_once(spark, tmp_path):
     assert rows(spark.read.parquet(sink)) == [(i,) for i in range(8)]
 
 
+def test_sweep_keeps_the_rows_of_a_failed_batch(spark, tmp_path):
+    src, cp, seen = f"{tmp_path}/src", f"{tmp_path}/cp", []
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 2).coalesce(1).write.mode("append").parquet(src)
+
+    def work(fails):
+        def take(batch, number):
+            ids = [r[0] for r in batch.collect()]
+            if any(fails(i) for i in ids):
+                raise ValueError("no")
+            seen.extend(ids)
+
+        return take
+
+    stream = flows.source(spark, src, spark.range(1).schema)
+    assert len(flows.sweep(stream, cp, work(lambda i: i >= 10))) == 2 and sorted(seen) == [0, 1]
+    assert len(flows.sweep(stream, cp, work(lambda i: i >= 20))) == 1 and sorted(seen) == [0, 1, 10, 11]
+    assert flows.sweep(stream, cp, work(lambda i: False)) == [] and sorted(seen) == [0, 1, 10, 11, 20, 21]
+    assert flows.sweep(stream, cp, work(lambda i: True)) == [] and len(seen) == 6
+
+
+def test_ndjson_records_over_several_chunks(spark):
+    c = [("a", 1, '{"k"'), ("a", 2, ": 1"), ("a", 3, '}\n{"k": 2}\n\nbroken\n{"k"'), ("a", 4, None), ("a", 5, ': 3}\n'), ("b", 1, '{"k": 4}'), ("b", 2, "")]
+    df = spark.createDataFrame(c, "stream string, seq int, value string").repartition(3)
+    assert rows(flows.ndjson_records(df, "k long")) == [("a", 1), ("a", 2), ("a", 3), ("b", 4)]
+
+
+def test_shared_folder_of_a_cluster_must_be_named(spark):
+    from types import SimpleNamespace
+
+    from tessera import session
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(away)
+    df = session.table(spark.range(3))
+    assert df.count() == 3 and session.folders(spark, session.tables_dir(spark))
+
+
 def test_study_cache_and_pushdown(spark, events, tmp_path):
     some = files.load_study(spark, events, f"{tmp_path}/c", "n_events > 1")
     assert some.count() == 5
