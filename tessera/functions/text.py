@@ -231,3 +231,24 @@ def message_intent(message: Column, has_document: Column) -> tuple[Column, Colum
     rest = F.when(has_document, "full_crew").otherwise("research_only")
     intent = F.when(F.length(said) < SHORT_MESSAGE, "simple").otherwise(first_match(said, INTENT_RULES, rest))
     return intent, F.when(intent == "specialty", first_match(said, SPECIALTY_RULES, SPECIALTY_RULES[-1][1]))
+
+
+#: What a quote and a cite look like in a dictionary's entries, and how many cites are kept.
+DICTIONARY_QUOTE = '"([^"]{20,500})"'
+DICTIONARY_CITE = r"\b(\d+\s+(?:U\.S\.|S\.\s*Ct\.|F\.\d*[a-z]*|F\.\s*Supp\.?\s*\d*|L\.\s*Ed\.?\s*\d*)\s+\d+)"
+DICTIONARY_CITES = 5
+
+
+def dictionary_entries(markdown: Column) -> Column:
+    """array<struct(term, quote, cites)> of the '## ' sections of a text that have both a quote and a cite: the heading, the first
+    quote, and the first cites."""
+
+    def entry(block: Column) -> Column:
+        lines = F.split(F.trim(block), "\n", 2)
+        body = F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
+        quote = F.regexp_extract(body, DICTIONARY_QUOTE, 1)
+        cites = F.slice(F.regexp_extract_all(body, F.lit(DICTIONARY_CITE), F.lit(1)), 1, DICTIONARY_CITES)
+        return F.struct(F.trim(F.get(lines, F.lit(0))).alias("term"), quote.alias("quote"), cites.alias("cites"))
+
+    blocks = F.split(markdown, "\n## ")
+    return F.filter(F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), entry), lambda e: (e["quote"] != "") & (F.size(e["cites"]) > 0))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import connected
+
 
 def hash_split(uid: Column, ratios: dict[str, float], seed: float = 0.0) -> Column:
     """Split of an id by a generator seeded with its SHA-256 plus `seed`. A float seed and an integer seed of equal value
@@ -157,26 +159,33 @@ def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key, "ord", "item").groupBy(key).cogroup(right.select(key, "ord", "item").groupBy(key)).applyInPandas(one, f"{key} {kind}, a long, b long")
 
 
-def approximate_match(a: np.ndarray, b: np.ndarray, tolerance: float, missing: int) -> tuple[list[int], list[int]]:
-    """Places of two ascending sequences whose successive differences agree within `tolerance`, the longest such
-    matching in which at most `missing` neighbours of either side are passed over between two matches; the earliest of equals."""
-    best: dict[tuple[int, int], tuple[int, tuple[int, int] | None]] = {}
-    for i in range(len(a)):
-        for j in range(len(b)):
-            got: tuple[int, tuple[int, int] | None] = (1, None)
-            for p in range(max(0, i - missing - 1), i):
-                for q in range(max(0, j - missing - 1), j):
-                    if abs((a[i] - a[p]) - (b[j] - b[q])) <= tolerance and best[p, q][0] + 1 > got[0]:
-                        got = (best[p, q][0] + 1, (p, q))
-            best[i, j] = got
-    if not best:
+def approximate_match(a: np.ndarray, b: np.ndarray, tolerance: float, missing: int, relative: float = 0.003) -> tuple[list[int], list[int]]:
+    """Places of two ascending sequences whose successive differences agree within `tolerance`, or within `relative` of the lesser
+    one: the longest such matching in which at most `missing` neighbours of either side are passed over between two matches; of
+    equally long ones that with the least sum of disagreements, then the earliest.
+
+    A row of places of `b` at a time: all ways to go on from the rows before are compared at once."""
+    a, b = np.asarray(a, "f8"), np.asarray(b, "f8")
+    n, m = len(a), len(b)
+    if not n or not m:
         return [], []
-    at: tuple[int, int] | None = max(best, key=lambda k: (best[k][0], -k[0], -k[1]))
-    x, y = [], []
-    while at is not None:
-        x.append(at[0])
-        y.append(at[1])
-        at = best[at][1]
+    length, error, back = np.ones((n, m), np.int64), np.zeros((n, m)), np.full((n, m), -1)
+    for i in range(n):
+        for di in range(1, min(missing + 1, i) + 1):
+            for dj in range(1, min(missing + 1, m - 1) + 1):
+                da, db = a[i] - a[i - di], b[dj:] - b[:-dj]
+                gap = np.abs(da - db)
+                size, total = length[i - di, :-dj] + 1, error[i - di, :-dj] + gap
+                ok = gap <= np.maximum(tolerance, relative * np.minimum(abs(da), np.abs(db)))
+                ok &= (size > length[i, dj:]) | ((size == length[i, dj:]) & (total < error[i, dj:]))
+                at = np.flatnonzero(ok)
+                length[i, dj + at], error[i, dj + at], back[i, dj + at] = size[at], total[at], (i - di) * m + at
+    best = np.where(length == length.max(), -error, -np.inf)
+    at, x, y = int(best.argmax()), [], []
+    while at >= 0:
+        x.append(at // m)
+        y.append(at % m)
+        at = int(back[at // m, at % m])
     return x[::-1], y[::-1]
 
 
@@ -251,13 +260,13 @@ def word_error_rate(truth: Column, got: Column) -> Column:
 
 def words_in_text(words: list[str], text: str) -> list[int]:
     """Place of each word in the text, in order, -1 where it is not found behind the one before: first as whole words,
-    then by the place that most of its letters vote for."""
+    then by the place that most of its letters vote for, of equal ones one where a word begins, then the first."""
     out, at = [], 0
     for w in words:
         place = text.find(w, at)
         if place < 0:
             votes = Counter(p - k for k, c in enumerate(w) for p in range(at, min(len(text), at + 4 * len(w))) if text[p] == c)
-            best = min((k for k in votes if k >= at), key=lambda k: (-votes[k], k), default=-1)
+            best = min((k for k in votes if k >= at), key=lambda k: (-votes[k], k > 0 and not text[k - 1].isspace(), k), default=-1)
             place = best if best >= 0 and votes[best] * 2 > len(w) else -1
         out.append(place)
         if place >= 0:
@@ -328,18 +337,88 @@ def unique_anchor(text: Column, before: Column, find: Column, after: Column) ->
 
 
 def ridge_by_step(rows: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """Linear decoding (step, id, x: array, y) for each time step: fit on even ids, correlation on odd ones."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, even = np.array(pdf.x.tolist(), "f8"), pdf.y.to_numpy("f8"), pdf.id.to_numpy() % 2 == 0
-        mean, level = x[even].mean(0), y[even].mean()
-        a = x[even] - mean
-        w = np.linalg.solve(a.T @ a + penalty * np.eye(x.shape[1]), a.T @ (y[even] - level))
-        p = (x[~even] - mean) @ w + level
-        r = np.corrcoef(p, y[~even])[0, 1] if len(p) > 1 and p.std() and y[~even].std() else np.nan
-        return pd.DataFrame({"step": [pdf.step.iloc[0]], "n": [len(pdf)], "r": [r]})
-
-    return rows.groupBy("step").applyInPandas(fit, "step long, n long, r double")
+    """Linear decoding (step, id, x: array, y) for each time step: fit on even ids, correlation on odd ones.
+
+    A step's fit needs sums of products only, which are aggregated like any sums; each task solves the small systems of the steps
+    that it has."""
+    even = rows.filter("id % 2 = 0").withColumn("z", F.concat(F.array(F.lit(1.0)), "x", F.array("y")))
+    cells = even.select("step", F.posexplode("z").alias("i", "u"), "z").select("step", "i", "u", F.posexplode("z").alias("j", "v")).filter("i <= j")
+    sums = cells.groupBy("step", "i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("s")).groupBy("step").agg(F.collect_list(F.struct("i", "j", "s")).alias("m"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for m in b.m:
+                k = max(c["j"] for c in m) + 1
+                a = np.zeros((k, k))
+                for c in m:
+                    a[c["i"], c["j"]] = a[c["j"], c["i"]] = c["s"]
+                n, mean = a[0, 0], a[0] / a[0, 0]
+                spread = a - n * np.outer(mean, mean)
+                w = np.linalg.solve(spread[1:-1, 1:-1] + penalty * np.eye(k - 2), spread[1:-1, -1])
+                out.append([mean[-1] - mean[1:-1] @ w, *w])
+            yield pd.DataFrame({"step": b.step, "w": out})
+
+    fits = sums.mapInPandas(solve, "step long, w array<double>")
+    guess = F.aggregate(F.zip_with("x", F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: a * b), F.element_at("w", 1), lambda a, b: a + b)
+    odd = rows.filter("id % 2 <> 0").join(fits, "step").select("step", "y", guess.alias("p"))
+    spread = F.stddev_pop("p") * F.stddev_pop("y")
+    scores = odd.groupBy("step").agg(F.when((F.count("*") > 1) & (spread > 0), F.covar_pop("p", "y") / F.when(spread > 0, spread)).otherwise(F.lit(float("nan"))).alias("r"))
+    return rows.groupBy("step").agg(F.count("*").alias("n")).join(scores, "step", "left").select("step", "n", F.coalesce("r", F.lit(float("nan"))).alias("r"))
+
+
+def cosine_pairs(x: DataFrame, least: float) -> DataFrame:
+    """(a, b, c) with a > b: pairs of unit vectors (d, w, x) whose cosine c is at least `least`.
+
+    Words are taken from the rarest on. Where the rest of a vector is shorter than `least`, two vectors that only share words of that
+    rest cannot reach it, so one of them meets the other by a word before it: frequent words make no pairs."""
+    often = x.groupBy("w").agg(F.count("*").alias("n"))
+    rest = F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("d").orderBy("n", "w").rowsBetween(0, Window.unboundedFollowing))
+    head = x.join(often, "w").select("d", "w", "x", rest.alias("rest")).filter(F.col("rest") >= (least - 1e-9) ** 2)
+    met = head.select(F.col("d").alias("p"), "w").join(x.select(F.col("d").alias("q"), "w"), "w").filter("p <> q")
+    met = met.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+    one, two = (x.select(F.col("d").alias(n), "w", F.col("x").alias(f"x{n}")) for n in "ab")
+    pairs = met.join(one, "a").join(two, ["b", "w"]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("c"))
+    return pairs.filter(F.col("c") >= least - 1e-12)
+
+
+def linkage(ids: list, close: dict[tuple, float], most: float) -> list[int]:
+    """Cluster of each id, by the place of its first member: the two clusters whose furthest members are closest are joined while
+    that is below `most`; the first of equals. Pairs that `close` (distances) does not hold are too far apart."""
+    n = len(ids)
+    at = {v: k for k, v in enumerate(ids)}
+    far = np.full((n, n), np.inf)
+    for (a, b), d in close.items():
+        far[at[a], at[b]] = far[at[b], at[a]] = d
+    owner = np.arange(n)
+    while n > 1:
+        i, j = divmod(int(far.argmin()), n)
+        if not far[i, j] < most:
+            break
+        i, j = min(i, j), max(i, j)
+        far[i] = far[:, i] = np.maximum(far[i], far[j])
+        far[i, i] = np.inf
+        far[j] = far[:, j] = np.inf
+        owner[owner == j] = i
+    return owner.tolist()
+
+
+def complete_linkage(pairs: DataFrame, most: float) -> DataFrame:
+    """(id, cluster) of every id in `pairs` (a, b, c: cosine): complete linkage by 1 - c, joined below `most`; a cluster is named by
+    its least id.
+
+    Members of a cluster are all closer than `most`, so a cluster lies inside one component of the pairs that are; components are
+    clustered apart from each other, each by one task."""
+    near = pairs.withColumn("distance", 1 - F.col("c")).filter(F.col("distance") < most).select("a", "b", "distance")
+    kind = pairs.schema["a"].dataType.simpleString()
+    found = connected(near.select("a", "b"))
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted({*pdf.a, *pdf.b})
+        owner = linkage(ids, dict(zip(zip(pdf.a, pdf.b, strict=True), pdf.distance, strict=True)), most)
+        return pd.DataFrame({"id": ids, "cluster": [ids[k] for k in owner]})
+
+    return near.join(found.select(F.col("id").alias("a"), "component"), "a").groupBy("component").applyInPandas(lambda pdf: cluster(pdf), f"id {kind}, cluster {kind}")
 
 
 def monte_carlo(spark, trials: int, seed: int, steps: int = 16) -> DataFrame:

@@ -70,3 +70,18 @@ def chunk_events(events: DataFrame, longest: float, shortest: float) -> DataFram
 def order_in_timeline() -> Window:
     """The order of validated events: start ascending, longer first, id last."""
     return Window.partitionBy("timeline").orderBy("start", F.desc("duration"), "event_id")
+
+
+def best_offsets(songs: DataFrame, samples: DataFrame, bins: int, tolerance: float) -> DataFrame:
+    """(song, sample, score, offset): how many tokens of a sample (sample, token, freq, t) lie at one offset in time from tokens of a song
+    (song, freq, t), at the best of the offsets between two tokens whose frequencies are at most `bins` apart; the least of
+    equally good offsets. Offsets closer than `tolerance` are one: they meet in cells of that width and the neighbouring ones.
+
+    Samples are a stated query set; only the distinct candidate offsets meet the distinct offsets of tokens."""
+    pairs = samples.select("sample", "token", F.col("freq").alias("f"), F.col("t").alias("u")).join(songs)
+    pairs = pairs.select("song", "sample", "token", (F.col("t") - F.col("u")).alias("at"), (F.abs(F.col("freq") - F.col("f")) <= bins).alias("near"))
+    cell = F.floor(F.col("at") / tolerance)
+    wanted = pairs.filter("near").select("song", "sample", F.col("at").alias("offset"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+    met = wanted.join(pairs.select("song", "sample", "token", "at", cell.alias("cell")), ["song", "sample", "cell"]).filter(F.abs(F.col("at") - F.col("offset")) < tolerance)
+    score = met.groupBy("song", "sample", "offset").agg(F.count_distinct("token").alias("score"))
+    return score.groupBy("song", "sample").agg(F.max_by(F.struct("score", "offset"), F.struct("score", -F.col("offset"))).alias("m")).select("song", "sample", "m.score", "m.offset")

@@ -59,3 +59,27 @@ def ground_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     passage = F.when(first > 0, F.substring(F.substring("t", first, F.greatest(F.length("q") + 40, F.lit(80))), 1, 300)).otherwise("")
     status = F.when(F.col("score") >= 80, "verified").when(F.col("score") >= 55, "fuzzy").otherwise("not_found")
     return scored.select("quote_id", "doc", "score", passage.alias("passage"), status.alias("status"))
+
+
+def verbatim_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(quote_id, doc_id) where a document's text (doc_id, text) holds a quote (quote_id, text), blanks and quotation marks folded.
+
+    The words between a quote's first and last one stand as whole words in whatever holds it, so the one of them in the fewest
+    documents names the candidates, and only those are compared. Quotes of one or two words have no such word; they are
+    compared with the documents' distinct words, or pairs of neighbours, instead."""
+    q = quotes.select("quote_id", X.verbatim_norm(F.col("text")).alias("q")).filter("q is not null").withColumn("words", F.split("q", " "))
+    d = docs.select("doc_id", X.verbatim_norm(F.col("text")).alias("t")).filter("t is not null")
+    inner = q.filter(F.size("words") > 2).select("quote_id", F.explode(F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))).alias("w"))
+    index = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).join(inner.select("w").distinct(), "w")
+    often = index.groupBy("w").agg(F.count("*").alias("n"))
+    rarest = inner.join(often, "w", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("m")).select("quote_id", "m.w")
+    met = rarest.join(index, "w").select("quote_id", "doc_id").join(q.select("quote_id", "q"), "quote_id").join(d, "doc_id")
+    hits = met.filter(F.contains("t", "q")).select("quote_id", "doc_id")
+    short = q.filter(F.size("words") <= 2).select("quote_id", "q", F.size("words").alias("k"))
+    if short.isEmpty():
+        return hits
+    parts = F.split("t", " ")
+    pairs = F.expr("transform(sequence(1, greatest(size(split(t, ' ')) - 1, 1)), i -> concat_ws(' ', slice(split(t, ' '), i, 2)))")
+    runs = d.select("doc_id", F.explode(F.array_distinct(parts)).alias("run"), F.lit(1).alias("k")).unionByName(d.select("doc_id", F.explode(F.array_distinct(pairs)).alias("run"), F.lit(2).alias("k")))
+    known = runs.select("run", "k").distinct().join(short, "k").filter(F.contains("run", "q")).select("run", "k", "quote_id")
+    return hits.unionByName(runs.join(known, ["run", "k"]).select("quote_id", "doc_id").distinct())

@@ -91,12 +91,12 @@ def fill_gaps(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str
     return out
 
 
-def tree_closure(folders: DataFrame, root: int, most: int = 1000) -> DataFrame:
+def tree_closure(folders: DataFrame, root: int) -> DataFrame:
     """All ids below `root` in (id, parent), itself included; cycles end as known ids are not followed again."""
     spark = folders.sparkSession
     known = spark.createDataFrame([(root,)], f"id {folders.schema['id'].dataType.simpleString()}")
     edge = known
-    for _ in range(most):
+    while True:
         edge = table(folders.join(edge.withColumnRenamed("id", "parent"), "parent").select("id").distinct().join(known, "id", "left_anti"))
         if edge.isEmpty():
             break

@@ -15,6 +15,21 @@ from tessera.registry import register
 from tessera.tables import INTERVALS_SQL, intervals, load
 
 
+MOST_CLUSTERS = 1_000_000
+
+
+def split_clusters(rows: DataFrame, id_col: str, ratios: dict[str, float]) -> DataFrame:
+    """(id, split): whole clusters, in the order of their least ids, packed to splits. The driver folds the clusters' sizes, at
+    most MOST_CLUSTERS of them."""
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.min(id_col).alias("o")).orderBy("o").limit(MOST_CLUSTERS + 1).collect()
+    if len(sizes) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters: raise the distance that joins them, or use the hash split")
+    packed = L.pack_clusters({r["cluster"]: r["n"] for r in sizes}, ratios)
+    kind = rows.schema["cluster"].dataType.simpleString()
+    splits = rows.sparkSession.createDataFrame(list(packed.items()), f"cluster {kind}, split string")
+    return rows.join(splits, "cluster", "left").select(id_col, F.coalesce("split", F.lit("undefined")).alias("split"))
+
+
 @register("d01_hash_split")
 def d01(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", L.hash_split(F.col("doc_id"), {"train": 0.8, "val": 0.1, "test": 0.1}).alias("split"))
@@ -32,9 +47,16 @@ def d02(spark: SparkSession, sf: str) -> DataFrame:
 def d04(spark: SparkSession, sf: str) -> DataFrame:
     """Labels as clusters, whole clusters packed to splits; the driver folds the cluster counts, one row a cluster."""
     e = load(spark, sf, "embeddings").select("vec_id", "label")
-    sizes = {r[0]: r[1] for r in e.groupBy("label").agg(F.count("*"), F.min("vec_id").alias("o")).orderBy("o").select("label", "count(1)").collect()}
-    splits = spark.createDataFrame(list(L.pack_clusters(sizes, {"train": 0.6, "val": 0.25, "test": 0.15}).items()), "label int, split string")
-    return e.join(splits, "label", "left").select("vec_id", F.coalesce("split", F.lit("undefined")).alias("split"))
+    return split_clusters(e.withColumnRenamed("label", "cluster"), "vec_id", {"train": 0.6, "val": 0.25, "test": 0.15})
+
+
+@register("d04_similarity_split")
+def d04_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Items clustered by complete linkage of their word weights, whole clusters packed to splits."""
+    items = load(spark, sf, "benchmark").select("item_id", "text")
+    found = L.complete_linkage(L.cosine_pairs(tfidf(items, "item_id"), 0.2), 0.8).withColumnRenamed("id", "item_id")
+    clustered = items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("cluster", "item_id").alias("cluster"))
+    return split_clusters(clustered, "item_id", {"train": 0.7, "val": 0.15, "test": 0.15}).join(clustered, "item_id")
 
 
 @register("d05_similarity_components", TFIDF_SQL + """, lk AS (SELECT a.d AS a, b.d AS b FROM x a JOIN x b ON a.w = b.w AND a.d <> b.d JOIN l la ON la.d = a.d JOIN l lb ON lb.d = b.d GROUP BY 1, 2 HAVING sum(a.x * b.x / la.l / lb.l) > 0.3),
@@ -43,13 +65,17 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
     """Components of items whose word weights have a cosine over 0.3, through the words that they share."""
     items = load(spark, sf, "benchmark").select("item_id", "text")
     x = tfidf(items, "item_id")
-    a, b = (x.select(F.col("d").alias(n), "w", F.col("x").alias(f"x{n}")) for n in "ab")
-    near = a.join(b, "w").filter("a > b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("c")).filter("c > 0.3")
+    near = L.cosine_pairs(x, 0.3).filter("c > 0.3")
     found = connected(near.select("a", "b")).withColumnRenamed("id", "item_id")
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("component", "item_id").alias("component"))
 
 
-@register("w04_sentence_context")
+@register("w04_sentence_context", r"""
+WITH c AS (SELECT conv_id, turn, text, CASE WHEN text <> lead(text) OVER (PARTITION BY conv_id ORDER BY turn) THEN text ELSE '' END AS done FROM conversations),
+p AS (SELECT *, coalesce(string_agg(done, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS past, string_split(text, ' ') AS words FROM c),
+w AS (SELECT conv_id, turn, text, past, unnest(range(len(words))) AS k, words FROM p),
+x AS (SELECT conv_id, turn, k, past || substr(text, 1, length(array_to_string(words[1:k + 1], ' '))) AS context FROM w)
+SELECT conv_id * 100000000 + turn * 100000 + k AS id, array_to_string(list_reverse(list_reverse(string_split(context, ' '))[1:21]), ' ') AS context FROM x""")
 def w04(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of every turn in its sentence, with the context before it."""
     c = load(spark, sf, "conversations")
@@ -61,10 +87,13 @@ def w04(spark: SparkSession, sf: str) -> DataFrame:
     return L.sentence_context(w, 20)
 
 
-@register("w07_press_release_pairs")
+@register("w07_press_release_pairs", f"""
+WITH {INTERVALS_SQL}, n AS (SELECT event_id, start, type, lead(type) OVER w AS then_, lead(start) OVER w AS until FROM ev WHERE type IN ('click', 'view') WINDOW w AS (PARTITION BY timeline, event_id % 3 ORDER BY start, event_id))
+SELECT event_id AS id, start AS t, CASE WHEN then_ <> 'click' THEN round(until - start, 6) END AS duration FROM n WHERE type = 'click'""")
 def w07(spark: SparkSession, sf: str) -> DataFrame:
     e = intervals(spark, sf).filter("type in ('click', 'view')")
-    return L.pair_presses(e.select("timeline", F.col("event_id").alias("id"), F.col("start").alias("t"), (F.col("event_id") % 3).cast("string").alias("key"), F.when(F.col("type") == "click", "press").otherwise("release").alias("kind")))
+    pairs = L.pair_presses(e.select("timeline", F.col("event_id").alias("id"), F.col("start").alias("t"), (F.col("event_id") % 3).cast("string").alias("key"), F.when(F.col("type") == "click", "press").otherwise("release").alias("kind")))
+    return pairs.withColumn("duration", F.round("duration", 6))
 
 
 @register("w09_merge_sentences")
@@ -101,7 +130,9 @@ def j21(spark: SparkSession, sf: str) -> DataFrame:
     return side("user", "a").join(side("assistant", "b"), ["conv_id", "k"])
 
 
-@register("j22_words_in_text")
+@register("j22_words_in_text", r"""
+WITH p AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(lower(text), '\s+$', ''), '\s*\S+') AS parts FROM conversations)
+SELECT conv_id, turn, list_transform(range(1, len(parts) + 1), lambda i: CAST(length(array_to_string(parts[1:i], '')) - length(trim(parts[i], chr(32) || chr(9) || chr(10) || chr(13))) AS INTEGER)) AS places FROM p""")
 def j22(spark: SparkSession, sf: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def places(t: pd.Series) -> pd.Series:
@@ -117,9 +148,15 @@ def x08(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").select("conv_id", "turn", L.unique_anchor(F.col("text"), at(1), at(2), at(3)).alias("place"))
 
 
-@register("x09_minimal_diff")
+@register("x09_minimal_diff", """
+WITH t AS (SELECT p_partkey, p_name AS x, CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || lower(p_type) WHEN 1 THEN substr(p_name, 1, 3) || lower(p_type) || substr(p_name, 6) ELSE substr(p_name, 2) END AS y FROM part),
+n AS (SELECT *, list_max(list_filter(range(least(length(x), length(y)) + 1), lambda i: left(x, i) = left(y, i))) AS n FROM t),
+k AS (SELECT *, list_max(list_filter(range(least(length(x), length(y)) - n + 1), lambda i: right(x, i) = right(y, i))) AS k FROM n)
+SELECT p_partkey, n AS prefix, substr(x, n + 1, length(x) - k - n) AS removed, substr(y, n + 1, length(y) - k - n) AS added FROM k""")
 def x09(spark: SparkSession, sf: str) -> DataFrame:
-    d = L.common_ends_diff(F.col("p_name"), F.concat_ws(" ", "p_name", F.lower("p_type")))
+    n, k = F.col("p_name"), F.col("p_partkey") % 3
+    new = F.when(k == 0, F.concat_ws(" ", n, F.lower("p_type"))).when(k == 1, F.concat(F.substring(n, 1, 3), F.lower("p_type"), F.substring(n, 6, 1000))).otherwise(F.substring(n, 2, 1000))
+    d = L.common_ends_diff(n, new)
     return load(spark, sf, "part").select("p_partkey", d.alias("d")).select("p_partkey", "d.prefix", "d.removed", "d.added")
 
 
@@ -138,11 +175,10 @@ def x19(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("x21_fuzzy_grounding")
 def x21(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation's second turn grounded in its third: the better of two fuzzy ratios, then tiers."""
-    c = load(spark, sf, "conversations")
-    q = c.filter("turn = 1").select("conv_id", X.quote_norm(F.col("text")).alias("q"))
-    b = c.filter("turn = 2").select("conv_id", X.quote_norm(F.col("text")).alias("b"))
-    s = q.join(b, "conv_id").select("conv_id", L.grounding_score(F.col("q"), F.col("b")).alias("score"))
+    """Each turn grounded in the next one: the better of two fuzzy ratios, then tiers."""
+    c = load(spark, sf, "conversations").select("conv_id", "turn", X.quote_norm(F.col("text")).alias("q"))
+    c = c.withColumn("b", F.lead("q").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
+    s = c.select("conv_id", "turn", L.grounding_score(F.col("q"), F.col("b")).alias("score"))
     return s.withColumn("status", F.when(F.col("score") >= 80, "verified").when(F.col("score") >= 55, "fuzzy").otherwise("not_found"))
 
 
@@ -162,9 +198,9 @@ def x22(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("x24_word_error_rate")
 def x24w(spark: SparkSession, sf: str) -> DataFrame:
-    c = load(spark, sf, "conversations").filter("turn < 2")
-    a, b = (c.filter(F.col("turn") == k).select("conv_id", F.split("text", " ").alias(n)) for k, n in ((0, "a"), (1, "b")))
-    return a.join(b, "conv_id").select("conv_id", L.word_error_rate(F.array_join("a", " "), F.array_join("b", " ")).alias("wer"))
+    """Each turn against the next one."""
+    c = load(spark, sf, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("then"))
+    return c.filter("then is not null").select("conv_id", "turn", L.word_error_rate(F.col("text"), F.col("then")).alias("wer"))
 
 
 @register("x25_alignment_classes")

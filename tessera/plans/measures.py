@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.operators import intervals as I
 from tessera.operators import raster
 from tessera.operators.metrics import retrieval_ranks
+from tessera.operators.order import average_ranks
 from tessera.registry import register
 from tessera.tables import INTERVALS_SQL, intervals, load
 
@@ -88,10 +89,9 @@ def m08(spark: SparkSession, sf: str) -> DataFrame:
 WITH g AS (SELECT user_id, avg(value) AS x, count(*)::DOUBLE AS y FROM events GROUP BY 1), k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM g)
 SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM k""")
 def m09(spark: SparkSession, sf: str) -> DataFrame:
-    """Over per-user aggregates: as many rows as users, so the rank windows hold those only."""
+    """Over per-user aggregates; ranks from ranges of values."""
     g = load(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("x"), F.count("*").cast("double").alias("y"))
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-    k = g.select("x", "y", rank("x").alias("rx"), rank("y").alias("ry"))
+    k = average_ranks(average_ranks(g.select("x", "y"), "x", "rx"), "y", "ry")
     return k.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"))
 
 
@@ -99,8 +99,7 @@ def m09(spark: SparkSession, sf: str) -> DataFrame:
 WITH d AS (SELECT avg(value) - 9.5::DOUBLE AS d FROM events GROUP BY user_id), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0) SELECT round(sum(CASE WHEN d > 0 THEN r ELSE 0 END), 3) AS w_plus, round(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)), 3) AS w FROM k""")
 def m10(spark: SparkSession, sf: str) -> DataFrame:
     d = load(spark, sf, "events").groupBy("user_id").agg((F.avg("value") - F.lit(9.5)).alias("d")).filter("d <> 0").withColumn("a", F.abs("d"))
-    r = F.rank().over(Window.orderBy("a")) + (F.count("*").over(Window.partitionBy("a")) - 1) / 2
-    k = d.select("d", r.alias("r"))
+    k = average_ranks(d, "a", "r")
     plus, minus = F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0))
     return k.agg(F.round(plus, 3).alias("w_plus"), F.round(F.least(plus, minus), 3).alias("w"))
 

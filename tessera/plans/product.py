@@ -79,11 +79,11 @@ BARE = "lower(regexp_replace({}, '[^a-zA-Z0-9]', '', 'g'))"
 
 
 @register("x39_quotes_in_blocks", f"""
-WITH b AS (SELECT *, coalesce(sum(length(bare)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM (SELECT conv_id, turn, {BARE.format('text')} AS bare FROM conversations)),
+WITH b AS (SELECT *, coalesce(sum(length(bare)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM (SELECT conv_id, turn, {BARE.format('text')} AS bare FROM conversations)),
 w AS (SELECT conv_id, string_agg(bare, '' ORDER BY turn) AS whole FROM b GROUP BY 1),
 q AS (SELECT conv_id, unnest([{BARE.format('substr(text, 15, 90)')}, {BARE.format('right(text, 40)')}, 'notthere']) AS seg, unnest([0, 1, 2]) AS k FROM conversations WHERE turn = 1),
 s AS (SELECT q.conv_id, k, strpos(whole, substr(seg, 1, 30)) - 1 AS since, length(seg) AS n FROM q JOIN w ON w.conv_id = q.conv_id WHERE seg <> '' AND strpos(whole, substr(seg, 1, 30)) > 0),
-h AS (SELECT s.conv_id, b.turn, k, greatest(0, since - at) AS since, least(length(bare), since + n - at) AS until FROM s JOIN b ON b.conv_id = s.conv_id AND since < at + length(bare) AND since + n > at)
+h AS (SELECT s.conv_id, b.turn, k, greatest(0, since - ahead) AS since, least(length(bare), since + n - ahead) AS until FROM s JOIN b ON b.conv_id = s.conv_id AND since < ahead + length(bare) AND since + n > ahead)
 SELECT conv_id AS doc, turn AS block, CAST(max_by(since, k) AS BIGINT) AS since, CAST(max_by(until, k) AS BIGINT) AS until FROM h GROUP BY 1, 2""")
 def x39_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """A quote of three segments for each conversation: two of its second turn, and one that is nowhere."""
@@ -100,3 +100,33 @@ def x21_grounded(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark text against all documents: the passage that grounds it best, with score, tier and recorded text."""
     q = load(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return quotes.ground_quotes(q, load(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
+#: A title for each filing rule, and one that fits none.
+TITLES = ("Motion to Dismiss count two", "Brief on Summary Judgment", "Third Motion in Limine", "Amended Petition", "Answer of the tenant", "Final Order", "Case Management report", "Stip. on dates", "Notice of Appeal", "Subpoena to a bank", "Deposition of a clerk", "Discovery letter", "Trial brief", "Hearing set", "Consent Decree", "Settlement terms", "A letter")
+
+
+@register("p15_filing_titles", f"""
+WITH t AS (SELECT o_orderkey, lower(o_orderpriority || ' ' || [{', '.join(f"'{x}'" for x in TITLES)}][1 + o_orderkey % {len(TITLES)}]) AS title FROM orders) SELECT o_orderkey, {rule_sql('title', X.FILING_RULES, "'Other'")} AS kind FROM t""")
+def p15_titles(spark: SparkSession, sf: str) -> DataFrame:
+    title = F.concat_ws(" ", "o_orderpriority", F.element_at(F.array(*map(F.lit, TITLES)), (1 + F.col("o_orderkey") % len(TITLES)).cast("int")))
+    return load(spark, sf, "orders").select("o_orderkey", X.first_match(title, X.FILING_RULES, "Other").alias("kind"))
+
+
+_CITE = X.DICTIONARY_CITE
+_SEE = ("see 410 U.S. 113 and 12 F.3d 45, then 93 S. Ct. 705", "no cite", "as in 5 F. Supp. 2d 99", "1 U.S. 1, 2 U.S. 2, 3 U.S. 3, 4 U.S. 4, 5 U.S. 5, 6 U.S. 6")
+
+
+@register("s12_dictionary_cites", f"""
+WITH e AS (SELECT item_id, unnest([0, 1, 2, 3]) AS k, replace(text, chr(34), ' ') AS t FROM benchmark), b AS (SELECT item_id, k, 'holds ' || chr(34) || substr(t, 1 + k * 3, CASE k WHEN 3 THEN 12 * (item_id % 3) ELSE 150 END) || chr(34) || ' ' || [{', '.join(f"'{x}'" for x in _SEE)}][1 + (item_id + k) % 4] AS body FROM e)
+SELECT item_id, 'term ' || k AS term, regexp_extract(body, '{X.DICTIONARY_QUOTE}', 1) AS quote, regexp_extract_all(body, '{_CITE}', 1)[1:5] AS cites FROM b WHERE regexp_extract(body, '{X.DICTIONARY_QUOTE}', 1) <> '' AND len(regexp_extract_all(body, '{_CITE}', 1)) > 0""")
+def s12_cites(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary of four sections for each item; some lack a cite or have too short a quote."""
+    t = F.replace("text", F.lit('"'), F.lit(" "))
+    body = F.lit("# Dictionary")
+    for k in range(4):
+        see = F.element_at(F.array(*map(F.lit, _SEE)), (1 + (F.col("item_id") + k) % 4).cast("int"))
+        quote = F.substring(t, F.lit(1 + 3 * k), F.lit(150) if k < 3 else (12 * (F.col("item_id") % 3)).cast("int"))
+        body = F.concat(body, F.lit(f"\n## term {k}\nholds \""), quote, F.lit('" '), see)
+    entries = load(spark, sf, "benchmark").select("item_id", F.explode(X.dictionary_entries(body)).alias("e"))
+    return entries.select("item_id", "e.term", "e.quote", "e.cites")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.quotes import verbatim_hits
 from tessera.registry import register
 from tessera.tables import load
 
@@ -49,17 +50,9 @@ def x05(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("x06_verbatim_quotes", "SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY 1")
 def x06(spark: SparkSession, sf: str) -> DataFrame:
-    """The quotes are a bounded query set (checked), so they go to the documents as one array; no pair that does not match
-    leaves the scan."""
-    quotes = load(spark, sf, "benchmark").select("item_id", X.verbatim_norm(F.col("text")).alias("q"))
-    size = quotes.agg(F.coalesce(F.sum(F.length("q")), F.lit(0))).first()[0]
-    d = docs(spark, sf).select("doc_id", X.verbatim_norm(F.col("text")).alias("t"))
-    if size <= 8_000_000:
-        held = quotes.agg(F.collect_list(F.struct("item_id", "q")).alias("qs"))
-        hits = d.join(F.broadcast(held)).select(F.explode(F.filter("qs", lambda x: F.contains("t", x.q))).alias("x")).select("x.item_id")
-    else:
-        hits = d.join(quotes, F.contains("t", "q")).select("item_id")
-    return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    quotes = load(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    hits = verbatim_hits(quotes, docs(spark, sf).select("doc_id", "text"))
+    return hits.groupBy(F.col("quote_id").alias("item_id")).agg(F.count("*").alias("n_docs"))
 
 
 @register("x07_find_in_text", "SELECT doc_id, CAST((length(t) - length(replace(t, 'the', ''))) / 3 AS INTEGER) AS n FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents)")

@@ -116,7 +116,8 @@ def w08_sentences(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "conversations")
     base = c.select(F.col("conv_id").alias("timeline"), F.col("turn").cast("double").alias("start"), F.col("role").alias("text"))
     s = base.select("timeline", F.lit("Sentence").alias("type"), "start", F.lit(1.0).alias("duration"), "text")
-    w = base.select("timeline", F.lit("Word").alias("type"), (F.col("start") + F.explode(F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75))))).alias("start"), F.lit(0.2).alias("duration"), "text")
+    w = base.withColumn("more", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75)))))
+    w = w.select("timeline", F.lit("Word").alias("type"), (F.col("start") + F.col("more")).alias("start"), F.lit(0.2).alias("duration"), "text")
     k = c.select("conv_id").distinct().count() * 3 // 2
     return timed.sentence_splits(s.unionByName(w), k).filter("type = 'Word'").select("timeline", "start", "split")
 

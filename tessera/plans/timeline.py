@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals as I
+from tessera.operators.order import nth_row, totals_before
 from tessera.registry import register
+from tessera.session import table
 from tessera.tables import INTERVALS_SQL, intervals, load
 
 CELL = 21_600.0  # seconds of a join cell, a few times the usual duration
@@ -68,6 +70,18 @@ def j24(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("song", F.floor((F.col("t") - F.col("t2")) / 3600).alias("off")).agg(F.count("*").alias("score")).groupBy("song").agg(F.max("score").alias("score"))
 
 
+@register("j24_offset_coincidence", """
+WITH a AS (SELECT user_id AS song, event_id AS d, floor(value) AS freq, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'click'), b AS (SELECT user_id AS sample, event_id AS s, floor(value) AS freq, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id % 100 = 0 AND event_type = 'view'),
+p AS (SELECT song, sample, s, a.t - b.t AS off, abs(a.freq - b.freq) <= 5 AS near FROM a, b), c AS (SELECT DISTINCT song, sample, off FROM p WHERE near)
+SELECT song, sample, CAST(max(score) AS BIGINT) AS score FROM (SELECT c.song, c.sample, c.off, count(DISTINCT p.s) AS score FROM c JOIN p ON p.song = c.song AND p.sample = c.sample AND abs(p.off - c.off) < 600 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def j24_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """The samples of the stated query set (user ids divisible by 100) against all songs, offsets equal within ten minutes."""
+    e = load(spark, sf, "events").select("user_id", "event_id", "event_type", F.floor("value").alias("freq"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"))
+    songs = e.filter("event_type = 'click'").select(F.col("user_id").alias("song"), "freq", "t")
+    samples = e.filter("user_id % 100 = 0 and event_type = 'view'").select(F.col("user_id").alias("sample"), F.col("event_id").alias("token"), "freq", "t")
+    return I.best_offsets(songs, samples, 5, 600.0).select("song", "sample", "score")
+
+
 @register("j29_zip_by_ordinal", """
 WITH x AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, user_id, event_id FROM events WHERE event_type = 'click'), y AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, user_id, event_id FROM events WHERE event_type = 'view')
 SELECT x.user_id, x.k, x.event_id AS a, y.event_id AS b FROM x JOIN y ON x.user_id = y.user_id AND x.k = y.k WHERE x.event_id % 10 <> 0 AND y.event_id % 10 <> 0""")
@@ -232,11 +246,11 @@ def a19(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("a20_best_median_worst", "WITH g AS (SELECT user_id, avg(value) AS m FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY m DESC, user_id) AS k, count(*) OVER () AS n FROM g) SELECT max(CASE WHEN k = 1 THEN user_id END) AS best, max(CASE WHEN k = (n + 1) // 2 THEN user_id END) AS median, max(CASE WHEN k = n THEN user_id END) AS worst FROM r")
 def a20(spark: SparkSession, sf: str) -> DataFrame:
-    """Group means are pre-aggregated; their sorted list is as long as there are groups."""
-    g = load(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
-    order = g.agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "user_id"))).alias("o"))
-    at = lambda k: F.element_at("o", k)["user_id"]
-    return order.select(at(F.lit(1)).alias("best"), at(F.floor((F.size("o") + 1) / 2).cast("int")).alias("median"), at(F.size("o")).alias("worst"))
+    """Group means, kept as a table; the ends are extremes, and the median one is looked for between approximate quantiles."""
+    g = table(load(spark, sf, "events").groupBy("user_id").agg((-F.avg("value")).alias("m")).filter("m is not null"))
+    ends = g.agg(F.min_by("user_id", F.struct("m", "user_id")).alias("best"), F.max_by("user_id", F.struct("m", "user_id")).alias("worst"), F.count("*").alias("n")).first()
+    middle = nth_row(g, "m", "user_id", (ends["n"] + 1) // 2).select(F.col("user_id").alias("median"))
+    return middle.select(F.lit(ends["best"]).alias("best"), "median", F.lit(ends["worst"]).alias("worst"))
 
 
 @register("a21_group_mean_min_count", "SELECT user_id, event_type, round(avg(value), 6) AS m FROM events GROUP BY 1, 2 HAVING count(*) >= 3")
@@ -257,12 +271,9 @@ def a23(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("a24_group_ordinals", "SELECT conv_id, turn, dense_rank() OVER (ORDER BY conv_id) - 1 AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations")
 def a24(spark: SparkSession, sf: str) -> DataFrame:
-    """Group numbers from the sorted distinct groups, range-partitioned: counts of each part give the offsets."""
+    """Group numbers from the distinct groups, cut into ranges: the ranges' counts give the offsets."""
     c = load(spark, sf, "conversations").select("conv_id", "turn")
-    ids = c.select("conv_id").distinct().withColumn("part", F.floor(F.col("conv_id") / 256))
-    sizes = ids.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    number = ids.join(before, "part").select("conv_id", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("conv_id")) - 1).alias("g"))
+    number = totals_before(c.select("conv_id").distinct(), "conv_id").withColumnRenamed("before", "g")
     return c.join(number, "conv_id").select("conv_id", "turn", "g", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("k"))
 
 

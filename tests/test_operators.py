@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import folds as L
 from tessera.operators import intervals as I
+from tessera.operators import order as O
+from tessera.operators import quotes as Q
 from tessera.operators import relational as R
+from tessera.operators import timed
 from tessera.operators.graph import connected
 from tessera.sources import files
 from tessera.streaming import flows
@@ -129,7 +132,13 @@ def test_merge_sentences(spark):
 
 
 def test_approximate_match():
+    # fixed values: places that two lists of times share
     assert L.approximate_match(np.array([1100, 2300, 3600.0]), np.array([0, 1110, 3620, 6500.0]), 10, 1) == ([0, 2], [1, 2])
+    assert L.approximate_match(np.array([1000, 5000, 7000, 7011.0]), np.array([1000, 5000, 7010.0]), 10, 1) == ([0, 1, 3], [0, 1, 2])
+    assert L.approximate_match(np.array([]), np.array([1.0]), 10, 1) == ([], [])
+    # one in a thousand off: the relative tolerance lets it pass, the absolute one alone does not
+    a, b = np.array([0.0, 1e5, 2.1e5]), np.array([0.0, 1.001e5, 2.1015e5])
+    assert L.approximate_match(a, b, 10, 0) == ([0, 1, 2], [0, 1, 2]) and L.approximate_match(a, b, 10, 0, 0.0) == ([0], [0])
 
 
 def test_edit_match():
@@ -137,6 +146,74 @@ def test_edit_match():
     assert L.edit_match([], list("ab")) == ([], [])
 
 
+def test_places_in_a_global_order(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = [(int(i), float(x)) for i, x in enumerate(r.integers(0, 60, 300))]
+    df = spark.createDataFrame(v, "id long, v double").repartition(4)
+    order = sorted(v, key=lambda t: (t[1], t[0]))
+    for n in (1, 2, 150, 299, 300):
+        assert tuple(O.nth_row(df, "v", "id", n).first()) == order[n - 1]
+    assert O.nth_row(df, "v", "id", 301).count() == 0 and O.nth_row(df.limit(0), "v", "id", 1).count() == 0
+    values = [x for _, x in v]
+    ranks = dict(O.average_ranks(df, "v", "k").select("id", "k").collect())
+    assert all(ranks[i] == sum(y < x for y in values) + (values.count(x) + 1) / 2 for i, x in v)
+    assert O.totals_before(df.limit(0), "id").count() == 0
+
+
+def test_complete_linkage(spark):
+    x = [("a", "p", 1.0), ("b", "p", 0.8), ("b", "q", 0.6), ("c", "p", 0.6), ("c", "q", 0.8), ("d", "z", 1.0)]
+    pairs = L.cosine_pairs(spark.createDataFrame(x, "d string, w string, x double"), 0.5)
+    assert [(a, b, round(c, 9)) for a, b, c in rows(pairs)] == [("b", "a", 0.8), ("c", "a", 0.6), ("c", "b", 0.96)]
+    assert rows(L.complete_linkage(pairs, 0.3)) == [("a", "a"), ("b", "b"), ("c", "b")]  # a is too far from c
+    assert rows(L.complete_linkage(pairs, 0.5)) == [("a", "a"), ("b", "a"), ("c", "a")]
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        n = int(r.integers(2, 9))
+        d = np.triu(r.random((n, n)), 1)
+        got = L.linkage(list(range(n)), {(i, j): d[i, j] for i in range(n) for j in range(i + 1, n)}, 0.6)
+        clusters = [{i} for i in range(n)]
+        reach = lambda p, q: max(d[min(i, j), max(i, j)] for i in p for j in q)
+        while len(clusters) > 1:
+            apart, p, q = min((reach(p, q), a, b) for a, p in enumerate(clusters) for b, q in enumerate(clusters) if a < b)
+            if apart >= 0.6:
+                break
+            clusters[p] |= clusters.pop(q)
+        assert {frozenset(i for i in range(n) if got[i] == k) for k in set(got)} == {frozenset(c) for c in clusters}
+
+
+def test_verbatim_hits(spark):
+    q = [(1, "one two three"), (2, "o"), (3, "wo th"), (4, "missing inner word"), (5, "one “two” three"), (6, None)]
+    d = [(1, "says one  two\nthree."), (2, "one \"two\" three"), (3, "nothing"), (4, None), (5, "two threes")]
+    got = Q.verbatim_hits(spark.createDataFrame(q, "quote_id long, text string"), spark.createDataFrame(d, "doc_id long, text string"))
+    assert rows(got) == [(1, 1), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 5), (5, 2)]
+
+
+def test_overlap_slices(spark):
+    # fixed values: what windows cover of ten samples at 1 Hz from second 10 on
+    cases = [((15.0, 10.0), (15.0, 5.0)), ((5.0, 10.0), (10.0, 5.0)), ((12.0, 6.0), (12.0, 6.0)), ((19.9, 10.0), (19.0, 1.0)), ((9.1, 1.0), (10.0, 1.0)), ((12.0, 0.1), (12.0, 1.0)), ((2.0, 8.0), None), ((25.0, 1.0), None)]
+    df = spark.createDataFrame([(i, *w) for i, (w, _) in enumerate(cases)], "i int, s double, d double").withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x.cast("double")))
+    got = {r["i"]: r["o"] for r in df.select("i", timed.overlap_slice(F.col("v"), F.lit(10.0), 1.0, F.col("s"), F.col("d")).alias("o")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert (got[i] and (got[i]["start"], got[i]["duration"])) == want
+        if want:
+            assert got[i]["samples"] == [want[0] - 10 + k for k in range(int(want[1]))]
+
+
+def test_event_modes_refuse(spark):
+    e = spark.createDataFrame([(1, 1, 0.0, [1.0], True), (1, 2, 1.0, [2.0], False)], "segment int, event_id int, start double, data array<double>, is_trigger boolean")
+    with pytest.raises(Exception, match="2 events"):
+        timed.combine_events(e, "single").collect()
+    with pytest.raises(ValueError):
+        timed.combine_events(e, "sideways")
+
+
+def test_sentence_splits_need_sentences(spark):
+    e = spark.createDataFrame([("t", "Sentence", 0.0, 1.0, "a"), ("t", "Word", 0.5, 0.1, "a")], "timeline string, type string, start double, duration double, text string")
+    assert [r["split"] for r in timed.sentence_splits(e, 1).filter("type = 'Word'").collect()] == ["ca978112-ksplit1/1"]
+    with pytest.raises(Exception, match="1 sentences for 2 splits"):
+        timed.sentence_splits(e, 2).collect()
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = dict(rows(connected(e)))
@@ -165,6 +242,82 @@ def test_fuzzy_ratios():
     assert L.token_set_ratio("b a", "a b c") == 100.0
 
 
+def plain_distance(a, b):
+    """Edit distance by recursion over prefixes."""
+    cost = [[max(i, j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (x != y))
+    return cost[-1][-1]
+
+
+def test_word_errors_and_character_classes(spark):
+    pairs = [("a b c", "a c"), ("a b c", "x b c d"), ("", "a"), (None, None), ("a b", ""), ("one two three four", "two one four three")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, t string, g string")
+    got = dict(rows(df.select("i", L.word_error_rate(F.col("t"), F.col("g")))))
+    assert got == {i: plain_distance((a or "").split(), (b or "").split()) / max(1, len((a or "").split())) for i, (a, b) in enumerate(pairs)}
+    k = [("abcd", "abXd"), ("abcd", "abcdd"), ("abcd", "bcd"), ("", "xy"), (None, "z"), ("ab", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(k)], "i int, t string, g string")
+    got = {r[0]: tuple(r[1]) for r in df.select("i", L.alignment_classes(F.col("t"), F.col("g"))).collect()}
+    assert got == {0: (3, 1, 0), 1: (4, 0, 1), 2: (3, 0, 0), 3: (0, 0, 2), 4: (0, 0, 1), 5: (0, 0, 0)}
+    assert dict(rows(df.select("i", timed.typed_classes(F.col("t"), F.col("g"))))) == {0: "mmsm", 1: "mmmma", 2: "mmm", 3: "aa", 4: "a", 5: ""}
+
+
+def test_unique_anchor(spark):
+    cases = [(("say  the\nword now", "the", "word", "now"), 9), (("a b a b", "", "a", ""), -2), (("a b a c", "", "a", "c"), 4), (("a b", "", "z", ""), -1), ((None, "", "a", ""), -1), (("x", "", "", ""), -1)]
+    df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, t string, b string, f string, a string")
+    got = dict(rows(df.select("i", L.unique_anchor(F.col("t"), F.col("b"), F.col("f"), F.col("a")))))
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_words_in_text():
+    # fixed values: places of words in a text that spells some of them otherwise
+    assert L.words_in_text("aaaa bbbb cccc cccc".split(), "aaax bbbx cccc cccc") == [0, 5, 10, 15]
+    assert L.words_in_text(["b", "a"], "a b") == [2, -1] and L.words_in_text(["zz"], "") == [-1]
+
+
+def test_beam_search_with_room_for_all_paths_is_exhaustive():
+    import itertools
+
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        logits, bonus = r.normal(size=(4, 3)), r.normal(size=(3, 3))
+        value = lambda p: sum(logits[k, s] for k, s in enumerate(p)) + sum(bonus[a, b] for a, b in zip(p, p[1:], strict=False))
+        best = max(itertools.product(range(3), repeat=4), key=value)
+        assert tuple(L.beam_search(logits, bonus, 81)) == best
+        narrow = L.beam_search(logits, np.zeros((3, 3)), 1)
+        assert narrow == logits.argmax(1).tolist()
+
+
+def test_decoding_by_step_equals_one_frame(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3, 80, 4))
+    y = x @ r.normal(size=4) + r.normal(size=(3, 80)) * 0.3
+    y[2] = 1.0
+    df = spark.createDataFrame([(s, i, [float(v) for v in x[s, i]], float(y[s, i])) for s in range(3) for i in range(80)], "step long, id long, x array<double>, y double").repartition(4)
+    got = {s: (n, c) for s, n, c in L.ridge_by_step(df, 1.0).collect()}
+    for s in range(2):
+        a, m, level = x[s][::2] - x[s][::2].mean(0), x[s][::2].mean(0), y[s][::2].mean()
+        w = np.linalg.solve(a.T @ a + np.eye(4), a.T @ (y[s][::2] - level))
+        assert got[s][0] == 80 and got[s][1] == pytest.approx(np.corrcoef((x[s][1::2] - m) @ w + level, y[s][1::2])[0, 1])
+    assert got[2][0] == 80 and np.isnan(got[2][1])
+
+
+def test_monte_carlo_depends_on_the_seed_only(spark):
+    want = {}
+    for i in range(50):
+        tier = int((np.random.default_rng([42, i]).random(16) > 0.5).sum()) // 4
+        want[tier] = want.get(tier, 0) + 1
+    assert dict(rows(L.monte_carlo(spark, 50, 42))) == want
+
+
+def test_best_offsets(spark):
+    songs = spark.createDataFrame([(1, 100, 10.0), (1, 200, 11.0), (1, 300, 12.5), (2, 100, 50.0)], "song int, freq int, t double")
+    samples = spark.createDataFrame([(7, 1, 103, 0.0), (7, 2, 204, 1.02), (7, 3, 900, 2.5)], "sample int, token int, freq int, t double")
+    # the third token counts at an offset that the others name, whatever its frequency
+    assert [(a, b, n) for a, b, n, _ in rows(I.best_offsets(songs, samples, 5, 0.05))] == [(1, 7, 3), (2, 7, 1)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"k": 1}, {"k": 2}]')
     (tmp_path / "b.json").write_text('{"k": 3}\n{broken\n{"k": 4}\n')
