@@ -3,6 +3,12 @@
 Each stage takes all that the one before kept, and its decisions take effect: documents of low quality go, one document of
 each near-duplicate group stays, passages that repeat across documents are cut out of the texts (n_chars follows), documents
 that hold a benchmark passage go, and what is left is encoded and decoded.
+
+Cases. Each row is a document, whatever its id: rows that share an id, or have none, stay or go by their own texts; only rows that
+repeat both id and text become one (in the near-duplicate and suffix-array stages). Null texts count as empty ones; an empty text is
+scored, is no copy of anything, holds no passage and has no tokens. Texts of any length are used whole. Empty tables give empty ones
+at every stage, also without labels (every score is 0.5 then) or benchmark items. All stages but the last return doc_id, text, lang,
+source and n_chars; other columns of the documents are not read.
 """
 
 from __future__ import annotations
