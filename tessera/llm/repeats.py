@@ -9,8 +9,11 @@ steps, none of which holds a group in one task or emits pairs:
 3. For an anchor with several distinct spans, each distinct span counts once, by its first occurrence. Repeats of a span are
    repeated windows; the distinct spans' contents go to shards by anchor, where an engine (Lempel-Ziv factors or suffix
    arrays) finds the windows that two spans share.
-4. An anchor with more than HOT distinct spans would make a large shard; its windows are instead counted one by one, by
-   128 bits of hash, so that equal windows meet by their own key and are pre-aggregated.
+4. An anchor with more than HOT distinct spans would make a large shard. Its spans are cut into pieces of `step` neighbouring
+   windows, at the same distances from the anchor everywhere, and each piece goes by the units that all its windows have in
+   common: only pieces that agree in those can share a window. Pieces are decided and sharded as anchors are (2, 3); what is
+   still crowded is cut again, by a smaller step, at last into single windows, which their hashes decide. So a crowded anchor
+   sends a row for `step` windows, and only what agrees in nearly a window's length is cut further.
 5. Each document's covered units are removed. Documents without contents in a shard are finished as their text is first
    read; the others are kept in the shared folder until the shards are done.
 
@@ -25,15 +28,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.text import BYTE_VALUES, NOT_BLANK, Anchors, Chunk, chunks, mix, ranges, rolling, runs, word_hashes, word_spans
+from tessera.llm.skew import join_frequent
+from tessera.llm.text import BYTE_VALUES, NOT_BLANK, Anchors, Chunk, chunks, give_back, mix, ranges, runs, span_hashes, word_hashes, word_spans
 from tessera.session import table
 
 HOT = 500
-HELD = 500_000  # repeated windows of hot anchors that tasks look up in memory; more of them are joined
+STEPS = (16, 4, 1)  # windows of a piece, from round to round; at most a fifth of a window's units, or 1
 SHARD_UNITS = 1 << 18  # units of contents that an engine gets at once, whole anchors at least
 RESULT = "n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 COLUMNS = ["n_units", "n_removed", "n_spans", "kept_sha256", "kept_text"]
@@ -112,6 +117,13 @@ def unpack(x: bytes | None) -> np.ndarray:
     return np.frombuffer(x or b"", np.int32).astype(np.int64)
 
 
+def listed(lists: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Lengths of the lists of a column (null: 0), and the fields of all their elements, one list after another."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return size, [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+
+
 class RepeatFinder:
     """`window`: units of a window; `k`: units of an anchor; `words`: words or bytes; `earlier`: a window is removed only if
     it occurs before, else if it occurs anywhere else; `engine`: finds shared windows in a shard;
@@ -132,26 +144,25 @@ class RepeatFinder:
             yield pa.RecordBatch.from_arrays([pa.array(a.gram.view(np.int64)), pa.array(a.span.view(np.int64)), pa.array(d), pa.array((a.at - u.bounds[doc]).astype(np.int32))], names=["a", "s", "d", "p"])
 
     def _read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finish documents (kind 0), or emit contents for the shards (1: by anchor, 2: by window) and set the document
+        """Finish documents (kind 0), or emit contents for the shards (1: by anchor, 2: by piece) and set the document
         aside (3)."""
-        names = ["kind", "d", *COLUMNS, "a", "first", "content", "text", "gone"]
+        names = ["kind", "d", *COLUMNS, "a", "first", "o", "content", "text", "gone"]
         for c in chunks(batches):
             u, a, doc = self.anchors(c)
             key = (doc << 32) | (a.at - u.bounds[doc])
-            ask_p, ask_act = c.column("ps"), c.column("acts")
             edge = np.zeros(len(u.hashes) + 1, np.int32)
-            size = np.array([len(x) // 4 if x is not None else 0 for x in ask_p.to_pylist()], np.int64)
-            flat = unpack(b"".join(x for x in ask_p.to_pylist() if x))
-            act = unpack(b"".join(x for x in ask_act.to_pylist() if x))
+            size, (flat, act) = listed(c.column("asked"), "p", "act")
             owner = np.repeat(np.arange(len(c)), size)
             at = np.searchsorted(key, (owner << 32) | flat)
-            gone = act == 0
+            named = np.zeros(len(a.at), bool)
+            named[at[(act == 1) | (act == 2)]] = True
+            gone, sent = (act == 0) & ~named[at], np.flatnonzero(act > 0)
             np.add.at(edge, a.first[at[gone]], 1)
             np.add.at(edge, a.last[at[gone]] + self.window, -1)
             mask = np.cumsum(edge[:-1]) > 0
             d = c.column("d").to_pylist()
             waits = np.zeros(len(c), bool)
-            waits[owner[~gone]] = True
+            waits[owner[sent]] = True
             rows: list[list] = [[] for _ in names]
             done = u.results(mask, self.text)
             text = c.column("text")
@@ -159,19 +170,19 @@ class RepeatFinder:
                 if not waits[i]:
                     # an unchanged text need not be stored again
                     left = done[i] if self.words or done[i][1] else (*done[i][:-1], None)
-                    cells = [0, d[i], *left, None, None, None, None, None]
+                    cells = [0, d[i], *left, None, None, None, None, None, None]
                 else:
                     x, y = int(u.bounds[i]), int(u.bounds[i + 1])
                     s, e = runs(mask[x:y])
-                    cells = [3, d[i], None, None, None, None, None, None, None, None, text[i].as_py(), pack(np.r_[s, e])]
+                    cells = [3, d[i], None, None, None, None, None, None, None, None, None, text[i].as_py(), pack(np.r_[s, e])]
                 for col, v in zip(rows, cells, strict=True):
                     col.append(v)
-            for j, o in zip(at[~gone].tolist(), np.flatnonzero(~gone).tolist(), strict=True):
+            for j, o in zip(at[sent].tolist(), sent.tolist(), strict=True):
                 i = int(owner[o])
-                cells = [int(act[o]), d[i], None, None, None, None, None, int(a.gram[j : j + 1].view(np.int64)[0]), int(a.first[j] - u.bounds[i]), u.content(int(a.first[j]), int(a.last[j]) + self.window), None, None]
+                cells = [int(act[o]) % 4, d[i], None, None, None, None, None, int(a.gram[j : j + 1].view(np.int64)[0]), int(a.first[j] - u.bounds[i]), int(a.at[j] - a.first[j]), u.content(int(a.first[j]), int(a.last[j]) + self.window), None, None]
                 for col, v in zip(rows, cells, strict=True):
                     col.append(v)
-            kinds = [pa.int32(), pa.int64(), *KINDS, pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), *KINDS, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names=names)
 
     def _units_of(self, content: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,6 +207,7 @@ class RepeatFinder:
                     n = whole.num_rows - cut
         if held:
             yield from self._blocks(pa.concat_batches(held))
+        give_back()
 
     def _blocks(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a = rows.column("a").to_numpy()
@@ -222,56 +234,88 @@ class RepeatFinder:
         start = rows.column("first").to_numpy()[span] + hit - bounds[span]
         return pa.RecordBatch.from_arrays([rows.column("d").take(pa.array(span)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["d", "start", "n"])
 
-    def _looked_up(self, w1: np.ndarray, w2: np.ndarray, d: np.ndarray, start: np.ndarray):
-        """Runs of the windows of hot anchors that are among the repeated ones (hashes and first occurrences)."""
-        order = np.argsort(w1, kind="stable")
-        w1, w2, d, start = w1[order], w2[order], d[order], start[order]
-        most = int(np.unique(w1, return_counts=True)[1].max()) if len(w1) else 0
+    def _pieces(self, step: int):
+        """Pieces of crowded contents (c: first window start, o: the anchor's distance from it): a, the hash of what a piece's
+        windows have in common; s, the hash of all its units; p and w, its first window start and its number of windows."""
 
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 2000):
                     part = b.slice(at, 2000)
-                    one, two, pos, bounds = self._window_hashes(part)
-                    span = np.searchsorted(bounds, pos, "right") - 1
-                    own_d, own_s = part.column("d").to_numpy()[span], part.column("first").to_numpy()[span] + pos - bounds[span]
-                    hit, near = np.zeros(len(pos), bool), np.searchsorted(w1, one)
-                    for k in range(most):
-                        i = np.minimum(near + k, len(w1) - 1)
-                        same = (w1[i] == one) & (w2[i] == two)
-                        hit |= same & ((d[i] != own_d) | (start[i] != own_s)) if self.earlier else same
-                    yield self._found(part, pos[hit], bounds)
-
-        return look
-
-    def _window_hashes(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two hashes and the place of every window in the contents of some rows, and the contents' bounds."""
-        units, bounds = self._units_of(part.column("content").to_pylist())
-        u = units if self.words else BYTE_VALUES[units]
-        pos = ranges(bounds[:-1], np.diff(bounds) - self.window + 1)
-        return rolling(u, self.window)[pos].view(np.int64), rolling(mix(u), self.window)[pos].view(np.int64), pos, bounds
-
-    def _windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                one, two, pos, bounds = self._window_hashes(part)
-                span = np.searchsorted(bounds, pos, "right") - 1
-                start = part.column("first").to_numpy()[span] + pos - bounds[span]
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), part.column("d").take(pa.array(span)), pa.array(start.astype(np.int32))], names=["w1", "w2", "d", "start"])
+                    units, bounds = self._units_of(part.column("content").to_pylist())
+                    u = units if self.words else BYTE_VALUES[units]
+                    n = np.diff(bounds) - self.window + 1
+                    o = part.column("o").to_numpy().astype(np.int64)
+                    high = o // step
+                    count = high - (o - n + 1) // step + 1
+                    row = np.repeat(np.arange(len(n)), count)
+                    cell = high[row] - ranges(np.zeros(len(n), np.int64), count)
+                    first = np.maximum(0, o[row] - (cell * step + step - 1))
+                    last = np.minimum(n[row] - 1, o[row] - cell * step)
+                    core = bounds[row] + o[row] - cell * step
+                    a = mix(span_hashes(u, core, core + self.window - step + 1) + cell.astype(_U))
+                    s = mix(span_hashes(mix(u), bounds[row] + first, bounds[row] + last + self.window) + (cell * step - o[row] + first).astype(_U))
+                    c = part.column("c").to_numpy()[row]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), part.column("d").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (c + first, last - first + 1, c))],
+                        names=["a", "s", "d", "p", "w", "c"],
+                    )
+
+        return cut
+
+    def _decided(self, rows: DataFrame, place: list[str]) -> DataFrame:
+        """What becomes of the rows (a, s and their `place`: d, p, ...): act 0, all windows are repeated, unless another row
+        says otherwise; 1, they are not known to be, and go to a shard of their `a`; 2, the same, but that shard would be crowded;
+        5 and 6, they are repeated and go there, too. So only a span's first occurrence needs a row that names it."""
+        first = F.min(F.struct(*place)).alias("f")
+        # a table of its own, so that the join has a plain exchange on either side and a frequent key's rows can be split
+        shared = table(rows.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1"), first).filter("n > 1"))
+        seen = rows.join(shared, "a").select("a", "s", *place, (F.col("s0") == F.col("s1")).alias("alone"), F.struct("f.d", "f.p").alias("f"))
+        seen = table(seen)
+        not_first = (F.col("d") != F.col("f.d")) | (F.col("p") != F.col("f.p"))
+        simple = seen.filter("alone")
+        simple = (simple.filter(not_first) if self.earlier else simple).select("a", *place, F.lit(0).alias("act"))
+        mixed = seen.filter("not alone").select("a", "s", *place)
+        spans = table(mixed.groupBy("a", "s").agg(F.count("*").alias("n"), first))
+        sizes = table(spans.groupBy("a").agg(F.count("*").alias("m")))
+        too = F.lit(0) if self.earlier else F.when(F.col("n") > 1, 4).otherwise(0)
+        check = join_frequent(spans.select("a", "n", "f"), sizes, ["a"], "m").select("a", *(f"f.{x}" for x in place), (F.when(F.col("m") > HOT, 2).otherwise(1) + too).alias("act"))
+        return simple.unionByName(mixed.select("a", *place, F.lit(0).alias("act"))).unionByName(check)
+
+    def _crowded(self, contents: DataFrame, parts: int) -> DataFrame:
+        """Runs of repeated windows (d, start, n) in the contents (d, c, o, content) of crowded anchors."""
+        found, width = None, 8 if self.words else 1
+        for step in [x for x in STEPS if x == 1 or 5 * x <= self.window]:
+            rows = contents.select("d", "c", "o", "content").mapInArrow(self._pieces(step), "a long, s long, d long, p int, w int, c int")
+            place = ["d", "p", "w", "c"]
+            decided = table(self._decided(rows, place).groupBy("a", *place).agg(F.max("act").alias("act")))
+            own = decided.filter("act > 0").join(contents, ["d", "c"])
+            piece = F.expr(f"substring(content, (p - c) * {width} + 1, (w - 1 + {self.window}) * {width})")
+            own = table(own.select((F.col("act") % 4).alias("act"), "a", "d", F.col("p").alias("first"), F.expr("o - (p - c)").alias("o"), piece.alias("content")))
+            more = decided.filter("act in (0, 5, 6)").select("d", F.col("p").alias("start"), F.col("w").alias("n")).unionByName(self._sharded(own.filter("act = 1"), parts))
+            found = more if found is None else found.unionByName(more)
+            contents = own.filter("act = 2").select("d", F.col("first").alias("c"), "o", "content")
+            if contents.isEmpty():
+                break
+        return found
+
+    def _sharded(self, contents: DataFrame, parts: int) -> DataFrame:
+        """Runs of windows (d, start, n) that contents (a, d, first, content) of one `a` share."""
+        shard = contents.select("a", "d", "first", "content").repartition(parts, "a").sortWithinPartitions("a", "d", "first")
+        return shard.mapInArrow(self._shards, "d long, start int, n int")
 
     def _finish(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             u = Units(c, self.words)
             edge = np.zeros(len(u.hashes) + 1, np.int32)
-            for i, (g, s) in enumerate(zip(c.column("gone").to_pylist(), c.column("starts").to_pylist(), strict=True)):
+            for i, g in enumerate(c.column("gone").to_pylist()):
                 x = unpack(g).reshape(2, -1) + u.bounds[i]
                 np.add.at(edge, x[0], 1)
                 np.add.at(edge, x[1], -1)
-                if s:
-                    w = unpack(s).reshape(-1, 2)
-                    np.add.at(edge, w[:, 0] + u.bounds[i], 1)
-                    np.add.at(edge, w[:, 0] + w[:, 1] - 1 + self.window + u.bounds[i], -1)
+            size, (start, n) = listed(c.column("found"), "start", "n")
+            start = start + np.repeat(u.bounds[:-1], size)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + n - 1 + self.window, -1)
             done = u.results(np.cumsum(edge[:-1]) > 0, self.text)
             cols = [pa.array([r[k] for r in done], kind) for k, kind in enumerate(KINDS)]
             yield pa.RecordBatch.from_arrays([c.column("d"), *cols], names=["d", *COLUMNS])
@@ -281,42 +325,17 @@ class RepeatFinder:
         texts, names = with_keys(docs, id_col, text_col)
         texts = texts.select("d", "text")
         rows = texts.mapInArrow(self._rows, "a long, s long, d long, p int")
-        first = F.min(F.struct("d", "p")).alias("f")
-        shared = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1"), first).filter("n > 1")
-        # a table of its own, so that the join has a plain exchange on either side and a frequent anchor's rows can be split
-        shared = table(shared.select("a", "s0", "s1", "f"))
-        seen = table(rows.join(shared, "a").select("a", "s", "d", "p", (F.col("s0") == F.col("s1")).alias("alone"), "f"))
-        not_first = (F.col("d") != F.col("f.d")) | (F.col("p") != F.col("f.p"))
-        simple = seen.filter("alone")
-        simple = (simple.filter(not_first) if self.earlier else simple).select("d", "p", F.lit(0).alias("act"))
-        mixed = seen.filter("not alone").select("a", "s", "d", "p")
-        spans = table(mixed.groupBy("a", "s").agg(F.count("*").alias("n"), first))
-        crowd = spans.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > HOT)
-        more = spans.filter("n > 1").select("a", "s", "f")
-        again = mixed.join(more, ["a", "s"])
-        again = (again.filter(not_first) if self.earlier else again).select("d", "p", F.lit(0).alias("act"))
-        check = spans.join(crowd, "a", "left").select("f.d", "f.p", F.when(F.col("m").isNotNull(), 2).otherwise(1).alias("act"))
-        asked = simple.unionByName(again).unionByName(check)
+        asked = self._decided(rows, ["d", "p"]).drop("a")
         # an entry both removed and checked keeps its two acts
-        asked = asked.groupBy("d").agg(F.collect_list(F.struct("p", "act")).alias("x"))
-        asked = asked.mapInArrow(_packed, "d long, ps binary, acts binary")
-        read = texts.join(asked, "d", "left").mapInArrow(self._read, f"kind int, d long, {RESULT}, a long, first int, content binary, text string, gone binary")
+        asked = asked.groupBy("d").agg(F.collect_list(F.struct("p", "act")).alias("asked"))
+        read = texts.join(asked, "d", "left").mapInArrow(self._read, f"kind int, d long, {RESULT}, a long, first int, o int, content binary, text string, gone binary")
         read = table(read)
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        shard = read.filter("kind = 1").select("a", "d", "first", "content").repartition(parts, "a").sortWithinPartitions("a", "d", "first")
-        found = shard.mapInArrow(self._shards, "d long, start int, n int")
-        crowded = read.filter("kind = 2").select("d", "first", "content")
-        every = crowded.mapInArrow(self._windows, "w1 long, w2 long, d long, start int")
-        twice = table(every.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("d", "start")).alias("f")).filter("n > 1").select("w1", "w2", "f.d", "f.start"))
-        if twice.count() <= HELD:
-            held = twice.toArrow()
-            hot = crowded.mapInArrow(self._looked_up(*(held.column(k).to_numpy() for k in range(4))), "d long, start int, n int")
-        else:
-            hot = every.join(twice.select("w1", "w2", F.struct("d", "start").alias("f")), ["w1", "w2"])
-            if self.earlier:
-                hot = hot.filter((F.col("d") != F.col("f.d")) | (F.col("start") != F.col("f.start")))
-            hot = hot.select("d", "start", F.lit(1).alias("n"))
-        found = found.unionByName(hot).groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("x")).mapInArrow(_packed_starts, "d long, starts binary")
+        found = self._sharded(read.filter("kind = 1"), parts)
+        crowded = read.filter("kind = 2").select("d", F.col("first").alias("c"), "o", "content")
+        if not crowded.isEmpty():
+            found = found.unionByName(self._crowded(crowded, parts))
+        found = found.groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("found"))
         late = read.filter("kind = 3").select("d", "text", "gone").join(found, "d", "left").mapInArrow(self._finish, f"d long, {RESULT}")
         out = read.filter("kind = 0").select("d", *COLUMNS).unionByName(late)
         if self.text and not self.words:
@@ -326,21 +345,3 @@ class RepeatFinder:
         else:
             out = out.select(F.col("d").cast(docs.schema[id_col].dataType).alias(id_col), *COLUMNS)
         return out.select(id_col, *(COLUMNS if self.text else COLUMNS[:-1]))
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = b.column("x")
-        off = x.offsets.to_numpy()
-        values = x.values if isinstance(x, pa.ListArray) else x.flatten()
-        p, act = (values.field(k).to_numpy(zero_copy_only=False).astype(np.int32) for k in (0, 1))
-        cut = lambda v: pa.array([v[i:j].tobytes() for i, j in zip(off, off[1:], strict=False)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("d"), cut(p), cut(act)], names=["d", "ps", "acts"])
-
-
-def _packed_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = b.column("x")
-        off = x.offsets.to_numpy()
-        v = np.stack([x.values.field(k).to_numpy(zero_copy_only=False).astype(np.int32) for k in (0, 1)], 1)
-        yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([v[i:j].tobytes() for i, j in zip(off, off[1:], strict=False)], pa.binary())], names=["d", "starts"])

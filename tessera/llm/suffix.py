@@ -130,13 +130,23 @@ def induce_by_ranks(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> n
         rank = np.zeros(n, np.int64)
         tie = np.zeros(n, np.int64)
         tie[order_of_fixed] = np.arange(len(order_of_fixed))
-        rank[at] = np.unique(kind[at] * n + np.where(fixed[at], tie[at], 0), return_inverse=True)[1]
+        first = kind[at] * n + np.where(fixed[at], tie[at], 0)
+        live = at[np.argsort(first)]
+        place, old, new = np.arange(len(at)), np.zeros(len(at), np.int64), np.sort(first)
         jump = np.where(fixed, np.arange(n), np.minimum(np.arange(n) + 1, n - 1))
         while True:
-            if len(at) == int(rank[at].max()) + 1:
+            # a rank is the place of its group's first member; only members of groups are sorted again
+            group = np.r_[True, old[1:] != old[:-1]]
+            head = group | np.r_[True, new[1:] != new[:-1]]
+            rank[live] = place[np.maximum.accumulate(np.where(head, np.arange(len(live)), 0))]
+            alone = head & np.r_[head[1:], True]
+            if alone.all():
                 return rank
-            rank[at] = np.unique(rank[at] * n + rank[jump[at]], return_inverse=True)[1]
-            jump[at] = jump[jump[at]]
+            live, place = live[~alone], place[~alone]
+            old, new = rank[live], rank[jump[live]]
+            order = np.argsort(old * n + new)
+            live, old, new = live[order], old[order], new[order]
+            jump[live] = jump[jump[live]]
 
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True

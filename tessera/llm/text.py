@@ -7,6 +7,7 @@ whole documents, so one document larger than the bound makes a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +93,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def give_back() -> None:
+    """Return free memory to the system at the end of a partition: Spark keeps its Python workers, and what they have freed would
+    stay with them beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cut batches into chunks of at most `limit` bytes of text, of one document at least."""
     for batch in batches:
@@ -102,6 +112,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: i
             to = min(n, max(at + 1, to))
             yield Chunk(batch, at, raw[off[at] : off[to]], off[at : to + 1] - off[at])
             at = to
+    give_back()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
