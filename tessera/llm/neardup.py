@@ -11,8 +11,10 @@ LEAST_DEPTH always are candidates. Candidates whose signatures agree far too lit
 Ties of a key are in another hashed order in each tree.
 
 Crowded classes, those of larger regions (or of regions that a partition's edge cuts), get an exact second pass over full sets,
-once the links of the first are known (`crowded_links`): a prefix-filtered join finds which blocks of classes hold a partner of
-another component for a class, and each pair of blocks counts the common shingles of all its pairs.
+once the links of the first are known (`crowded_links`). It looks for links between components only, and makes no pairs of a
+group: shingles that few crowded classes hold name pairs to confirm; sets that agree in shingles of many classes alone are
+first thinned out (those that cannot reach the threshold so, equal ones, and those that their component's fullest set stands
+for), and what is left of them, little as a rule, is counted in blocks that share shingles and sizes.
 
 Confirmation: of its candidates, each class first verifies the most alike one with a smaller id; the links found merge
 classes into components. All candidates that still lie in different components are then verified too. So every pair of
@@ -36,12 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components, followed
-from tessera.llm.text import NOT_BLANK, chunks, mix, ranges, rolling, span_hashes, word_hashes, word_spans
+from tessera.llm.text import NOT_BLANK, chunks, give_back, mix, ranges, rolling, span_hashes, word_hashes, word_spans
 from tessera.session import table
 
 TREES, DEPTH, LEAST_DEPTH, REGION = 16, 6, 3, 8
 COMPARED = 64  # signature values that candidates are compared on
 SLACK = 0.22  # of agreement below the threshold: 4 standard errors of COMPARED values
+RARE = 16  # crowded classes that hold a rare shingle, at most
 BLOCK_CLASSES, BLOCK_SHINGLES, COLUMNS = 512, 1 << 17, 2048  # of a block of crowded classes, about; shingles counted at a time
 _U = np.uint64
 MULTIPLIERS = mix(np.arange(1, TREES * DEPTH + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
@@ -136,6 +139,7 @@ def neighbours(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
         held = b if carry is None else pa.concat_batches([carry, b])
     if held is not None and (out := pairs(held, head, True)):
         yield out
+    give_back()
 
 
 def _sets(size: int, text_col: str):
@@ -159,6 +163,7 @@ def _confirmed(percent: int):
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+        give_back()
 
     return confirm
 
@@ -170,20 +175,60 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = pa.array(np.repeat(np.arange(len(n)), n))
         for x in range(0, len(values), 1 << 16):
             part = at.slice(x, 1 << 16)
-            yield pa.RecordBatch.from_arrays([pa.array(values[x : x + (1 << 16)]), *(b.column(c).take(part) for c in ("id", "label", "n", "block"))], names=["h", "id", "label", "n", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[x : x + (1 << 16)]), *(b.column(c).take(part) for c in ("id", "label", "n"))], names=["h", "id", "label", "n"])
 
 
-def _placed(cuts: np.ndarray):
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parted(percent: int):
+    """The shingles that other labels hold, too, as rare ones with their places in the order of the whole set, as far as a first
+    common shingle may stand, and common ones in that order, if they may suffice for a link."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rare, common, tops = [], [], []
+            for n, t in zip(b.column("n").to_pylist(), b.column("t"), strict=True):
+                h, df = (t.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                order = np.lexsort((h, df))
+                h, df = h[order], df[order]
+                place = n - len(h) + 1 + np.arange(len(h))
+                need = -(-percent * n // 100)
+                few = np.flatnonzero((df <= RARE) & (place <= n - need + 1))
+                rare.append([{"h": x, "k": k} for x, k in zip(h[few].tolist(), place[few].tolist(), strict=True)])
+                many = h[df > RARE]
+                common.append(many.tobytes() if len(many) >= need else None)
+                tops.append(int(h[-1]) if len(h) else 0)
+            kind = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("n"), pa.array(rare, kind), pa.array(common, pa.binary()), pa.array(tops, pa.int64())], names=["id", "label", "n", "rare", "common", "top"])
+
+    return part
+
+
+def _not_stood_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose common shingles are not all held by their label's fullest set (`best`, of `best_n` shingles, no more than theirs)."""
+    for b in batches:
+        keep = []
+        for i, n, c, own, m, best in zip(*(b.column(x).to_pylist() for x in ("id", "n", "common", "best_id", "best_n", "best")), strict=True):
+            keep.append(i == own or m > n or not np.isin(np.frombuffer(c, np.int64), np.frombuffer(best, np.int64)).all())
+        yield b.filter(pa.array(keep, pa.bool_())).select(["id", "label", "n", "common", "top"])
+
+
+def _heads(percent: int):
+    """The first common shingles of each set, one of which any partner holds among its own first ones."""
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block = np.searchsorted(cuts, b.column("place").to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "label", "n", "s")), pa.array(block, pa.int64())], names=["id", "label", "n", "s", "block"])
+            cells, n = b.column("common").to_pylist(), b.column("n").to_numpy()
+            size = np.array([len(c) // 8 for c in cells], np.int64)
+            take = size + percent * -n // 100 + 1  # size - ceil(percent * n / 100) + 1
+            values = [np.frombuffer(c, np.int64)[:k] for c, k in zip(cells, take.tolist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(n)), take))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("id", "label", "n", "most", "block"))], names=["h", "id", "label", "n", "most", "block"])
 
-    return place
+    return head
 
 
 def _between_blocks(percent: int):
-    """Links between classes of different labels in one pair of blocks (x, y), one for each pair of labels."""
+    """Links by common shingles between classes of different labels in one pair of blocks (x, y), one for each pair of
+    labels."""
 
     def links(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -191,10 +236,9 @@ def _between_blocks(percent: int):
         label = t.column("label").combine_chunks().dictionary_encode()
         label = (label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
         left, right = (np.flatnonzero(block == t.column(c)[0].as_py()) for c in ("x", "y"))
-        cells = t.column("s").to_pylist()
-        n = np.array([len(c) // 8 for c in cells], np.int64)
+        cells, n = t.column("common").to_pylist(), t.column("n").to_numpy()
         values = np.frombuffer(b"".join(cells), _U)
-        owner = np.repeat(np.arange(len(n)), n)
+        owner = np.repeat(np.arange(len(n)), [len(c) // 8 for c in cells])
         _, word = np.unique(values, return_inverse=True)
         spot = np.full((2, len(n)), -1)
         spot[0, left], spot[1, right] = np.arange(len(left)), np.arange(len(right))
@@ -229,33 +273,53 @@ def _between_blocks(percent: int):
 
 
 def crowded_links(crowded: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components (`label`) of all pairs of `crowded` (id, label, sig, s: the full set) that reach
-    the threshold: exact.
+    """Links (a, b) that join the components (`label`) of all pairs of `crowded` (id, label, s: the full set) that reach the
+    threshold: exact.
 
     Shingles are in one order: those of a single label first, then by the classes that hold them. Two sets that reach the
-    threshold share one of the first n - ceil(n * percent / 100) + 1, and sets of different labels one that both labels hold.
-    Classes are cut into blocks by their signatures; a class goes to the pairs of blocks where it has such a partner, once
-    each, so that rows stay far fewer than pairs."""
+    threshold have their first common shingle among the first n - ceil(n * percent / 100) + 1 of both, and the smaller one among
+    its first n - ceil(2 * percent * n / (100 + percent)) + 1. Either that shingle is rare: it names at most RARE * RARE pairs,
+    which are confirmed. Or all that they share are common ones, and these alone reach the threshold: then a set whose common
+    shingles are among those of another set of its label that is no larger can be left out, as that one links with all that it
+    would link with; and a set of n shingles, m of them common, has partners of at most m * (100 + percent) / percent - n."""
     kind = crowded.schema["id"].dataType.simpleString()
-    place = F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long") * F.lit(1 << 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
-    docs = table(crowded.select("id", "label", F.floor(F.length("s") / 8).cast("long").alias("n"), "s", place.alias("place")))
-    total, number = docs.agg(F.sum("n"), F.count("*")).first()
-    blocks = max(-(-(total or 0) // BLOCK_SHINGLES), -(-number // BLOCK_CLASSES), 1)
-    cuts = []
-    if blocks > 1:
-        cuts = docs.agg(F.percentile_approx("place", [k / blocks for k in range(1, blocks)], max(10_000, 20 * blocks))).first()[0]
-    docs = table(docs.mapInArrow(_placed(np.array(cuts, np.int64)), f"id {kind}, label {kind}, n long, s binary, block long"))
-    shingles = docs.mapInArrow(_exploded, f"h long, id {kind}, label {kind}, n long, block long")
+    docs = table(crowded.select("id", "label", F.floor(F.length("s") / 8).cast("long").alias("n"), "s"))
+    shingles = docs.mapInArrow(_exploded, f"h long, id {kind}, label {kind}, n long")
     across = F.min("label") != F.max("label")
     shared = shingles.groupBy("h").agg(F.count("*").alias("df"), across.alias("across")).filter("across").select("h", "df")
-    one = Window.partitionBy("id")
-    ranked = shingles.join(shared, "h").select("*", F.row_number().over(one.orderBy("df", "h")).alias("k"), F.count("*").over(one).alias("m"))
-    first = table(ranked.filter(f"n - m + k <= n - ceil({percent} * n / 100) + 1").select("h", "id", "label", "block"))
-    met = first.groupBy("h").agg(F.collect_set("block").alias("blocks"), across.alias("across")).filter("across").select("h", "blocks")
-    goes = first.join(met, "h").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
-    goes = goes.select("id", F.explode("blocks").alias("other")).join(docs.select("id", "label", "s", "block"), "id")
-    goes = goes.select("id", "label", "s", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return table(goes.groupBy("x", "y").applyInArrow(_between_blocks(percent), f"a {kind}, b {kind}"))
+    held = shingles.join(shared, "h").groupBy("id", "label", "n").agg(F.collect_list(F.struct("h", "df")).alias("t"))
+    parted = table(held.mapInArrow(_parted(percent), f"id {kind}, label {kind}, n long, rare array<struct<h: long, k: long>>, common binary, top long"))
+
+    rare = parted.select("id", "label", "n", F.explode("rare").alias("r")).select("r.h", "r.k", "id", "label", "n")
+    x = rare.select("h", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("k").alias("ka"))
+    y = rare.select("h", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    smaller = "la <> lb and (na < nb or (na = nb and a < b)) and 100 * na >= {p} * nb and ka <= na - ceil(2 * {p} * na / {q}) + 1"
+    met = x.join(y, "h").filter(smaller.format(p=percent, q=100 + percent)).select("a", "b").distinct()
+    s = docs.select("id", "s")
+    met = met.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    links = table(met.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"))
+
+    full = parted.filter("common is not null").groupBy("label", "common").agg(F.min(F.struct("n", "id", "top")).alias("m")).select("label", "common", "m.n", "m.id", "m.top")
+    full = table(full)
+    best = full.groupBy("label").agg(F.max_by(F.struct("id", "n", "common"), F.struct(F.length("common"), -F.col("n"), "id")).alias("m"))
+    best = best.select("label", F.col("m.id").alias("best_id"), F.col("m.n").alias("best_n"), F.col("m.common").alias("best"))
+    left = full.join(best, "label").mapInArrow(_not_stood_for, f"id {kind}, label {kind}, n long, common binary, top long")
+    left = table(left.withColumn("most", F.expr(f"length(common) div 8 * {100 + percent} div {percent} - n")))
+    # blocks: sets of one most frequent shingle, cut by size and by hash where they are many
+    bins = left.groupBy("top", F.floor(F.log("n") * 32).alias("bin")).agg(F.count("*").alias("c"), F.sum(F.length("common") / 8).alias("w"))
+    whole = Window.partitionBy("top")
+    bins = bins.withColumn("small", (F.sum("c").over(whole) <= BLOCK_CLASSES) & (F.sum("w").over(whole) <= BLOCK_SHINGLES))
+    bins = bins.select("top", "bin", "small", F.ceil(F.greatest(F.col("c") / BLOCK_CLASSES, F.col("w") / BLOCK_SHINGLES)).alias("cuts"))
+    placed = left.withColumn("bin", F.floor(F.log("n") * 32)).join(bins, ["top", "bin"])
+    block = F.when(F.col("small"), F.xxhash64("top")).otherwise(F.xxhash64("top", "bin", F.pmod(F.xxhash64("id"), F.col("cuts"))))
+    placed = table(placed.select("id", "label", "n", "common", "most", block.alias("block")))
+    first = table(placed.mapInArrow(_heads(percent), f"h long, id {kind}, label {kind}, n long, most long, block long"))
+    there = first.groupBy("h", "block").agg(F.min("n").alias("n0"), F.max("most").alias("n1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    there = there.groupBy("h").agg(F.collect_list(F.struct("block", "n0", "n1", "l0", "l1")).alias("there"), (F.min("l0") != F.max("l1")).alias("across")).filter("across").select("h", "there")
+    fits = F.filter("there", lambda o: (o["n0"] <= F.col("most")) & (o["n1"] >= F.col("n")) & ((o["l0"] != F.col("label")) | (o["l1"] != F.col("label"))))
+    goes = first.join(there, "h").select("id", F.explode(F.transform(fits, lambda o: o["block"])).alias("other")).distinct()
+    goes = goes.join(placed, "id").select("id", "label", "n", "common", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return links.unionByName(table(goes.groupBy("x", "y").applyInArrow(_between_blocks(percent), f"a {kind}, b {kind}")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

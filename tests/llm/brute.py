@@ -90,3 +90,75 @@ def near_duplicates(docs: list, percent: int = 75) -> dict:
     links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     root = components(ids, links)
     return {d: (len(sets[d]), root[d], root[d] == d) for d in ids}
+
+
+def class_model_scores(docs: list, held, lm) -> dict:
+    """log10 probabilities of the class model: exchange over frequent words and endings is `lm.exchange_classes`."""
+    import numpy as np
+
+    def named(w: bytes) -> tuple[int, int]:
+        h, ending, _ = lm.words_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+        return int(h.view(np.int64)[0]), int(ending[0])
+
+    end = lm.UNITS - 1
+    cut = {d: WORDS.findall((t or "").encode().translate(LOW)) for d, t in docs}
+    train = [ws for d, ws in cut.items() if not held(d)]
+    n = Counter(w for ws in train for w in ws)
+    names = {w: named(w) for ws in cut.values() for w in ws}
+    frequent = {w: u for u, w in enumerate(sorted(n, key=lambda w: (-n[w], names[w][0]))[: lm.FREQUENT])}
+    unit = {w: frequent.get(w, lm.FREQUENT + names[w][1]) for w in names}
+    counts = np.zeros((lm.UNITS, lm.UNITS), np.int64)
+    for ws in train:
+        us = [end, *(unit[w] for w in ws), end]
+        for x, y in zip(us, us[1:], strict=False):
+            counts[x, y] += 1
+    owner = lm.exchange_classes(counts)
+    grid = np.zeros((lm.CLASSES, lm.CLASSES))
+    for x, y in zip(*np.nonzero(counts), strict=True):
+        grid[owner[x], owner[y]] += counts[x, y]
+    k = lm.CLASSES
+    shared = np.log((grid + 0.5) * (grid.sum() + 0.5 * k * k) / ((grid.sum(1, keepdims=True) + 0.5 * k) * (grid.sum(0, keepdims=True) + 0.5 * k)))
+    value = {}
+    for ws in train:
+        us = [end, *(unit[w] for w in ws), end]
+        for i, w in enumerate(ws):
+            if w not in frequent:
+                value[w] = value.get(w, 0) + shared[owner[us[i]]] + shared[:, owner[us[i + 2]]]
+    kind = {w: int(owner[unit[w]]) for w in names} | {w: int(np.argmax(v[:-1])) for w, v in value.items()}
+    moves, size = np.zeros((k, k)), np.zeros(k)
+    for ws in train:
+        ks = [k - 1, *(kind[w] for w in ws), k - 1]
+        for x, y in zip(ks, ks[1:], strict=False):
+            moves[x, y] += 1
+    for w in n:
+        size[kind[w]] += 1
+    size[k - 1] += bool(train)
+    tokens, out = moves.sum(0), {}
+    for d, ws in cut.items():
+        ks, total = [k - 1, *(kind[w] for w in ws), k - 1], 0.0
+        for i, y in enumerate(ks[1:]):
+            c = n[ws[i]] if i < len(ws) else len(train)
+            total += np.log10((moves[ks[i], y] + 0.5) / (moves[ks[i]].sum() + 0.5 * k)) + np.log10((c + 1) / (tokens[y] + size[y] + 1))
+        out[d] = total
+    return out
+
+
+def licenses(text: str | None, license) -> tuple[int, list[str], list[str]]:
+    """Segments, known sentences (the longest at each place, one after another) and licences, by trying all of them."""
+    fold = lambda x: " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in x.translate(license.LOWER)).split())
+    parts = [p for p in (fold(x) for x in re.split(r"\n+|(?<=[.!?:])[ \t\r]+", text or "")) if p]
+    known = {fold(s): k for k, s in license.SENTENCES.items()}
+    longest = max(len(s.split()) for s in known)
+    found, i = [], 0
+    while i < len(parts):
+        ends = [j for j in range(i, min(len(parts), i + longest)) if " ".join(parts[i : j + 1]) in known]
+        if ends:
+            found.append((i, ends[-1], known[" ".join(parts[i : ends[-1] + 1])]))
+        i = ends[-1] + 1 if ends else i + 1
+
+    def met(order: tuple[str, ...], after: int | None) -> bool:
+        if not order:
+            return True
+        return any(s == order[0] and (after is None or 0 < a - after <= 4) and met(order[1:], b) for a, b, s in found if after is None or a - after <= 4)
+
+    return len(parts), [s for _, _, s in found], sorted({name for name, order in license.RULES if met(order, None)})

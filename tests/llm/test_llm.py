@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from tessera.llm import bpe, decontaminate, dedup, embed, license, lm, neardup, quality, repeats, rlz, suffix, unigram
+from tessera.llm import bpe, decontaminate, dedup, embed, license, lm, neardup, quality, repeats, rlz, skew, suffix, unigram
 from tessera.llm.graph import components
 from tests.llm import brute
 
@@ -91,7 +91,7 @@ def test_shard_engines():
 
 @pytest.mark.parametrize("hot", [500, 1])
 def test_dedups_against_brute_force(spark, monkeypatch, hot):
-    """With HOT at 1 every shared anchor takes the window-by-window way."""
+    """With HOT at 1 every shared anchor is crowded."""
     monkeypatch.setattr(repeats, "HOT", hot)
     docs = corpus()
     df = frame(spark, docs)
@@ -144,6 +144,28 @@ def test_licenses(spark):
     assert license.scan_licenses(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    """Sentences and rules found by trying everything, on texts with wraps, noise, repeated rows and clashing columns."""
+    r = random.Random(31)
+    keys = sorted(license.SENTENCES)
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randint(0, 9)):
+            if r.random() < 0.3:
+                parts.append(prose(r, r.randint(1, 5)))
+            else:
+                _, order = r.choice(license.RULES) if r.random() < 0.5 else (0, (r.choice(keys),))
+                parts += [license.SENTENCES[k].upper() if r.random() < 0.3 else license.SENTENCES[k].replace(" ", r.choice([" ", "\n", "\n * "]), r.randint(0, 9)) for k in order]
+        docs.append((i % 50, r.choice(["\n", " ", "\n\n"]).join(parts)))
+    docs.append((99, "All rights reserved. " * 4000 + license.SENTENCES["mit-short"]))
+    want = sorted((d, *brute.licenses(t, license)) for d, t in docs)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, licenses string, n_known int").repartition(3)
+    got = sorted((x["doc_id"], x["n_sentences"], x["sentence_ids"], x["licenses"]) for x in license.scan_licenses(df).collect())
+    assert got == want
+    assert {name for _, _, _, names in got for name in names} > {"MIT", "AGPL-3.0-or-later", "ISC"}
+
+
 # --- op4
 
 
@@ -161,6 +183,34 @@ def test_quality_learns_and_scores_whole_texts(spark):
     assert quality.score_quality(df.limit(0), model).count() == 0
 
 
+def test_quality_scores_whole_texts_as_plain_loops_do():
+    """Each place and chunk of a text one by one; all bytes of a text, also the last ones, are in some place."""
+    r = np.random.default_rng(8)
+    model = quality.ByteCnn(3)
+    model.w = {k: (v + r.normal(0, 0.2, v.shape)).astype("f4") for k, v in model.w.items()}
+    w = {k: v.astype("f8") for k, v in model.w.items()}
+    for n in (0, 1, 7, 8, 9, 11, 159, 160, 161, 312, 313, 700):
+        raw = r.integers(0, 256, n).astype(np.uint8)
+        hidden, seen = [], set()
+        at = 0
+        while True:
+            chunk = raw[at : at + quality.CHUNK]
+            size = max(quality.WIDTH, len(chunk) + (len(chunk) % 2))
+            padded = np.r_[chunk, np.zeros(size - len(chunk), np.uint8)]
+            acts = []
+            for p in range(0, size - quality.WIDTH + 1, quality.STEP):
+                seen |= set(range(at + p, at + p + quality.WIDTH))
+                acts.append(np.maximum(w["embed"][padded[p : p + quality.WIDTH]].ravel() @ w["conv"] + w["bias"], 0))
+            v = np.r_[np.max(acts, 0), np.mean(acts, 0), np.log2(len(acts)) / 3]
+            hidden.append(np.maximum(v @ w["hidden"] + w["shift"], 0))
+            at += quality.CHUNK - quality.OVERLAP
+            if at + quality.OVERLAP >= n:
+                break
+        z = np.r_[np.max(hidden, 0), np.mean(hidden, 0)] @ w["out"] + w["base"][0]
+        assert seen >= set(range(n))
+        assert model.score(raw, np.array([0, n]))[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def test_quality_gradients():
     model = quality.ByteCnn(1)
     data = np.frombuffer(prose(random.Random(1), 90).encode(), np.uint8)
@@ -204,6 +254,15 @@ def test_vectors_against_brute_force(spark):
     assert embed.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_ids(spark):
+    """Different vectors, also of different lengths, under one id are vectors of their own; other columns may have any names."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 1.0, 0.01, 0.0]
+    rows = [(1, a, 1, 0), (1, b, 1, 0), (2, a, 1, 0), (3, c, 1, 0), (4, [1.0, 2.0], 1, 0), (4, [1.0, 2.0, 3.0], 1, 0), (4, [1.0, 2.1], 1, 0), (9, a, 2, 0), (1, a, 2, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int")
+    got = sorted(tuple(r) for r in embed.near_duplicate_vectors(df).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 0, 4, True), (4, 1, 4, True), (9, 1, 1, False), (1, 1, 1, True)])
+
+
 # --- op7
 
 
@@ -244,6 +303,23 @@ def test_language_model(spark):
     assert lm.score_texts(df.limit(0), held).count() == 0
 
 
+def test_language_model_scores_against_brute_force(spark):
+    """The score from plain counts: only the exchange of the units is the operator's own."""
+    docs = [*corpus(19, 30), (500, "never seen wordsqz here"), *((600 + i, " ".join(f"v{(i * 37 + k) % 500}x" for k in range(90))) for i in range(12))]
+    held = F.col("id") % 4 == 1
+    got = as_dict(lm.score_texts(frame(spark, docs), held))
+    want = brute.class_model_scores(docs, lambda d: d % 4 == 1, lm)
+    assert {d: got[d][5] for d in got} == {d: pytest.approx(x) for d, x in want.items()}
+    assert all(x[6] == pytest.approx(10 ** (-x[5] / x[1])) for x in got.values())
+
+
+def test_language_model_counts_every_row(spark):
+    rows = [(1, "x y", "k", 5), (1, "x y", "k", 5), (2, "z", "k", 5), (None, "z", "k", 5), (None, None, "k", 5)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held string, d int"), F.lit(False)).collect()
+    assert len(got) == 5 and {r["train_tokens"] for r in got} == {3 + 3 + 2 + 2 + 1}
+    assert sorted(r["n_tokens"] for r in got) == [1, 2, 2, 3, 3]
+
+
 def test_further_words_are_clustered_by_their_own_contexts(spark, monkeypatch):
     """Rare words of one ending that follow different frequent words score best in the contexts that they had."""
     monkeypatch.setattr(lm, "exchange_classes", lambda counts: np.r_[np.minimum(np.arange(lm.UNITS - 1), 20), lm.CLASSES - 1])
@@ -312,9 +388,26 @@ def test_near_duplicates_in_crowded_regions(spark):
     assert as_dict(neardup.near_duplicates(frame(spark, docs))) == brute.near_duplicates(docs)
 
 
-@pytest.mark.parametrize("blocks", [1, 7, 512])
-def test_links_of_crowded_classes_are_exact(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("pairs", [300, 3000])
+def test_near_duplicates_of_large_dense_groups(spark, pairs):
+    """Pairs at 0.786 among documents that all share 174 words and lie at 0.739 to each other: every link is found."""
+    r = random.Random(41)
+    shared = [f"s{r.randrange(10**9)}" for _ in range(174)]
+    docs = []
+    for i in range(pairs):
+        both = [f"p{i}x{k}" for k in range(6)]
+        for side in (0, 1):
+            own = [f"o{i}x{side}x{k}" for k in range(24)]
+            docs.append((2 * i + side, " ".join([*shared, *both, *own])))
+    got = as_dict(neardup.near_duplicates(frame(spark, docs)))
+    assert sum(got[2 * i + 1][1] == 2 * i == got[2 * i][1] for i in range(pairs)) == pairs
+
+
+@pytest.mark.parametrize(("blocks", "rare"), [(1, 16), (7, 2), (512, 1), (512, 100)])
+def test_links_of_crowded_classes_are_exact(spark, monkeypatch, blocks, rare):
+    """Each class has a label of its own, so every link must come out."""
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", blocks)
+    monkeypatch.setattr(neardup, "RARE", rare)
     r = random.Random(16)
     sets = {i: set(range(40)) - set(r.sample(range(40), r.randint(0, 12))) | {1000 * i + k for k in range(r.randint(0, 8))} for i in range(1, 60)}
     rows = [(i, i, bytes(r.randrange(256) for _ in range(96)), np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()]
@@ -323,6 +416,23 @@ def test_links_of_crowded_classes_are_exact(spark, monkeypatch, blocks):
     assert {(min(x), max(x)) for x in links.collect()} == want and want
 
 
+@pytest.mark.parametrize("rare", [1, 6])
+def test_links_join_the_components_of_crowded_classes(spark, monkeypatch, rare):
+    """Labels of several classes: links may stand for others of the same two labels, but the components are the same."""
+    monkeypatch.setattr(neardup, "RARE", rare)
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 5)
+    r = random.Random(18)
+    like = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    for trial in range(4):
+        sets = {i: set(range(30)) - set(r.sample(range(30), r.randint(0, 9))) | {1000 * i + k for k in range(r.randint(0, 6))} for i in range(1, 50)}
+        links = [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b])]
+        label = brute.components(sets, r.sample(links, len(links) // 25))
+        rows = [(i, label[i], np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()]
+        got = [tuple(x) for x in neardup.crowded_links(spark.createDataFrame(rows, "id long, label long, s binary"), 75).collect()]
+        assert all(like(sets[a], sets[b]) for a, b in got)
+        assert brute.components(sets, [*label.items(), *got]) == brute.components(sets, links)
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, " ")], "doc_id long, text string")
     got = sorted((r[0] is None, r[0] or 0, *r[1:]) for r in neardup.near_duplicates(df).collect())
@@ -359,14 +469,22 @@ def test_unigram_counts_equal_the_library(spark):
     assert got[1] == got[2] == (0, 0.0) and got[3][0] >= 2
 
 
-def test_dedups_with_joined_windows(spark, monkeypatch):
-    """Hot anchors with more repeated windows than tasks may hold."""
-    monkeypatch.setattr(repeats, "HOT", 1)
-    monkeypatch.setattr(repeats, "HELD", 0)
+def test_dedups_of_many_near_copies(spark, monkeypatch):
+    """Crowded anchors: near copies of one text, cut into pieces of several sizes, and frequent keys that are broadcast."""
+    monkeypatch.setattr(repeats, "HOT", 2)
+    r = random.Random(23)
+    base = prose(r, 90).split(" ")
     docs = corpus(2, 25)
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(["edited", f"own{i}", ""])
+        docs.append((1000 + i, " ".join(w)))
     df = frame(spark, docs)
-    assert as_dict(dedup.substring_dedup(df, 20).select("doc_id", "n_units", "n_removed", "kept_sha256")) == brute.substring_dedup(docs, 20)
-    assert as_dict(dedup.suffix_array_dedup(df, 200).select("doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")) == brute.byte_dedup(docs, 200)
+    for share in (1000, 5):
+        monkeypatch.setattr(skew, "SHARE", share)
+        assert as_dict(dedup.substring_dedup(df, 20).select("doc_id", "n_units", "n_removed", "kept_sha256")) == brute.substring_dedup(docs, 20)
+        assert as_dict(dedup.suffix_array_dedup(df, 200).select("doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")) == brute.byte_dedup(docs, 200)
 
 
 def test_byte_dedup_returns_the_text_that_is_left(spark):

@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline
+from tessera import session
 from tessera.llm import catalog
 from tests.llm import brute
 from tests.oracle import both, database
@@ -42,6 +43,40 @@ def test_stages_keep_rows_that_share_an_id_or_have_none(spark):
     assert of(corpus_pipeline.drop_contaminated(spark, docs, SF)) == sorted((str(i), t, lang) for i, t, lang in rows if lang != "c")
 
 
+def test_classifier_stage_keeps_what_the_model_scores(spark):
+    """Every document scored by itself, outside Spark, with the stage's own model."""
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = corpus_pipeline.keep_quality(spark, docs, SF)
+    assert kept.columns == docs.columns
+    model = quality.train_quality(docs, labels.filter(F.col("doc_id").isin([r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5])))
+    raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    score = {d: model.score(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0] for d, b in raw.items()}
+    assert {r.doc_id for r in kept.collect()} == {d for d, x in score.items() if x >= 0.3}
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """No rows at all; null and empty texts, repeated rows, clashing columns, and one very long text."""
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, d long, kept_text string, score double"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (4, long, "en", "s", len(long)), (None, None, None, None, None)]
+    for some in ([], [(*r, 9, "k", 0.5) for r in rows]):
+        docs = spark.createDataFrame(some, kinds)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = session.table(stage(spark, docs, str(tmp_path)))
+            if name != "BPE encoding and decoding":
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect()) == ([(False, 1), (False, 2), (False, 3), (False, 4), (True, 0)] if some else [])
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < 200 and "n_tokens" in out.columns
