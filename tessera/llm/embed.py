@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables, reranked with the vectors.
 
-Learning (on a bounded sample, `sample` vectors of each length, the least by a hash of their id): the leading principal
+Learning (on a bounded sample, `sample` vectors of each of the LENGTHS most frequent lengths, the least by a hash of their id; vectors of
+other lengths keep their own axes): the leading principal
 directions, then a rotation that alternates between binary codes and the orthogonal matrix that fits them best. A vector's
 code holds the signs of its rotated, centred coordinates.
 
@@ -12,11 +13,12 @@ retrieval is exact, not approximate (recall 1 up to rounding).
 
 Rerank: the vectors that meet under a table entry are compared in blocks of at most BLOCK by BLOCK by matrix product. A
 pair counts only under the first entry that finds it, which its two codes tell. A block returns for each vector the number of
-its links and its root in the block, never pairs. Equal vectors of a label are one class with a count.
+its links and its root in the block, never pairs. Equal vectors of a label are one class with a count and a number of its own, which
+stands for it in all joins: ids may repeat.
 
 Cases. Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label or id, link
-with nothing (component: their id). Vectors of different lengths never link. Repeated rows of one id count as vectors of
-their own. An empty table gives an empty one; extra columns are not read.
+with nothing (component: their id). Vectors of different lengths never link. Rows that repeat an id are vectors of
+their own, each with its own links, whether their vectors are equal or not. An empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.graph import components
 from tessera.session import table
 
-TABLES, BLOCK, MOST_BITS, ROUNDS = 4, 256, 64, 30
+TABLES, BLOCK, MOST_BITS, ROUNDS, LENGTHS = 4, 256, 64, 30, 16
 
 
 class Quantiser:
@@ -111,8 +113,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
 
     plain = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").alias("v"))
     rows = table(plain.mapInArrow(usable, f"id {id_kind}, label {label_kind}, v binary").withColumn("h", F.when(F.col("v").isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull(), F.md5("v"))))
-    classes = table(rows.filter("h is not null").groupBy("label", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    lengths = [r[0] for r in classes.select(F.length("v").alias("n")).distinct().limit(16).collect()]
+    classes = rows.filter("h is not null").groupBy("label", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = table(classes.withColumn("node", F.monotonically_increasing_id()))
+    lengths = [r[0] for r in classes.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect()]
     models: dict[int, Quantiser] = {}
     for n in lengths:
         some = classes.filter(F.length("v") == n)
@@ -139,9 +142,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
             for at, x in by_length(b.column("v").to_pylist()):
                 for i, r in zip(at.tolist(), model(x.shape[1]).rotated(unit_rows(x)), strict=True):
                     z[i] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label", "h", "id", "copies", "v")), pa.array(z, pa.binary())], names=["label", "h", "id", "copies", "v", "z"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label", "node", "copies", "v")), pa.array(z, pa.binary())], names=["label", "node", "copies", "v", "z"])
 
-    turned = table(classes.select("label", "h", "id", "copies", "v").mapInArrow(rotate, f"label {label_kind}, h string, id {id_kind}, copies long, v binary, z binary"))
+    turned = table(classes.select("label", "node", "copies", "v").mapInArrow(rotate, f"label {label_kind}, node long, copies long, v binary, z binary"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,21 +157,21 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
                     take = pa.array(at[row])
                     role = pa.array(np.arange(len(row)) >= len(z))
                     kind = pa.array(np.full(len(row), x.shape[1] * TABLES + t, np.int32))
-                    yield pa.RecordBatch.from_arrays([b.column("label").take(take), kind, pa.array(code), role, b.column("id").take(take)], names=["label", "t", "code", "probe", "id"])
+                    yield pa.RecordBatch.from_arrays([b.column("label").take(take), kind, pa.array(code), role, b.column("node").take(take)], names=["label", "t", "code", "probe", "node"])
 
-    found = turned.select("label", "id", "v", "z").mapInArrow(entries, f"label {label_kind}, t int, code long, probe boolean, id {id_kind}")
+    found = turned.select("label", "node", "v", "z").mapInArrow(entries, f"label {label_kind}, t int, code long, probe boolean, node long")
     key = ["label", "t", "code"]
     met = found.groupBy(*key).agg(F.count_if(~F.col("probe")).alias("nb"), F.count_if("probe").alias("np")).filter("nb >= 1 and np >= 2")
     met = met.select(*key, F.ceil(F.col("nb") / BLOCK).cast("int").alias("jb"), F.ceil(F.col("np") / BLOCK).cast("int").alias("ib"))
     placed = found.join(met, key)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     placed = placed.withColumn("i", F.when(F.col("probe"), F.array(own("ib"))).otherwise(every("ib"))).withColumn("j", F.when(F.col("probe"), every("jb")).otherwise(F.array(own("jb"))))
-    placed = placed.select(*key, "probe", "id", F.explode("i").alias("i"), "j").select(*key, "probe", "id", "i", F.explode("j").alias("j"))
+    placed = placed.select(*key, "probe", "node", F.explode("i").alias("i"), "j").select(*key, "probe", "node", "i", F.explode("j").alias("j"))
     block = [*key, "i", "j"]
-    placed = placed.join(turned.select("label", "id", "copies", "v", "z"), ["label", "id"])
+    placed = placed.join(turned.select("node", "copies", "v", "z"), "node")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = placed.select(F.hash(*block).alias("k"), *block, "probe", "id", "copies", "v", "z").repartition(parts, *block).sortWithinPartitions("k", *block, "probe", "id")
+    placed = placed.select(F.hash(*block).alias("k"), *block, "probe", "node", "copies", "v", "z").repartition(parts, *block).sortWithinPartitions("k", *block, "probe", "node")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -196,8 +199,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
     def blocks(b: pa.RecordBatch, edge: list[int]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             return
-        ids, probe = b.column("id"), b.column("probe").to_numpy(zero_copy_only=False)
-        name = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        name, probe = b.column("node").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False)
         copies, kind = b.column("copies").to_numpy(), b.column("t").to_numpy()
         vs, zs = b.column("v").to_pylist(), b.column("z").to_pylist()
         at, links, to = [], [], []
@@ -216,8 +218,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
             t = int(kind[x]) % TABLES
             split = model(v.shape[1]).parts
             mine, back = found_in(z[q][:, split[t]], z[r][:, split[t]], limit)
-            before = np.array([str(ids[x + i]) < str(ids[x + j]) for i, j in zip(q, r, strict=True)]) if ids.type == pa.string() else np.asarray(ids.take(pa.array(x + q))) < np.asarray(ids.take(pa.array(x + r)))
-            ok = mine & (~back | before)
+            ok = mine & (~back | (name[x + q] < name[x + r]))
             for u in range(t):
                 one, two = found_in(z[q][:, split[u]], z[r][:, split[u]], limit)
                 ok &= ~(one | two)
@@ -235,13 +236,16 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
             to.append(x + same[1][root[some]])
         if at:
             at, to = np.concatenate(at), np.concatenate(to)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.concatenate(links).astype(np.int64)), ids.take(pa.array(to))], names=["a", "n", "b"])
-
-    linked = table(placed.mapInArrow(rerank, f"a {id_kind}, n long, b {id_kind}"))
-    counts = linked.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
-    group = components(linked.select("a", "b"))
-    reps = turned.select("label", "h", "id", "copies").join(counts, "id", "left").join(group, "id", "left")
-    reps = reps.select("label", "h", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(np.concatenate(links).astype(np.int64)), pa.array(name[to])], names=["a", "n", "b"])
+
+    linked = table(placed.mapInArrow(rerank, "a long, n long, b long"))
+    counts = linked.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
+    group = components(linked.select("a", "b")).withColumnRenamed("id", "node")
+    reps = classes.select("label", "h", "node", "id", "copies").join(counts, "node", "left").join(group, "node", "left")
+    reps = table(reps.select("label", "h", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.col("component").alias("group")))
+    # groups are named by the number of a class: their least id is the component
+    least = reps.filter("group is not null").groupBy("group").agg(F.min("id").alias("component"))
+    reps = reps.join(least, "group", "left").select("label", "h", "n", F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "label", "h").join(reps, ["label", "h"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
