@@ -32,7 +32,7 @@ BLOCK = 1536  # chunks per matrix product
 
 def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping chunks of each document: rows of CHUNK bytes (0 behind the end), each row's document, and the number
-    of positions of a row that begin inside the text (1 at least)."""
+    of positions of a row (1 at least): the last one reaches the text's last byte."""
     length = np.diff(off)
     hop = CHUNK - OVERLAP
     per = np.maximum(1, -(-(length - OVERLAP) // hop))
@@ -44,7 +44,7 @@ def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     inside = np.arange(CHUNK) < size[:, None]
     rows = np.zeros(at.shape, np.uint8)
     rows[inside] = data[at[inside]]
-    places = np.maximum(1, -(-(size - WIDTH + 1) // STEP))
+    places = np.maximum(1, -(-(size - WIDTH) // STEP) + 1)
     return rows, doc, np.minimum(places, (CHUNK - WIDTH) // STEP + 1)
 
 
@@ -157,8 +157,9 @@ class ByteCnn:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str, allowed: Column | None, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
     """At most `sample` labelled documents, half of each class where there are as many, the least by a hash of their id.
 
-    Documents are taken until their whole texts hold `max_bytes`, so what the driver holds is bounded; the ids are found
-    first and only their texts are fetched.
+    Whole texts are taken in that order until the next one would not fit into `max_bytes`, so what the driver holds is bounded
+    and the sample does not lean to short texts; only texts of more than a tenth of `max_bytes` are passed over. The ids are found
+    first and only their texts are fetched. Rows that share a labelled id are samples of their own.
     """
     lab = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     if allowed is not None:
@@ -170,14 +171,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
         return [], np.zeros(0)
     y = {r[0]: r[1] for p in picked for r in p.select("_id", "_y").collect()}
     rows = docs.filter(F.col(f"`{id_col}`").isin(ids)).select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    got: dict[int, bytes] = {}
-    held = 0
-    for r in rows.orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
-        if held + len(r[1]) > max_bytes and got:
-            continue
-        got[r[0]] = r[1].encode()
-        held += len(got[r[0]])
-    return list(got.values()), np.array([y[i] for i in got])
+    texts, marks, held = [], [], 0
+    for i, t in rows.filter(F.octet_length("_text") <= max_bytes // 10).orderBy(F.xxhash64("_id"), "_id", "_text").toLocalIterator():
+        raw = t.encode()
+        if held + len(raw) > max_bytes:
+            break
+        texts.append(raw)
+        marks.append(y[i])
+        held += len(raw)
+    return texts, np.array(marks)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 2400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", allowed: Column | None = None, max_bytes: int = 9_000_000) -> ByteCnn:
