@@ -13,8 +13,8 @@ P(word | history) = P(class | class before) * P(word | class), with (n + 0.5) /
 over a document's words, which the base score and the emissions share, comes from the TOP words' counts in the closure
 (a fixed number) and, for all other words, from a join on the word, as do classes: neither is collected or cut off.
 
-Cases. Null and empty texts have one token, the end. A null id counts as training. Rows with equal id and text are one
-document. Without training tokens every count is 0. An empty table gives an empty one; extra columns are not read.
+Cases. Null and empty texts have one token, the end. A null id counts as training. Every row is a document of its own and
+counts by itself, also where it repeats an id or a text. Without training tokens every count is 0. An empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.repeats import with_keys
 from tessera.llm.text import NOT_BLANK, chunks, word_hashes, word_spans
 from tessera.session import table
 
@@ -34,6 +35,7 @@ FREQUENT, ENDINGS, CLASSES, TOP = 360, 151, 40, 50_000
 UNITS = FREQUENT + ENDINGS + 1  # the last is the end of a text
 HELD = 1 << 20  # distinct words that a task gathers before it sends their counts on
 PASSES = 12
+PLACES = 1 << 20  # contexts that a task gathers before it sends their counts on; well below 1 << 24
 _U = np.uint64
 
 
@@ -105,9 +107,27 @@ def _unit_bigrams(lexicon: Lexicon):
 
 
 def _contexts(lexicon: Lexicon, owner: np.ndarray):
-    """How often each class stands before (k) and behind (CLASSES + k) each word that is not a unit of its own."""
+    """How often each class stands before (k) and behind (CLASSES + k) each word that is not a unit of its own: a row for a word and
+    about PLACES of its places, its counts as numbers of 32 bits, k in the highest 8."""
+
+    def send(w: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((k, w))
+        w, k = w[order], k[order]
+        new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (k[1:] != k[:-1])])
+        cells = (k[new] << 24 | np.diff(np.r_[new, len(w)])).astype(np.uint32)
+        w = w[new]
+        head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        bounds = (np.r_[head, len(w)] * 4).astype(np.int32)
+        near = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(cells.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(w[head].view(np.int64)), near], names=["h", "near"])
+
+    def sent(ws: list[np.ndarray], ks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        w, k = np.concatenate(ws), np.concatenate(ks)
+        for x in range(0, len(w), 2 * PLACES):
+            yield send(w[x : x + 2 * PLACES], k[x : x + 2 * PLACES])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ws, ks, held = [], [], 0
         for c in chunks(batches):
             h, ending, first = words_of(c.data, c.off)
             units = lexicon.units(h, ending)
@@ -115,11 +135,14 @@ def _contexts(lexicon: Lexicon, owner: np.ndarray):
             k = owner[seq]
             more = np.flatnonzero(units >= FREQUENT)
             at = more + np.searchsorted(first, more, "right") - 1
-            w, k = np.tile(h[more], 2), np.r_[np.r_[CLASSES - 1, k[:-1]][at], CLASSES + k[at + 1]]
-            order = np.lexsort((k, w))
-            w, k = w[order], k[order]
-            new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (k[1:] != k[:-1])]) if len(w) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(k[new].astype(np.int32)), pa.array(np.diff(np.r_[new, len(w)]))], names=["h", "k", "n"])
+            ws.append(np.tile(h[more], 2))
+            ks.append(np.r_[np.r_[CLASSES - 1, k[:-1]][at], CLASSES + k[at + 1]])
+            held += 2 * len(more)
+            if held >= PLACES:
+                yield from sent(ws, ks)
+                ws, ks, held = [], [], 0
+        if held:
+            yield from sent(ws, ks)
 
     return count
 
@@ -132,9 +155,12 @@ def _favoured(grid: np.ndarray):
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = b.column("near")
-            doc = np.repeat(np.arange(b.num_rows), np.diff(near.offsets.to_numpy()))
-            k, n = (near.flatten().field(x).to_numpy() for x in (0, 1))
+            lists = b.column("near")
+            cells = lists.flatten()
+            raw = np.frombuffer(b"".join(cells.to_pylist()), np.uint32)
+            size = pc.binary_length(cells).to_numpy(zero_copy_only=False) // 4
+            doc = np.repeat(np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), size)
+            k, n = (raw >> np.uint32(24)).astype(np.int64), (raw & np.uint32(0xFFFFFF)).astype(np.int64)
             around = np.bincount(doc * (2 * CLASSES) + k, n, b.num_rows * 2 * CLASSES).reshape(-1, 2 * CLASSES)
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array((around @ value).argmax(1).astype(np.int32))], names=["h", "c"])
 
@@ -220,11 +246,23 @@ def exchange_classes(counts: np.ndarray, classes: int = CLASSES, passes: int = P
     return owner
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(d, text, id) with a number for each row, and (d, id) where that number is not the id itself."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        n, ids, distinct = texts.agg(F.count("*"), F.count("id"), F.count_distinct("id")).first()
+        if n == ids == distinct:
+            return texts.select(F.col("id").cast("long").alias("d"), "text", "id"), None
+    rows = table(texts.withColumn("d", F.monotonically_increasing_id()))
+    return rows.select("d", "text", "id"), rows.select("d", "id")
+
+
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
+    """One row per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), and the
+    perplexity that the score means for a token.
 
     `held_out` is a condition over the column `id`: where it is true, a document trains nothing."""
-    texts, names = with_keys(docs, id_col, text_col)
+    texts, names = numbered(docs, id_col, text_col)
     flagged = texts.withColumn("held", F.coalesce(held_out, F.lit(False)))
     train = flagged.filter(~F.col("held")).select("text")
     vocabulary = table(train.mapInArrow(_word_counts, "h long, t int, n long").groupBy("h").agg(F.min("t").alias("t"), F.sum("n").alias("n")))
@@ -248,8 +286,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     grid = np.zeros((CLASSES, CLASSES))
     np.add.at(grid, (owner[:, None].repeat(UNITS, 1), owner[None, :].repeat(UNITS, 0)), counts)
     # each further word takes the class that its own neighbours favour
-    near = train.mapInArrow(_contexts(lexicon, owner), "h long, k int, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
-    near = near.groupBy("h").agg(F.collect_list(F.struct("k", "n")).alias("near"))
+    near = train.mapInArrow(_contexts(lexicon, owner), "h long, near binary").groupBy("h").agg(F.collect_list("near").alias("near"))
     classed = near.mapInArrow(_favoured(grid), "h long, c int")
     words_c = table(vocabulary.join(classed, "h", "left").select("h", "n", "c"))
     unit_of = {int(x): u for u, x in enumerate(frequent_h.view(np.int64))}
@@ -337,4 +374,4 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         out = names.join(out, "d").drop("d").withColumnRenamed("id", id_col)
     else:
         out = out.withColumn("d", F.col("d").cast(docs.schema[id_col].dataType)).withColumnRenamed("d", id_col)
-    return out.select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
