@@ -168,17 +168,20 @@ def _favoured(grid: np.ndarray):
 
 
 def _patched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put the joined words' classes into the documents' sequences of classes."""
+    """Put the joined words' classes into the documents' sequences of classes, all of a batch at once."""
     for b in batches:
-        seqs = []
-        for seq, more in zip(b.column("seq").to_pylist(), b.column("more").to_pylist(), strict=True):
-            if more:
-                seq = np.frombuffer(seq, np.uint8).copy()
-                for x in more:
-                    seq[np.frombuffer(x["p"], np.int32)] = x["c"]
-                seq = seq.tobytes()
-            seqs.append(seq)
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "held", "n_tokens", "n_known", "logs")), pa.array(seqs, pa.binary())], names=["d", "held", "n_tokens", "n_known", "logs", "seq"])
+        cells = b.column("seq").to_pylist()
+        off = np.r_[0, np.cumsum([len(x) for x in cells])]
+        seq = np.frombuffer(b"".join(cells), np.uint8).copy()
+        size = pc.fill_null(pc.list_value_length(b.column("more")), 0).to_numpy(zero_copy_only=False)
+        flat = b.column("more").flatten()
+        places, kind = flat.field("p"), flat.field("c").to_numpy(zero_copy_only=False)
+        each = pc.binary_length(places).to_numpy(zero_copy_only=False) // 4
+        start = np.repeat(np.repeat(off[:-1], size), each)
+        seq[start + np.frombuffer(b"".join(places.to_pylist()), np.int32)] = np.repeat(kind, each)
+        raw = seq.tobytes()
+        seqs = pa.array([raw[x:y] for x, y in zip(off.tolist(), off[1:].tolist(), strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "held", "n_tokens", "n_known", "logs")), seqs], names=["d", "held", "n_tokens", "n_known", "logs", "seq"])
 
 
 def _class_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
