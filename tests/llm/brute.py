@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -162,3 +164,46 @@ def licenses(text: str | None, license) -> tuple[int, list[str], list[str]]:
         return any(s == order[0] and (after is None or 0 < a - after <= 4) and met(order[1:], b) for a, b, s in found if after is None or a - after <= 4)
 
     return len(parts), [s for _, _, s in found], sorted({name for name, order in license.RULES if met(order, None)})
+
+
+def hard_negatives(rows: list[tuple], k: int = 5, low: int = 80) -> list[tuple]:
+    """Rows (id, vector, label): every anchor's whole list, by its definition."""
+    q = [(i, [math.floor(256 * x) for x in v], y) for i, v, y in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    late = lambda i: (i is None, i or 0)
+    out = []
+    for n, (a, v, y) in enumerate(q):
+        if a is None or a % 100:
+            continue
+        met = sorted(((-sum(p * r for p, r in zip(v, w, strict=True)), late(i), z) for m, (i, w, z) in enumerate(q) if m != n and len(w) == len(v)), key=lambda r: r[:2])
+        for s, p, _ in [r for r in met if r[2] == y][:k]:
+            found = [r for r in met if r[2] != y and low * -s <= 100 * -r[0] <= 100 * -s][:k]
+            out += [(a, None if p[0] else p[1], m, None if i[0] else i[1], -s, -t) for m, (t, i, _) in enumerate(found, 1)]
+    return out
+
+
+def trie(rows: list[tuple]) -> dict:
+    """Rows (conv_id, turn, role, text): nodes by (smallest member, depth)."""
+    own: dict[int, list] = {}
+    for c, *turn in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        own.setdefault(c, []).append((turn[1] or "", turn[2] or ""))
+    nodes: dict[tuple, list[int]] = {}
+    whole = {}
+    for c, turns in sorted(own.items()):
+        h = zlib.crc32(str(c).encode()) % 9
+        whole[c] = tuple(own.get(c - int(math.fmod(c, 5)), [])[:h] + turns[h:])
+        for d in range(len(whole[c]) + 1):
+            nodes.setdefault(whole[c][:d], []).append(c)
+    kids: dict[tuple, list[tuple]] = {}
+    for k in nodes:
+        if k:
+            kids.setdefault(k[:-1], []).append(k)
+    leaves, saved = {}, {}
+    for k in sorted(nodes, key=len, reverse=True):
+        below = kids.get(k, [])
+        leaves[k] = sum(leaves[x] for x in below) or 1
+        saved[k] = sum(saved[x] for x in below) + (len(nodes[k]) - 1) * (len(k[-1][1].encode()) if k else 0)
+    out = {}
+    for k, members in nodes.items():
+        ends = ",".join(str(c) for c in members if len(whole[c]) == len(k))
+        out[members[0], len(k)] = (nodes[k[:-1]][0] if k else None, len(members), len(kids.get(k, [])), leaves[k], saved[k], sha(ends.encode()))
+    return out
