@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.alignment import edit_match
 from tessera.operators.graph import connected
 
 
@@ -114,38 +115,6 @@ def pair_presses(rows: DataFrame) -> DataFrame:
     return w.filter("kind = 'press'").select(F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"), F.when(F.col("then") != "press", F.col("until") - F.col("t")).cast("double").alias("duration"))
 
 
-def edit_costs(a: list, b: list) -> np.ndarray:
-    """Edit distances of all pairs of prefixes, a row at a time: the running minimum carries insertions along the row."""
-    codes = {v: k for k, v in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = (np.array([codes[v] for v in s], np.int64) for s in (a, b))
-    at = np.arange(len(y) + 1)
-    cost = np.empty((len(x) + 1, len(y) + 1), np.int64)
-    cost[0] = at
-    for i, v in enumerate(x, 1):
-        row = np.r_[i, np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (y != v))]
-        cost[i] = np.minimum.accumulate(row - at) + at
-    return cost
-
-
-def edit_match(a: list, b: list, keep_replaced: bool = False) -> tuple[list[int], list[int]]:
-    """Places in two sequences that an optimal edit script leaves matched (or also replaced)."""
-    n, m = len(a), len(b)
-    cost = edit_costs(a, b)
-    x, y, i, j = [], [], n, m
-    while i and j:
-        same = a[i - 1] == b[j - 1]
-        if cost[i, j] == cost[i - 1, j - 1] + (not same):
-            if same or keep_replaced:
-                x.append(i - 1)
-                y.append(j - 1)
-            i, j = i - 1, j - 1
-        elif cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return x[::-1], y[::-1]
-
-
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Sequence alignment join: rows of two ordered lists (key, ord, item) that an edit script matches."""
 
@@ -189,45 +158,6 @@ def approximate_match(a: np.ndarray, b: np.ndarray, tolerance: float, missing: i
     return x[::-1], y[::-1]
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best similarity (0 to 100) of the shorter string with an equally long part of the longer one, over the parts that its
-    matching blocks suggest."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0.0
-    top = 0.0
-    for _, j, _ in ((m.a, m.b - m.a, m.size) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()):
-        part = b[max(0, j) : max(0, j) + len(a)]
-        top = max(top, difflib.SequenceMatcher(None, a, part, autojunk=False).ratio())
-        if top > 0.995:
-            return 100.0
-    return 100 * top
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Similarity (0 to 100) of the sorted common words with each side's sorted words."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    one, two = (f"{both} {' '.join(sorted(d))}".strip() for d in (x - y, y - x))
-    if both and (not x - y or not y - x):
-        return 100.0
-    ratio = lambda s, t: 100 * difflib.SequenceMatcher(None, s, t, autojunk=False).ratio() if s or t else 0.0
-    return max(ratio(both, one) if both else 0.0, ratio(both, two) if both else 0.0, ratio(one, two))
-
-
-def grounding_score(quote: Column, body: Column) -> Column:
-    """The better of the two ratios, one decimal; 0 where one side is empty."""
-
-    @F.pandas_udf("double")
-    def score(q: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(max(partial_ratio(x, y), token_set_ratio(x, y)), 1) if x and y else 0.0 for x, y in zip(q, b, strict=True)])
-
-    return score(quote, body)
-
-
 def alignment_classes(truth: Column, got: Column) -> Column:
     """Counts of characters that match, are substituted, or are added."""
 
@@ -244,20 +174,6 @@ def alignment_classes(truth: Column, got: Column) -> Column:
     return classes(truth, got)
 
 
-def word_error_rate(truth: Column, got: Column) -> Column:
-    """Edit distance over words, by the number of words in the truth, 1 at least."""
-
-    @F.pandas_udf("double")
-    def rate(t: pd.Series, g: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(t, g, strict=True):
-            a, b = (x or "").split(), (y or "").split()
-            out.append(edit_costs(a, b)[-1, -1] / max(1, len(a)))
-        return pd.Series(out)
-
-    return rate(truth, got)
-
-
 def words_in_text(words: list[str], text: str) -> list[int]:
     """Place of each word in the text, in order, -1 where it is not found behind the one before: first as whole words,
     then by the place that most of its letters vote for, of equal ones one where a word begins, then the first."""
@@ -329,7 +245,13 @@ def unique_anchor(text: Column, before: Column, find: Column, after: Column) ->
             keep = [(i, c) for i, c in enumerate(text_ or "") if not (c.isspace() and i and (text_[i - 1]).isspace())]
             flat = "".join(" " if c.isspace() else c for _, c in keep)
             pre, mid, post = (" ".join((p or "").split()) for p in parts)
-            hits = [i for i in range(len(flat)) if mid and flat.startswith(mid, i) and flat[:i].rstrip().endswith(pre) and flat[i + len(mid) :].lstrip().startswith(post)]
+            hits, at = [], flat.find(mid) if mid else -1
+            while at >= 0:
+                # blanks are folded, so at most one stands before and behind
+                end = at + len(mid)
+                if flat.endswith(pre, 0, at - (flat[at - 1 : at] == " ")) and flat.startswith(post, end + (flat[end : end + 1] == " ")):
+                    hits.append(at)
+                at = flat.find(mid, at + 1)
             out.append(-1 if not hits else -2 if len(hits) > 1 else keep[hits[0]][0])
         return pd.Series(out, dtype="int64")
 

@@ -67,6 +67,63 @@ def chunk_events(events: DataFrame, longest: float, shortest: float) -> DataFram
     return cut.filter((F.col("length") >= shortest) | (F.col("piece") == 0))
 
 
+def beside(rows: DataFrame, value: Column, cell: float, ahead: bool = False) -> DataFrame:
+    """`rows` (timeline, start, event_id, ...) with `_near`: `value` of the row before in the timeline (or after, with `ahead`), null for the
+    first (last). A timeline is cut into cells of time: rows look inside their cell, and only what stands at a cell's
+    border is looked up among the cells, so a timeline that holds most of the rows spreads over tasks."""
+    step, pick, order = (F.lead, F.min_by, ["start", "event_id"]) if ahead else (F.lag, F.max_by, ["start", "event_id"])
+    inside = Window.partitionBy("timeline", "_cell").orderBy(*order)
+    r = rows.withColumn("_cell", F.floor(F.col("start") / cell)).withColumn("_value", value)
+    cells = r.groupBy("timeline", "_cell").agg(pick("_value", F.struct(*order)).alias("_value"))
+    carry = cells.select("timeline", "_cell", step("_value").over(Window.partitionBy("timeline").orderBy("_cell")).alias("_near"))
+    r = r.withColumn("_near", step("_value").over(inside)).withColumn("_inner", step(F.lit(True)).over(inside))
+    border = r.filter("_inner is null").drop("_near").join(carry, ["timeline", "_cell"])
+    return r.filter("_inner").unionByName(border).drop("_cell", "_value", "_inner")
+
+
+def split_breaks(used: DataFrame, longest: float | None = None, cell: float = 86_400.0) -> DataFrame:
+    """(timeline, t): where the split of a timeline's events (timeline, event_id, start, stop, split) changes, in the order of their starts, and
+    each `longest` seconds from there to the end of the last event of the section. Two null splits are equal."""
+    b = beside(used, F.struct("split", "stop"), cell)
+    first = b.filter(F.col("_near").isNull() | ~F.col("_near.split").eqNullSafe(F.col("split"))).select("timeline", "event_id", "start", F.col("_near.stop").alias("before"))
+    if longest is None:
+        return first.select("timeline", F.col("start").alias("t"))
+    ended = beside(first, F.struct("before"), cell, ahead=True)
+    last = used.groupBy("timeline").agg(F.max_by("stop", F.struct("start", "event_id")).alias("_end"))
+    inner = ended.filter("_near is not null").withColumn("_end", F.col("_near.before"))
+    sections = inner.unionByName(ended.filter("_near is null").join(last, "timeline")).withColumn("n", F.ceil((F.col("_end") - F.col("start")) / longest))
+    return sections.filter("n > 0").select("timeline", "start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("timeline", (F.col("start") + F.col("k") * longest).alias("t"))
+
+
+def even_breaks(events: DataFrame, longest: float, shortest: float | None = None) -> DataFrame:
+    """(timeline, t): each `longest` seconds from a timeline's first start to its last stop, but for a last one with less than
+    `shortest` behind it."""
+    span = events.groupBy("timeline").agg(F.min("start").alias("since"), F.max("stop").alias("until")).withColumn("n", F.ceil((F.col("until") - F.col("since")) / longest))
+    if shortest is not None:
+        rest = F.col("until") - (F.col("since") + (F.col("n") - 1) * longest)
+        span = span.withColumn("n", F.col("n") - F.when(rest < shortest, 1).otherwise(0))
+    return span.filter("n > 0").select("timeline", "since", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("timeline", (F.col("since") + F.col("k") * longest).alias("t"))
+
+
+def cut_events(events: DataFrame, breaks: DataFrame, shortest: float | None = None, cell: float = 3600.0) -> DataFrame:
+    """Pieces of events (timeline, event_id, start, stop, ...) between the breaks (timeline, t) inside them: piece (from 0), offset in the event,
+    start, duration, stop. A break that leaves less than `shortest` to one of its neighbours, or to an end of the event, does
+    not count; neighbours are taken before any is left out. An event without breaks is its only piece."""
+    w = events.select("timeline", "event_id", F.col("start").alias("w_start"), F.col("stop").alias("w_stop"))
+    t = breaks.select("timeline", F.col("t").alias("start"), F.col("t").alias("stop"))
+    met = range_join(w, t, (F.col("start") > F.col("w_start")) & (F.col("start") < F.col("w_stop")), cell)
+    met = met.select("event_id", (F.col("start") - F.col("w_start")).alias("at"), (F.col("w_stop") - F.col("w_start")).alias("length")).distinct()
+    order = Window.partitionBy("event_id").orderBy("at")
+    if shortest:
+        near = met.withColumn("before", F.lag("at", 1, 0.0).over(order)).withColumn("after", F.coalesce(F.lead("at").over(order), "length"))
+        met = near.filter((F.col("at") - F.col("before") >= shortest) & (F.col("after") - F.col("at") >= shortest))
+    ends = met.select("event_id", "at").unionByName(events.select("event_id", (F.col("stop") - F.col("start")).alias("at")))
+    parts = ends.select("event_id", (F.row_number().over(order) - 1).alias("piece"), F.lag("at", 1, 0.0).over(order).alias("offset"), "at")
+    whole = events.select(*(c for c in events.columns if c not in ("piece", "offset", "duration", "stop")))
+    cut = whole.join(parts, "event_id").withColumn("start", F.col("start") + F.col("offset")).withColumn("duration", F.col("at") - F.col("offset"))
+    return cut.withColumn("stop", F.col("start") + F.col("duration")).drop("at")
+
+
 def order_in_timeline() -> Window:
     """The order of validated events: start ascending, longer first, id last."""
     return Window.partitionBy("timeline").orderBy("start", F.desc("duration"), "event_id")

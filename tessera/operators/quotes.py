@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import folds as L
+from tessera.operators.alignment import grounding
 
 KEY = 30  # characters of a segment that are looked for
-RARE, SPAN = 8, 120  # words of a quote that name its candidates; words of a passage that are compared
+ENTRIES = 64  # quotes that share a copy of a body
 
 
 def locate_quotes(blocks: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -31,34 +32,33 @@ def locate_quotes(blocks: DataFrame, quotes: DataFrame) -> DataFrame:
     return hit.groupBy("doc", "quote_id", "block").agg(F.max_by(F.struct(since.cast("long").alias("since"), until.cast("long").alias("until")), "k").alias("r")).select("doc", "quote_id", "block", "r.since", "r.until")
 
 
-def ground_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(quote_id, doc, score, passage, status): the document that grounds each quote best, and how well.
+def ground_entries(entries: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(entry, slug, score, passage, status): how well the body of the slug that an entry cites grounds the entry's quote.
 
-    Both sides are normalised. A quote's RARE least frequent words name the candidates: overlapping passages of SPAN words, SPAN at least
-    twice the quote's own words so that a window as long as it lies in one of them. The passage with the most of those words is scored
-    by the better of the two fuzzy ratios. The recorded text begins at the first place in the document of the quote's first
-    word, as the verifier's records do."""
-    q = quotes.select("quote_id", X.quote_norm(F.col("quote")).alias("q")).filter("q <> ''")
-    span = F.greatest(F.lit(SPAN), 2 * F.size(F.split("q", " ")))
-    d = docs.select("doc", X.quote_norm(F.col("text")).alias("t")).filter("t <> ''")
-    words = q.select("quote_id", F.explode(F.array_distinct(F.split("q", " "))).alias("w"))
-    index = d.select("doc", F.posexplode(F.split("t", " ")).alias("p", "w")).join(words.select("w").distinct(), "w")
-    often = index.groupBy("w").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("quote_id").orderBy("n", "w"))
-    rare = words.join(often, "w").withColumn("k", rank).filter(F.col("k") <= RARE).select("quote_id", "w")
-    rare = rare.join(q.select("quote_id", (span / 2).cast("long").alias("half")), "quote_id")
-    # a word at p lies in the passages that begin at the last two multiples of half a span
-    cell = F.floor(F.col("p") / F.col("half"))
-    met = rare.join(index, "w").select("quote_id", "half", "doc", "w", F.explode(F.array(cell - 1, cell)).alias("cell")).filter("cell >= 0").distinct()
-    best = met.groupBy("quote_id", "half", "doc", "cell").agg(F.count("*").alias("m"))
-    best = best.groupBy("quote_id", "half").agg(F.max_by(F.struct("doc", "cell"), F.struct("m", (-F.col("doc")).alias("d"), (-F.col("cell")).alias("c"))).alias("b"))
-    pair = q.join(best, "quote_id", "left").select("quote_id", "q", "half", F.col("b.doc").alias("doc"), F.col("b.cell").alias("cell")).join(d, "doc", "left")
-    part = F.array_join(F.slice(F.split("t", " "), (F.col("cell") * F.col("half") + 1).cast("int"), (2 * F.col("half")).cast("int")), " ")
-    scored = pair.select("quote_id", "doc", "q", "t", F.when(F.col("t").isNotNull(), L.grounding_score(F.col("q"), part)).otherwise(0.0).alias("score"))
-    first = F.position(F.split_part("q", F.lit(" "), F.lit(1)), "t")
-    passage = F.when(first > 0, F.substring(F.substring("t", first, F.greatest(F.length("q") + 40, F.lit(80))), 1, 300)).otherwise("")
-    status = F.when(F.col("score") >= 80, "verified").when(F.col("score") >= 55, "fuzzy").otherwise("not_found")
-    return scored.select("quote_id", "doc", "score", passage.alias("passage"), status.alias("status"))
+    `entries` is (entry, slug, quote), `bodies` is (slug, text); an entry whose slug has no body has no row, an entry that cites several slugs
+    has one for each. Both sides are normalised; the score is the better of the two fuzzy ratios over the whole body. The
+    recorded text begins at the first place in the body of the quote's first word, as the verifier's records do. Entries go to a body in
+    groups of ENTRIES, so that a body which very many cite is not copied for each and its entries spread over tasks."""
+    q = entries.select("entry", "slug", X.quote_norm(F.coalesce("quote", F.lit(""))).alias("q"))
+    sizes = q.groupBy("slug").agg(F.count("*").alias("n"))
+    held = bodies.join(sizes, "slug").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / ENTRIES).cast("int"))))
+    dealt = q.join(sizes, "slug").withColumn("part", F.pmod(F.xxhash64("entry", "q"), F.floor((F.col("n") - 1) / ENTRIES) + 1).cast("int"))
+    groups = dealt.groupBy("slug", "part").agg(F.collect_list(F.struct("entry", "q")).alias("quotes"))
+
+    @F.pandas_udf("array<struct<score: double, passage: string>>")
+    def score(body: pd.Series, quotes: pd.Series) -> pd.Series:
+        out = []
+        for b, some in zip(body, quotes, strict=True):
+            out.append([])
+            for text in some:
+                at = b.find(text.split(" ")[0]) if text else -1
+                out[-1].append({"score": grounding(text, b), "passage": b[at : at + max(len(text) + 40, 80)][:300] if at >= 0 else ""})
+        return pd.Series(out)
+
+    met = held.select("slug", "part", X.quote_norm(F.coalesce("text", F.lit(""))).alias("body")).join(groups, ["slug", "part"])
+    found = met.select("slug", F.explode(F.arrays_zip("quotes", score("body", "quotes.q").alias("found"))).alias("x"))
+    tier = F.when(F.col("score") >= 80, "verified").when(F.col("score") >= 55, "fuzzy").otherwise("not_found")
+    return found.select("x.quotes.entry", "slug", "x.found.score", "x.found.passage").withColumn("status", tier)
 
 
 def verbatim_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:

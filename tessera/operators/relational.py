@@ -102,3 +102,35 @@ def tree_closure(folders: DataFrame, root: int) -> DataFrame:
             break
         known = known.unionByName(edge)
     return known
+
+
+def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 3) -> DataFrame:
+    """(hay, needle) of two columns of distinct strings, where the hay holds the needle anywhere.
+
+    A needle's grams of `size` characters (of all of it, if it is shorter) stand in whatever holds it, so the one of them in the
+    fewest hays names the candidates, and only those are compared. The empty needle stands in every hay; nulls in none."""
+    longest = hays.agg(F.max(F.length("hay"))).first()[0]
+    wanted = needles.filter(F.length("needle") <= F.lit(longest)).select("needle", F.least(F.lit(size), F.length("needle")).alias("k"))
+    sizes = sorted(r[0] for r in wanted.select("k").distinct().collect())  # `size` + 1 numbers at most
+
+    def grams(text: Column, k: int) -> Column:
+        # a pattern that only looks ahead finds overlapping grams in one pass over the text
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))) if k else F.array(F.lit(""))
+
+    def every(text: Column, k: Column | None) -> Column:
+        """Grams of one size, that of `k`, or of all sizes."""
+        if k is None:
+            return F.concat(*(grams(text, n) for n in sizes)) if sizes else F.array().cast("array<string>")
+        out = F.lit(None).cast("array<string>")
+        for n in sizes:
+            out = F.when(k == n, grams(text, n)).otherwise(out)
+        return out
+
+    wanted = wanted.select("needle", F.explode(every(F.col("needle"), F.col("k"))).alias("gram"))
+    index = hays.filter("hay is not null").select("hay", F.explode(every(F.col("hay"), None)).alias("gram"))
+    index = index.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no hay has rules the needle out
+    rare = wanted.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).filter("m.n > 0")
+    met = rare.select("needle", F.col("m.gram").alias("gram")).join(index, "gram")
+    return met.filter(F.contains("hay", "needle")).select("hay", "needle")

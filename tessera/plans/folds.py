@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import alignment
 from tessera.operators import folds as L
 from tessera.operators.graph import connected
 from tessera.plans.measures import TFIDF_SQL, tfidf
@@ -178,29 +179,33 @@ def x21(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn grounded in the next one: the better of two fuzzy ratios, then tiers."""
     c = load(spark, sf, "conversations").select("conv_id", "turn", X.quote_norm(F.col("text")).alias("q"))
     c = c.withColumn("b", F.lead("q").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
-    s = c.select("conv_id", "turn", L.grounding_score(F.col("q"), F.col("b")).alias("score"))
+    s = c.select("conv_id", "turn", alignment.grounding_score(F.col("q"), F.col("b")).alias("score"))
     return s.withColumn("status", F.when(F.col("score") >= 80, "verified").when(F.col("score") >= 55, "fuzzy").otherwise("not_found"))
 
 
 @register("x22_transcript_similarity")
 def x22(spark: SparkSession, sf: str) -> DataFrame:
-    """Token-set similarity of neighbouring turns; a pair of which one side has under five words is too short."""
+    """Token-set similarity of each turn with the next one, then tiers; a next turn of under 200 characters is too short to judge."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(L.token_set_ratio(x, y), 1) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+        return pd.Series([round(alignment.token_set_ratio(x, y), 1) for x, y in zip(a, b, strict=True)], dtype="f8")
 
-    c = load(spark, sf, "conversations").select("conv_id", "turn", X.quote_norm(F.col("text")).alias("t"))
-    p = c.withColumn("n", F.lead("t").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("n is not null")
-    short = F.least(F.size(F.split("t", " ")), F.size(F.split("n", " "))) < 5
-    return p.select("conv_id", "turn", F.when(short, -1.0).otherwise(ratio("t", "n")).alias("score"))
+    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", " "), r"\s+", " "))
+    c = load(spark, sf, "conversations").select("conv_id", "turn", "text", norm.alias("t"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    p = c.withColumn("n", F.lead("t").over(order)).withColumn("next", F.lead("text").over(order)).filter("n is not null")
+    early = F.when(F.coalesce(F.col("text"), F.lit("")) == "", "no_transcript").when(F.col("next") == "", "no_captions").when(F.length("n") < 200, "captions_too_short")
+    p = p.withColumn("early", early).withColumn("score", F.when(F.col("early").isNull(), ratio("t", "n")).otherwise(0.0))
+    status = F.coalesce("early", F.when(F.col("score") >= 75, "verified").when(F.col("score") >= 55, "partial").otherwise("mismatch"))
+    return p.select("conv_id", "turn", "score", status.alias("status"))
 
 
 @register("x24_word_error_rate")
 def x24w(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn against the next one."""
     c = load(spark, sf, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("then"))
-    return c.filter("then is not null").select("conv_id", "turn", L.word_error_rate(F.col("text"), F.col("then")).alias("wer"))
+    return c.filter("then is not null").select("conv_id", "turn", alignment.word_error_rate(F.col("text"), F.col("then")).alias("wer"))
 
 
 @register("x25_alignment_classes")

@@ -97,9 +97,14 @@ def x39_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("x21_quotes_grounded_in_documents")
 def x21_grounded(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark text against all documents: the passage that grounds it best, with score, tier and recorded text."""
-    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return quotes.ground_quotes(q, load(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    """Every document is an opinion that one benchmark item cites; each citing item's text is looked for in the whole opinion."""
+    items = load(spark, sf, "benchmark").select(F.col("item_id").alias("entry"), "text")
+    n = items.count()
+    cite = lambda k: X.cite_slug(F.concat(k.cast("string"), F.lit(" U.S. "), (k % 7).cast("string")))
+    docs = load(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("k"))
+    bodies = docs.select(F.concat_ws("-", cite(F.col("k")), "doc_id").alias("slug"), "text")
+    cited = docs.select("k", "doc_id").join(items.withColumn("k", F.pmod("entry", F.lit(n))), "k")
+    return quotes.ground_entries(cited.select("entry", F.concat_ws("-", cite(F.col("k")), "doc_id").alias("slug"), F.col("text").alias("quote")), bodies)
 
 
 #: A title for each filing rule, and one that fits none.

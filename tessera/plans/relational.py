@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import access_filter, anti_join, first_by, fill_gaps, insert_ignore, latest, nth_tile_labels, overview, reconcile, tree_closure, update_changed, upsert
+from tessera.operators.relational import access_filter, anti_join, containment_pairs, first_by, fill_gaps, insert_ignore, latest, nth_tile_labels, overview, reconcile, tree_closure, update_changed, upsert
 from tessera.registry import register
 from tessera.tables import load
 
@@ -295,8 +295,26 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
 SELECT n_nationkey, min(r_regionkey) AS first_hit FROM (SELECT n_nationkey, lower(n_name) AS a FROM nation) JOIN (SELECT p_partkey AS r_regionkey, 'nation_' || p_size AS h FROM part) ON contains(a, h) OR contains(h, a) GROUP BY 1""")
 def j09(spark: SparkSession, sf: str) -> DataFrame:
     a = load(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("a"))
-    h = load(spark, sf, "part").select(F.col("p_partkey").alias("r_regionkey"), F.concat(F.lit("nation_"), F.col("p_size").cast("string")).alias("h"))
-    return a.join(h, F.col("a").contains(F.col("h")) | F.col("h").contains(F.col("a"))).groupBy("n_nationkey").agg(F.min("r_regionkey").alias("first_hit"))
+    h = load(spark, sf, "part").groupBy(F.concat(F.lit("nation_"), F.col("p_size").cast("string")).alias("h")).agg(F.min("p_partkey").alias("first"))
+    x, y = a.select("a").distinct(), h.select("h")
+    down = containment_pairs(x.withColumnRenamed("a", "hay"), y.withColumnRenamed("h", "needle")).toDF("a", "h")
+    up = containment_pairs(y.withColumnRenamed("h", "hay"), x.withColumnRenamed("a", "needle")).toDF("h", "a").select("a", "h")
+    return a.join(down.unionByName(up), "a").join(h, "h").groupBy("n_nationkey").agg(F.min("first").alias("first_hit"))
+
+
+@register("j09_passages_in_texts", """
+WITH p AS (SELECT item_id, text AS whole, substr(text, 30, 40) AS part FROM benchmark)
+SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM p JOIN documents d ON contains(d.text, part) OR contains(whole, d.text) GROUP BY 1""")
+def j09_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and documents of which either side holds the other: a passage of the item stands in the document, or the whole document in the item."""
+    p = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("whole"), F.substring("text", 30, 40).alias("part"))
+    d = load(spark, sf, "documents").filter("text is not null").groupBy("text").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    text = d.select("text")
+    down = containment_pairs(text.withColumnRenamed("text", "hay"), p.select(F.col("part").alias("needle")).distinct())
+    up = containment_pairs(p.select(F.col("whole").alias("hay")).distinct(), text.withColumnRenamed("text", "needle"))
+    down = down.join(p, F.col("needle") == F.col("part")).select("item_id", F.col("hay").alias("text"))
+    up = up.join(p, F.col("hay") == F.col("whole")).select("item_id", F.col("needle").alias("text"))
+    return down.unionByName(up).distinct().join(d, "text").groupBy("item_id").agg(F.sum("copies").alias("n"), F.min("first").alias("first_doc"))
 
 
 @register("j10_inverted_index_join", """

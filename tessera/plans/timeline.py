@@ -300,6 +300,44 @@ def d03(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("event_id", F.col("piece").cast("long").alias("piece"), F.round("offset", 3).alias("offset"), F.round("length", 3).alias("length"))
 
 
+#: Pieces of the purchases between breaks b (timeline, t), none shorter than five minutes beside a break.
+PIECES_SQL = """x AS (SELECT DISTINCT e.event_id, t - e.start AS r, e.stop - e.start AS n FROM ev e JOIN b ON b.timeline = e.timeline AND t > e.start AND t < e.stop WHERE type = 'purchase'),
+k AS (SELECT event_id, r FROM (SELECT *, lag(r, 1, 0) OVER w AS p, lead(r, 1, n) OVER w AS q FROM x WINDOW w AS (PARTITION BY event_id ORDER BY r)) WHERE r - p >= 300 AND q - r >= 300 UNION ALL SELECT event_id, stop - start FROM ev WHERE type = 'purchase')
+SELECT event_id, row_number() OVER w - 1 AS piece, round(lag(r, 1, 0) OVER w, 3) AS "offset", round(r - lag(r, 1, 0) OVER w, 3) AS length FROM k WINDOW w AS (PARTITION BY event_id ORDER BY r)"""
+#: Views in two splits that change every few hours.
+SPLITS_SQL = """u AS (SELECT *, lag(split) OVER w AS p, lag(stop) OVER w AS before, row_number() OVER w AS i FROM (SELECT *, CASE WHEN floor(start / 14400) % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM ev WHERE type = 'view') WINDOW w AS (PARTITION BY timeline ORDER BY start, event_id)),
+c AS (SELECT timeline, start, before, i FROM u WHERE i = 1 OR p <> split)"""
+
+
+def _pieces(spark: SparkSession, sf: str, breaks: DataFrame) -> DataFrame:
+    cut = I.cut_events(intervals(spark, sf).filter("type = 'purchase'"), breaks, 300.0)
+    return cut.select("event_id", F.col("piece").cast("long").alias("piece"), F.round("offset", 3).alias("offset"), F.round("duration", 3).alias("length"))
+
+
+def _views(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals(spark, sf).filter("type = 'view'").withColumn("split", F.when(F.floor(F.col("start") / 14400) % 3 == 0, "test").otherwise("train"))
+
+
+@register("d03_cut_at_splits", f"WITH {INTERVALS_SQL}, {SPLITS_SQL}, b AS (SELECT timeline, start AS t FROM c), {PIECES_SQL}")
+def d03_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases cut where the split of the same user's views changes."""
+    return _pieces(spark, sf, I.split_breaks(_views(spark, sf)))
+
+
+@register("d03_cut_in_sections", f"""WITH {INTERVALS_SQL}, {SPLITS_SQL}, l AS (SELECT timeline, max_by(stop, (start, event_id)) AS last FROM u GROUP BY 1),
+s AS (SELECT timeline, start, coalesce(lead(before) OVER (PARTITION BY timeline ORDER BY start, i), last) AS until FROM c JOIN l USING (timeline)), b AS (SELECT timeline, start + unnest(range(greatest(0, ceil((until - start) / 1800)::BIGINT))) * 1800.0::DOUBLE AS t FROM s), {PIECES_SQL}""")
+def d03_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, and each half hour inside a section."""
+    return _pieces(spark, sf, I.split_breaks(_views(spark, sf), 1800.0))
+
+
+@register("d03_cut_evenly", f"""WITH {INTERVALS_SQL}, s AS (SELECT timeline, min(start) AS since, max(stop) AS until FROM ev GROUP BY 1), n AS (SELECT *, ceil((until - since) / 2700)::BIGINT AS n FROM s),
+b AS (SELECT timeline, since + unnest(range(n - CASE WHEN until - (since + (n - 1) * 2700.0::DOUBLE) < 300 THEN 1 ELSE 0 END)) * 2700.0::DOUBLE AS t FROM n), {PIECES_SQL}""")
+def d03_even(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases cut each 45 minutes of the user's whole timeline."""
+    return _pieces(spark, sf, I.even_breaks(intervals(spark, sf), 2700.0, 300.0))
+
+
 @register("d06_grouped_split", "SELECT user_id, CASE WHEN ('0x' || substr(md5(user_id::VARCHAR), 1, 6))::BIGINT < 0.25 * 16777216 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM events GROUP BY 1, 2")
 def d06(spark: SparkSession, sf: str) -> DataFrame:
     u = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 6), 16, 10).cast("long")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import alignment
 from tessera.operators import folds as L
 from tessera.operators import intervals as I
 from tessera.operators import order as O
@@ -141,11 +142,6 @@ def test_approximate_match():
     assert L.approximate_match(a, b, 10, 0) == ([0, 1, 2], [0, 1, 2]) and L.approximate_match(a, b, 10, 0, 0.0) == ([0], [0])
 
 
-def test_edit_match():
-    assert L.edit_match(list("abcd"), list("abd")) == ([0, 1, 3], [0, 1, 2])
-    assert L.edit_match([], list("ab")) == ([], [])
-
-
 def test_places_in_a_global_order(spark, monkeypatch):
     r = np.random.default_rng(3)
     v = [(int(i), float(x)) for i, x in enumerate(r.integers(0, 60, 300))]
@@ -237,11 +233,6 @@ def test_treatment_signal_loses_marks_behind_the_cut(spark):
     assert [r[0] for r in df.select(X.treatment_signal(F.col("t"))[0]).collect()] == ["yellow", "red", "green"]
 
 
-def test_fuzzy_ratios():
-    assert L.partial_ratio("abc", "xxabcxx") == 100.0 and L.partial_ratio("", "x") == 0.0
-    assert L.token_set_ratio("b a", "a b c") == 100.0
-
-
 def plain_distance(a, b):
     """Edit distance by recursion over prefixes."""
     cost = [[max(i, j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
@@ -254,7 +245,7 @@ def plain_distance(a, b):
 def test_word_errors_and_character_classes(spark):
     pairs = [("a b c", "a c"), ("a b c", "x b c d"), ("", "a"), (None, None), ("a b", ""), ("one two three four", "two one four three")]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, t string, g string")
-    got = dict(rows(df.select("i", L.word_error_rate(F.col("t"), F.col("g")))))
+    got = dict(rows(df.select("i", alignment.word_error_rate(F.col("t"), F.col("g")))))
     assert got == {i: plain_distance((a or "").split(), (b or "").split()) / max(1, len((a or "").split())) for i, (a, b) in enumerate(pairs)}
     k = [("abcd", "abXd"), ("abcd", "abcdd"), ("abcd", "bcd"), ("", "xy"), (None, "z"), ("ab", "")]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(k)], "i int, t string, g string")
