@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.operators import intervals as I
 from tessera.operators import raster
-from tessera.operators.metrics import retrieval_ranks
 from tessera.operators.order import average_ranks
+from tessera.operators.search import product_ranks, top_products
 from tessera.registry import register
 from tessera.tables import INTERVALS_SQL, intervals, load
 
@@ -44,7 +44,7 @@ def ranks(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
     b = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
     q = v.filter("vec_id % 100 = 0").join(b, "vec_id").select(F.col("vec_id").alias("id"), F.zip_with("v", "w", lambda x, y: x + F.lit(0.9) * y).alias("vec"))
-    return retrieval_ranks(q, v.select(F.col("vec_id").alias("id"), F.col("v").alias("vec")))
+    return product_ranks(q, v.select(F.col("vec_id").alias("id"), F.col("v").alias("vec")))
 
 
 @register("m03_retrieval_rank", RANK_SQL + " SELECT id, (greater + not_less) / 2 AS rank FROM r")
@@ -113,11 +113,20 @@ def m11(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("j25_retrieval_similarity", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT q, vec_id AS best FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS k FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE k = 1")
 def j25(spark: SparkSession, sf: str) -> DataFrame:
-    """The stated query set (ids divisible by 100) against all vectors; partial maxima per task, no pair is shuffled."""
-    v = vectors(spark, sf)
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("x"))
-    pairs = v.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", A.dot(F.col("x"), F.col("v")).alias("s"))
-    return pairs.groupBy("q").agg(F.max_by("vec_id", F.struct("s", (-F.col("vec_id")).alias("o"))).alias("best"))
+    """The stated query set (ids divisible by 100) against all vectors."""
+    return products(spark, sf).select("q", F.col("id").alias("best"))
+
+
+def products(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("v").alias("vec"))
+    return top_products(v.filter("id % 100 = 0"), v, 1)
+
+
+@register("j25_share_compared")
+def j25_share(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of all pairs of a query and a vector the bounds leave to be compared."""
+    n = load(spark, sf, "embeddings").count()
+    return products(spark, sf).agg(F.count("*").alias("n_queries"), F.sum("compared").alias("n_compared")).withColumn("share", F.round(F.col("n_compared") / F.col("n_queries") / n, 6))
 
 
 @register("j26_nearest_vocabulary", "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT label AS w, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(64)) AS i FROM v) GROUP BY 1, 2) GROUP BY 1) SELECT vec_id, w FROM (SELECT vec_id, w, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), w) AS k FROM v, m) WHERE k = 1")
