@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.alignment import edit_match
-from tessera.operators.graph import connected
 
 
 def hash_split(uid: Column, ratios: dict[str, float], seed: float = 0.0) -> Column:
@@ -304,45 +303,6 @@ def cosine_pairs(x: DataFrame, least: float) -> DataFrame:
     return pairs.filter(F.col("c") >= least - 1e-12)
 
 
-def linkage(ids: list, close: dict[tuple, float], most: float) -> list[int]:
-    """Cluster of each id, by the place of its first member: the two clusters whose furthest members are closest are joined while
-    that is below `most`; the first of equals. Pairs that `close` (distances) does not hold are too far apart."""
-    n = len(ids)
-    at = {v: k for k, v in enumerate(ids)}
-    far = np.full((n, n), np.inf)
-    for (a, b), d in close.items():
-        far[at[a], at[b]] = far[at[b], at[a]] = d
-    owner = np.arange(n)
-    while n > 1:
-        i, j = divmod(int(far.argmin()), n)
-        if not far[i, j] < most:
-            break
-        i, j = min(i, j), max(i, j)
-        far[i] = far[:, i] = np.maximum(far[i], far[j])
-        far[i, i] = np.inf
-        far[j] = far[:, j] = np.inf
-        owner[owner == j] = i
-    return owner.tolist()
-
-
-def complete_linkage(pairs: DataFrame, most: float) -> DataFrame:
-    """(id, cluster) of every id in `pairs` (a, b, c: cosine): complete linkage by 1 - c, joined below `most`; a cluster is named by
-    its least id.
-
-    Members of a cluster are all closer than `most`, so a cluster lies inside one component of the pairs that are; components are
-    clustered apart from each other, each by one task."""
-    near = pairs.withColumn("distance", 1 - F.col("c")).filter(F.col("distance") < most).select("a", "b", "distance")
-    kind = pairs.schema["a"].dataType.simpleString()
-    found = connected(near.select("a", "b"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted({*pdf.a, *pdf.b})
-        owner = linkage(ids, dict(zip(zip(pdf.a, pdf.b, strict=True), pdf.distance, strict=True)), most)
-        return pd.DataFrame({"id": ids, "cluster": [ids[k] for k in owner]})
-
-    return near.join(found.select(F.col("id").alias("a"), "component"), "a").groupBy("component").applyInPandas(lambda pdf: cluster(pdf), f"id {kind}, cluster {kind}")
-
-
 def monte_carlo(spark, trials: int, seed: int, steps: int = 16) -> DataFrame:
     """Tiers that trials reach, each trial with its own seeded generator: (tier, n)."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import alignment
+from tessera.operators import alignment, cluster, ngrams
 from tessera.operators import folds as L
 from tessera.operators.graph import connected
 from tessera.plans.measures import TFIDF_SQL, tfidf
@@ -55,7 +55,7 @@ def d04(spark: SparkSession, sf: str) -> DataFrame:
 def d04_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Items clustered by complete linkage of their word weights, whole clusters packed to splits."""
     items = load(spark, sf, "benchmark").select("item_id", "text")
-    found = L.complete_linkage(L.cosine_pairs(tfidf(items, "item_id"), 0.2), 0.8).withColumnRenamed("id", "item_id")
+    found = cluster.complete_linkage(L.cosine_pairs(tfidf(items, "item_id"), 0.2), 0.8).withColumnRenamed("id", "item_id")
     clustered = items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("cluster", "item_id").alias("cluster"))
     return split_clusters(clustered, "item_id", {"train": 0.7, "val": 0.15, "test": 0.15}).join(clustered, "item_id")
 
@@ -237,6 +237,17 @@ def o07(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "embeddings").select("vec_id", path("embedding").alias("path"))
 
 
+@register("o07_ngram_beam")
+def o07_ngram(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight steps over eight characters, from each vector's components, with a back-off model of all turns' characters."""
+    model = ngrams.BackOff(load(spark, sf, "conversations").select(ngrams.spaced(F.col("text")).alias("text")))
+    e = load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    e = e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("step"), F.element_at(F.array(*map(F.lit, "etaonr7&")), (F.col("i") % 8 + 1).cast("int")).alias("c"), (F.col("x").cast("double") * 8).alias("x"))
+    total = F.log(F.sum(F.exp("x")).over(Window.partitionBy("vec_id", "step")))
+    found = ngrams.beam_decode(e.withColumn("p", F.col("x") - total).drop("x"), model, width=5, labels=6, id_col="vec_id")
+    return found.select("vec_id", F.replace("text", F.lit("&"), F.lit(" ")).alias("text"), F.round("score", 6).alias("score"))
+
+
 @register("t01_overlap_slice", f"WITH {INTERVALS_SQL} SELECT event_id, CAST(greatest(0, least(9, floor(duration / 1000))) AS INTEGER) AS first, CAST(least(3, 10 - greatest(0, least(9, floor(duration / 1000)))) AS INTEGER) AS n FROM ev")
 def t01(spark: SparkSession, sf: str) -> DataFrame:
     """Slice of ten samples that a window of three covers, at least one sample, pulled back at the right end."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import alignment
+from tessera.operators import alignment, cluster
 from tessera.operators import folds as L
 from tessera.operators import intervals as I
 from tessera.operators import order as O
@@ -160,13 +160,13 @@ def test_complete_linkage(spark):
     x = [("a", "p", 1.0), ("b", "p", 0.8), ("b", "q", 0.6), ("c", "p", 0.6), ("c", "q", 0.8), ("d", "z", 1.0)]
     pairs = L.cosine_pairs(spark.createDataFrame(x, "d string, w string, x double"), 0.5)
     assert [(a, b, round(c, 9)) for a, b, c in rows(pairs)] == [("b", "a", 0.8), ("c", "a", 0.6), ("c", "b", 0.96)]
-    assert rows(L.complete_linkage(pairs, 0.3)) == [("a", "a"), ("b", "b"), ("c", "b")]  # a is too far from c
-    assert rows(L.complete_linkage(pairs, 0.5)) == [("a", "a"), ("b", "a"), ("c", "a")]
+    assert rows(cluster.complete_linkage(pairs, 0.3)) == [("a", "a"), ("b", "b"), ("c", "b")]  # a is too far from c
+    assert rows(cluster.complete_linkage(pairs, 0.5)) == [("a", "a"), ("b", "a"), ("c", "a")]
     r = np.random.default_rng(5)
     for _ in range(20):
         n = int(r.integers(2, 9))
         d = np.triu(r.random((n, n)), 1)
-        got = L.linkage(list(range(n)), {(i, j): d[i, j] for i in range(n) for j in range(i + 1, n)}, 0.6)
+        got = cluster.linkage(list(range(n)), {(i, j): d[i, j] for i in range(n) for j in range(i + 1, n)}, 0.6)
         clusters = [{i} for i in range(n)]
         reach = lambda p, q: max(d[min(i, j), max(i, j)] for i in p for j in q)
         while len(clusters) > 1:
