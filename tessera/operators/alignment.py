@@ -54,7 +54,7 @@ def similarity(a: str, b: str) -> float:
     return 200 * common_length(places(short), len(short), long) / (len(a) + len(b)) if short else 0.0
 
 
-LANES = 512
+LANES, TOGETHER = 512, 16  # windows in one number: of a first look, and of those that are looked at again
 
 
 def window_lengths(bits: dict[str, int], m: int, text: str, stride: int) -> list[int]:
@@ -78,6 +78,21 @@ def window_lengths(bits: dict[str, int], m: int, text: str, stride: int) -> list
     return out
 
 
+def lengths_at(bits: dict[str, int], m: int, text: str, starts: list[int]) -> list[int]:
+    """The same for windows anywhere."""
+    width = m // 8 + 1
+    one, none = {c: v.to_bytes(width, "little") for c, v in bits.items()}, bytes(width)
+    cells = [one.get(c, none) for c in text[min(starts) : max(starts) + m]] if max(starts) - min(starts) < len(starts) * m else None
+    first = min(starts)
+    full = int.from_bytes(((1 << m) - 1).to_bytes(width, "little") * len(starts), "little")
+    free = full
+    for k in range(m):
+        hit = free & int.from_bytes(b"".join([cells[i + k - first] for i in starts] if cells else [one.get(text[i + k], none) for i in starts]), "little")
+        free = (free + hit | free - hit) & full
+    raw = free.to_bytes(width * len(starts), "little")
+    return [m - int.from_bytes(raw[i * width : (i + 1) * width], "little").bit_count() for i in range(len(starts))]
+
+
 def _best_part(a: str, b: str, best: float) -> float:
     m, n = len(a), len(b)
     ends = []
@@ -96,13 +111,15 @@ def _best_part(a: str, b: str, best: float) -> float:
     open_ = [(-peak(*x), *x) for x in spans if x[1] - x[0] > 1 and peak(*x) * 100 > best * m]
     heapq.heapify(open_)
     while open_ and -open_[0][0] * 100 > best * m:
-        _, lo, hi, p, q = heapq.heappop(open_)
-        at = min(hi - 1, max(lo + 1, lo + (q - p + hi - lo) // 2))
-        found = common_length(bits, m, b[at : at + m])
-        best = max(best, 100 * found / m)
-        for x, y, r, s in ((lo, at, p, found), (at, hi, found, q)):
-            if y - x > 1:
-                heapq.heappush(open_, (-peak(x, y, r, s), x, y, r, s))
+        some = [heapq.heappop(open_)]
+        while open_ and len(some) < TOGETHER and -open_[0][0] * 100 > best * m:
+            some.append(heapq.heappop(open_))
+        cuts = [min(hi - 1, max(lo + 1, lo + (q - p + hi - lo) // 2)) for _, lo, hi, p, q in some]
+        for (_, lo, hi, p, q), at, found in zip(some, cuts, lengths_at(bits, m, b, cuts), strict=True):
+            best = max(best, 100 * found / m)
+            for x, y, r, s in ((lo, at, p, found), (at, hi, found, q)):
+                if y - x > 1 and peak(x, y, r, s) * 100 > best * m:
+                    heapq.heappush(open_, (-peak(x, y, r, s), x, y, r, s))
     return best
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.alignment import edit_match
+from tessera.operators.order import running_tail
+from tessera.session import table
 
 
 def hash_split(uid: Column, ratios: dict[str, float], seed: float = 0.0) -> Column:
@@ -98,12 +100,19 @@ def sentence_context(rows: DataFrame, max_context: int | None = None) -> DataFra
     other = near & ~F.col("prev.split").eqNullSafe(F.col("split"))
     w = w.withColumn("ended", F.coalesce(ended, F.lit(False))).withColumn("reset", F.coalesce(other & (F.col("ended") | ~F.col("inside")), F.lit(False)))
     w = w.withColumn("era", F.sum(F.col("reset").cast("int")).over(so_far))
-    past = F.collect_list(F.when(F.col("ended") & ~F.col("reset"), F.col("prev.sentence"))).over(Window.partitionBy("timeline", "era").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, 0))
+    w = w.withColumn("adds", F.col("ended") & ~F.col("reset"))
+    era = Window.partitionBy("timeline", "era").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, 0)
     own = F.substring("sentence", F.lit(1), (F.col("sentence_char") + F.length("text")).cast("int"))
-    context = F.concat(F.array_join(past, ""), own)
-    if max_context is not None:
-        context = F.substring_index(context, " ", -max_context - 1)
-    return w.select("id", F.when(F.col("placed"), context).otherwise("").alias("context"))
+    if max_context is None:
+        context = F.concat(F.array_join(F.collect_list(F.when(F.col("adds"), F.col("prev.sentence"))).over(era), ""), own)
+        return w.select("id", F.when(F.col("placed"), context).otherwise("").alias("context"))
+    # sentences are folded by themselves, and only as many of their words as a context can hold go on to the words
+    w = table(w.withColumn("done", F.sum(F.col("adds").cast("int")).over(era)).select("id", "timeline", "era", "done", "adds", F.col("prev.sentence").alias("before"), "placed", own.alias("own")))
+    past = running_tail(w.filter("adds").select("timeline", "era", "done", "before"), ["timeline", "era"], "done", "before", max_context + 1)
+    past = past.select(F.col("timeline").alias("_t"), F.col("era").alias("_e"), F.col("done").alias("_d"), "tail")
+    joined = w.join(past, w["timeline"].eqNullSafe(past["_t"]) & (w["era"] == past["_e"]) & (w["done"] == past["_d"]), "left")
+    context = F.substring_index(F.concat(F.coalesce("tail", F.lit("")), "own"), " ", -max_context - 1)
+    return joined.select("id", F.when(F.col("placed"), context).otherwise("").alias("context"))
 
 
 def pair_presses(rows: DataFrame) -> DataFrame:

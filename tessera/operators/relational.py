@@ -104,13 +104,18 @@ def tree_closure(folders: DataFrame, root: int) -> DataFrame:
     return known
 
 
+GRAMS = 100_000  # grams of needles that may be sent to every task
+
+
 def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 3) -> DataFrame:
     """(hay, needle) of two columns of distinct strings, where the hay holds the needle anywhere.
 
     A needle's grams of `size` characters (of all of it, if it is shorter) stand in whatever holds it, so the one of them in the
     fewest hays names the candidates, and only those are compared. The empty needle stands in every hay; nulls in none."""
+    hays = table(hays.filter("hay is not null").select("hay", F.monotonically_increasing_id().alias("h")))
     longest = hays.agg(F.max(F.length("hay"))).first()[0]
-    wanted = needles.filter(F.length("needle") <= F.lit(longest)).select("needle", F.least(F.lit(size), F.length("needle")).alias("k"))
+    needles = table(needles.filter(F.length("needle") <= F.lit(longest)).select("needle", F.monotonically_increasing_id().alias("x")))
+    wanted = needles.withColumn("k", F.least(F.lit(size), F.length("needle")))
     sizes = sorted(r[0] for r in wanted.select("k").distinct().collect())  # `size` + 1 numbers at most
 
     def grams(text: Column, k: int) -> Column:
@@ -126,11 +131,14 @@ def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 3) -> Dat
             out = F.when(k == n, grams(text, n)).otherwise(out)
         return out
 
-    wanted = wanted.select("needle", F.explode(every(F.col("needle"), F.col("k"))).alias("gram"))
-    index = hays.filter("hay is not null").select("hay", F.explode(every(F.col("hay"), None)).alias("gram"))
-    index = index.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    wanted = table(wanted.select("x", F.explode(every(F.col("needle"), F.col("k"))).alias("gram")))
+    asked = wanted.select("gram").distinct()
+    # few grams go to the texts, so that only those that are asked for leave them
+    few = asked.limit(GRAMS + 1).count() <= GRAMS
+    index = hays.select("h", F.explode(every(F.col("hay"), None)).alias("gram"))
+    index = table(index.join(F.broadcast(asked) if few else asked, "gram", "left_semi"))
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no hay has rules the needle out
-    rare = wanted.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).filter("m.n > 0")
-    met = rare.select("needle", F.col("m.gram").alias("gram")).join(index, "gram")
-    return met.filter(F.contains("hay", "needle")).select("hay", "needle")
+    rare = wanted.join(often, "gram", "left").groupBy("x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).filter("m.n > 0")
+    met = rare.select("x", F.col("m.gram").alias("gram")).join(index, "gram").select("x", "h")
+    return met.join(needles, "x").join(hays, "h").filter(F.contains("hay", "needle")).select("hay", "needle")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.operators.order import smoothed
 
 #: Fixed value: relative precision of single floats.
 EPS32 = 1.1920928955078125e-07
@@ -106,10 +107,7 @@ def moods(frames: DataFrame, key: str, order: list[str], shape: dict[str, Column
     """(key, levels, dominant, mood) after the last frame of each key: emotions smoothed over its frames, the strongest one above
     NEUTRAL (sadness aside), and a mood from 0 (bad) to 1 (good); 0.5 where none is dominant."""
     rows = frames.select(key, *order, F.array(*emotion_targets(shape, base)).alias("target"))
-    all_frames = F.array_sort(F.collect_list(F.struct(*order, "target")))
-    start = F.array_repeat(F.lit(0.0), len(EMOTIONS))
-    levels = F.aggregate(all_frames, start, lambda s, x: F.zip_with(s, x["target"], lambda a, b: a * keep + b * (1 - keep)))
-    out = rows.groupBy(key).agg(levels.alias("levels"))
+    out = smoothed(rows, key, order, "target", keep)
     level = {name: F.element_at("levels", i) for i, name in enumerate(EMOTIONS, 1)}
     seen = [name for name in EMOTIONS if name != "Sad"]
     top = F.greatest(*(level[name] for name in seen))

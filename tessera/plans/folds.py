@@ -76,7 +76,7 @@ WITH c AS (SELECT conv_id, turn, text, CASE WHEN text <> lead(text) OVER (PARTIT
 p AS (SELECT *, coalesce(string_agg(done, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS past, string_split(text, ' ') AS words FROM c),
 w AS (SELECT conv_id, turn, text, past, unnest(range(len(words))) AS k, words FROM p),
 x AS (SELECT conv_id, turn, k, past || substr(text, 1, length(array_to_string(words[1:k + 1], ' '))) AS context FROM w)
-SELECT conv_id * 100000000 + turn * 100000 + k AS id, array_to_string(list_reverse(list_reverse(string_split(context, ' '))[1:21]), ' ') AS context FROM x""")
+SELECT conv_id, turn, k, array_to_string(list_reverse(list_reverse(string_split(context, ' '))[1:21]), ' ') AS context FROM x""")
 def w04(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of every turn in its sentence, with the context before it."""
     c = load(spark, sf, "conversations")
@@ -84,8 +84,8 @@ def w04(spark: SparkSession, sf: str) -> DataFrame:
     place = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.length(F.array_join(F.slice(words, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0))
     w = c.select("conv_id", "turn", F.col("text").alias("sentence"), F.posexplode(F.arrays_zip(words.alias("text"), place.alias("at"))).alias("k", "w"))
     w = w.select("conv_id", "turn", "sentence", "k", "w.text", F.col("w.at").cast("double").alias("sentence_char"))
-    w = w.select((F.col("conv_id") * 100_000_000 + F.col("turn") * 100_000 + F.col("k")).alias("id"), F.col("conv_id").alias("timeline"), (F.col("turn") + F.col("k") / 100_000).alias("start"), "text", "sentence", "sentence_char", F.lit("train").alias("split"))
-    return L.sentence_context(w, 20)
+    w = w.select(F.struct("conv_id", "turn", F.col("k").cast("long").alias("k")).alias("id"), F.col("conv_id").alias("timeline"), F.col("turn").alias("start"), "text", "sentence", "sentence_char", F.lit("train").alias("split"))
+    return L.sentence_context(w, 20).select("id.*", "context")
 
 
 @register("w07_press_release_pairs", f"""

@@ -86,6 +86,7 @@ def test_ratios_against_all_parts():
 def test_ratios_of_long_strings(monkeypatch):
     """Strides of several characters, and lanes that end inside a body."""
     monkeypatch.setattr(A, "LANES", 5)
+    monkeypatch.setattr(A, "TOGETHER", 3)
     r = random.Random(3)
     for n in (60, 130, 210):
         quote = "".join(r.choice("abcdefgh ") for _ in range(n))

@@ -376,3 +376,34 @@ def test_study_cache_and_pushdown(spark, events, tmp_path):
     some = files.load_study(spark, events, f"{tmp_path}/c", "n_events > 1")
     assert some.count() == 5
     assert files.load_study(spark, events, f"{tmp_path}/d").filter("timeline = 1").count() == 5
+
+
+def test_sentence_context_keeps_only_what_counts(spark):
+    """The shortened context is the end of the whole one, for sentences without blanks, over many partitions, and null timelines."""
+    import random
+
+    r = random.Random(8)
+    w, n = [], 0
+    for line in ("a", None, "b"):
+        for k in range(120):
+            sentence = r.choice(["one. ", "two words ", "x", "three short words. ", " "])
+            for at in range(r.randint(1, 2)):
+                w.append((n, line, float(n), "w", sentence, float(at - k % 2), r.choice(["p"] * 9 + ["q"])))
+                n += 1
+    df = spark.createDataFrame(w, "id long, timeline string, start double, text string, sentence string, sentence_char double, split string").repartition(3)
+    whole = dict(rows(L.sentence_context(df)))
+    for most in (0, 1, 5):
+        assert dict(rows(L.sentence_context(df, most))) == {i: " ".join(c.split(" ")[-most - 1 :]) for i, c in whole.items()}
+
+
+def test_smoothing_composes_over_partitions(spark):
+    r = np.random.default_rng(3)
+    x = [(int(k), i, r.normal(size=2).tolist()) for i, k in enumerate(r.choice([1, 1, 1, 1, 2, 3], 400))]
+    got = dict(rows(O.smoothed(spark.createDataFrame(x, "k long, i long, v array<double>").repartition(5), "k", ["i"], "v", 0.8).select("k", "levels")))
+    for k in (1, 2, 3):
+        level = np.zeros(2)
+        for key, _, v in x:
+            if key == k:
+                level = 0.8 * level + 0.2 * np.array(v)
+        assert np.allclose(got[k], level)
+    assert O.smoothed(spark.createDataFrame([], "k long, i long, v array<double>"), "k", ["i"], "v", 0.8).count() == 0
