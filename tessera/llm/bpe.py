@@ -220,10 +220,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         model = load(vocabulary)
         for b in small(batches):
             ids = model.encode_batch([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, ids binary")
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return plain.mapInArrow(encode, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -232,10 +233,11 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(vocabulary)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(decode, f"`{id_col}` {kind}, text string")
+    plain = encoded.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
+    return plain.mapInArrow(decode, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -11,8 +11,8 @@ none is left. With `slop` above 0 a term may stand that many words off its place
 
 Words are compared by a 64-bit hash of their folded bytes.
 
-Cases. Null texts have no words: nothing of a document is hit, an item is ignored, as is an item without id. An item with
-fewer words than a window is one window. Items with equal texts all count as occurring. Documents whose rows repeat get a
+Cases. Null texts have no words: nothing of a document is hit, an item is ignored. Items without id hit words like others and count
+as one item, which has no name. An item with fewer words than a window is one window. Items with equal texts all count as occurring. Documents whose rows repeat get a
 row each. Empty tables give empty results, an empty test table leaves all documents clean. Extra columns are not read.
 """
 
@@ -41,9 +41,9 @@ class TestBlock:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        self.windows: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        found: dict[int, dict[bytes, dict[str, None]]] = {}
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int):
+        self.windows: dict[int, tuple[np.ndarray, list[list[str | None]]]] = {}
+        found: dict[int, dict[bytes, dict[str | None, None]]] = {}
         for item, words in items:
             size = min(window, len(words))
             if size:
@@ -72,7 +72,7 @@ def item_words(text: str) -> np.ndarray:
 def test_blocks(tests: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[TestBlock]:
     """Read the test items in blocks of bounded size."""
     held, n = [], 0
-    rows = tests.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).dropna()
+    rows = tests.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").alias("_text")).dropna(subset="_text")
     for item, text in rows.toLocalIterator():
         words = item_words(text)
         held.append((item, words))
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray |
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for c in chunks(batches, text_col, INDEX_BYTES):
+        for c in chunks(batches, "text", INDEX_BYTES):
             starts, ends, first = word_spans(c.data, c.off, ALNUM)
             h = word_hashes(c.data, starts, ends, fold=True)
             at = np.arange(len(h), dtype=np.int32)
@@ -110,11 +110,11 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray |
             step = np.diff(at, prepend=np.int32(0))
             step[head] = at[head]
             cells = [np.diff(first).astype(np.int32).tobytes(), key[head].tobytes(), np.diff(np.r_[head, len(key)]).astype(np.int32).tobytes(), pack.compress(step.astype(np.int32).tobytes())]
-            ids = pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.column(id_col))
+            ids = pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.column("id"))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in cells)], names=["ids", "doc_words", "terms", "counts", "postings"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return table(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(posted, f"ids array<{kind}>, {INDEX_SCHEMA}"))
+    return table(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(posted, f"ids array<{kind}>, {INDEX_SCHEMA}"))
 
 
 def term_counts(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
@@ -235,8 +235,8 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit[d] = (e - s).sum()
                 spans[d] = [{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("ids")[r].values, pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["ids", "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("ids")[r].values, pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, kind), pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string()))], names=["ids", "n_words", "n_hit", "spans", "items"])
 
 
 def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()

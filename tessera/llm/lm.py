@@ -377,4 +377,4 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         out = names.join(out, "d").drop("d").withColumnRenamed("id", id_col)
     else:
         out = out.withColumn("d", F.col("d").cast(docs.schema[id_col].dataType)).withColumnRenamed("d", id_col)
-    return out.select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return out.select(F.col(f"`{id_col}`"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -344,4 +344,4 @@ class RepeatFinder:
             out = names.join(out, "d").drop("d").withColumnRenamed("id", id_col)
         else:
             out = out.select(F.col("d").cast(docs.schema[id_col].dataType).alias(id_col), *COLUMNS)
-        return out.select(id_col, *(COLUMNS if self.text else COLUMNS[:-1]))
+        return out.select(F.col(f"`{id_col}`"), *(COLUMNS if self.text else COLUMNS[:-1]))
