@@ -57,3 +57,16 @@ def pool(rows: Column, how: str) -> Column:
     join = (lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))) if how == "max" else (lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     out = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.element_at(rows, 1), join)
     return F.transform(out, lambda x: x / F.size(rows)) if how == "mean" else out
+
+
+def pool_layers(layers: Column, n: int, at: list[float] | None, how: str) -> Column:
+    """Some of `n` layers (an array of equally long arrays) as one: mean or sum; or group_mean, an array of the means of the layers from each
+    of them to before the next, the last one with the one before. `at` names layers by their share of the depth (0 to 1), none
+    for all; equal ones count once, and a single one is itself."""
+    picked = sorted({int(x * (n - 1)) for x in at}) if at is not None else list(range(n))
+    if len(picked) == 1:
+        return F.element_at(layers, picked[0] + 1)
+    if how == "group_mean":
+        edges = [*picked[:-1], picked[-1] + 1]
+        return F.array(*(pool(F.slice(layers, a + 1, b - a), "mean") for a, b in zip(edges, edges[1:], strict=False)))
+    return pool(F.array(*(F.element_at(layers, i + 1) for i in picked)), how)

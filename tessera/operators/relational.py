@@ -104,6 +104,21 @@ def tree_closure(folders: DataFrame, root: int) -> DataFrame:
     return known
 
 
+def group_values(rows: DataFrame, key: str, value: str, how: str = "mean", least: int = 1) -> DataFrame:
+    """(key, value): the mean of a group's values, or the `first` one, where all of a group must be equal (an error otherwise). Groups of fewer
+    than `least` rows are left out before that, but where no group has more than one row, all rows stay as they are."""
+    first, last = F.min(F.struct(value)), F.max(F.struct(value))
+    g = rows.groupBy(key).agg(F.count("*").alias("_n"), *([F.avg(value).alias("_out")] if how == "mean" else [first.alias("_low"), last.alias("_high")]))
+    single = g.agg(F.max("_n") == 1).first()[0]
+    g = g if single else g.filter(F.col("_n") >= least)
+    if how == "first":
+        message = F.concat(F.lit("a group holds different values: "), F.col(key).cast("string"))
+        g = g.withColumn("_out", F.when(F.col("_low").eqNullSafe(F.col("_high")), F.col(f"_low.{value}")).otherwise(F.raise_error(message).cast(rows.schema[value].dataType)))
+    elif how != "mean":
+        raise ValueError(f"no such way to combine a group: {how}")
+    return g.select(key, F.col("_out").alias(value))
+
+
 GRAMS = 100_000  # grams of needles that may be sent to every task
 
 

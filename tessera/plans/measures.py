@@ -172,10 +172,14 @@ WITH t AS (SELECT item_id AS d, w, count(*) AS tf FROM (SELECT item_id, unnest(s
 n AS (SELECT count(*) AS n FROM benchmark), df AS (SELECT w, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM t, n GROUP BY w, n), x AS (SELECT d, t.w, tf * idf AS x FROM t JOIN df ON df.w = t.w), l AS (SELECT d, sqrt(sum(x * x)) AS l FROM x GROUP BY 1)"""
 
 
-def tfidf(docs: DataFrame, id_col: str) -> DataFrame:
-    """(d, w, x): smoothed inverse document frequency, each document's weights of length 1."""
+def tfidf(docs: DataFrame, id_col: str, max_features: int | None = None) -> DataFrame:
+    """(d, w, x): smoothed inverse document frequency, each document's weights of length 1; of the `max_features` words that are most
+    frequent in all documents, the first in the alphabet among equals."""
     words = docs.select(F.col(id_col).alias("d"), F.explode(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")).alias("w"))
     tf = words.filter((F.length("w") > 1) & ~F.col("w").isin("the", "of", "and")).groupBy("d", "w").agg(F.count("*").alias("tf"))
+    if max_features is not None:
+        top = tf.groupBy("w").agg(F.sum("tf").alias("all")).orderBy(F.desc("all"), "w").limit(max_features)
+        tf = tf.join(F.broadcast(top.select("w")), "w", "left_semi")
     n = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("w").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     x = tf.join(df, "w").select("d", "w", (F.col("tf") * F.col("idf")).alias("x"))
@@ -189,6 +193,16 @@ def x30(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "w").filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 5).alias("cos"))
 
 
+@register("x30_weights_of_frequent_words", r"""
+WITH t AS (SELECT doc_id AS d, w, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS w FROM documents) WHERE length(w) > 1 AND w NOT IN ('the','of','and') GROUP BY 1, 2),
+k AS (SELECT w FROM t GROUP BY w ORDER BY sum(tf) DESC, w LIMIT 300), u AS (SELECT * FROM t WHERE w IN (SELECT w FROM k)), n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT w, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM u, n GROUP BY w, n), x AS (SELECT d, u.w, tf * idf AS x FROM u JOIN df ON df.w = u.w), l AS (SELECT d, sqrt(sum(x * x)) AS l FROM x GROUP BY 1)
+SELECT x.d AS doc_id, w, round(x / l, 5) AS weight FROM x JOIN l ON l.d = x.d""")
+def x30_frequent(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's weights over the 300 most frequent words of all."""
+    return tfidf(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", 300).select(F.col("d").alias("doc_id"), "w", F.round("x", 5).alias("weight"))
+
+
 @register("x31_layer_pooling", "SELECT vec_id, round((embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2, 6) AS mean0, round(greatest(embedding[2], embedding[34])::DOUBLE, 6) AS max1, round(embedding[1]::DOUBLE, 6) AS first0, round(embedding[33]::DOUBLE, 6) AS last0 FROM embeddings")
 def x31(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.array(F.slice("v", 1, 32), F.slice("v", 33, 32))
@@ -196,6 +210,18 @@ def x31(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select("vec_id", at("mean", 1).alias("mean0"), at("max", 2).alias("max1"), at("first", 1).alias("first0"), at("last", 1).alias("last0"))
 
 
+@register("x31_layer_groups", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT vec_id, list_transform(range(8), lambda i: v[1 + 8 * i:8 + 8 * i]) AS l FROM v)
+SELECT vec_id, round((l[1][1] + l[2][1] + l[3][1]) / 3, 6) AS early, round((l[4][2] + l[5][2]) / 2, 6) AS middle, round((l[6][3] + l[7][3] + l[8][3]) / 3, 6) AS late, 3 AS n_groups, round(l[1][4] + l[4][4] + l[6][4] + l[8][4], 6) AS total, round(list_aggregate(list_transform(l, lambda x: x[5]), 'avg'), 6) AS mean_of_all, round(l[4][6], 6) AS half FROM l""")
+def x31_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight layers of eight numbers: the layers at 0, 1/2, 3/4 and all of the depth by groups and summed, all of them, and one alone."""
+    rows = F.array(*(F.slice("v", 1 + 8 * i, 8) for i in range(8)))
+    at = [0.0, 0.5, 0.75, 1.0]
+    p = vectors(spark, sf).select("vec_id", *(A.pool_layers(rows, 8, x, how).alias(n) for n, x, how in (("g", at, "group_mean"), ("s", at, "sum"), ("m", None, "mean"), ("h", [0.5], "mean"))))
+    cell = lambda c, n: F.round(c, 6).alias(n)
+    return p.select("vec_id", *(cell(F.col("g")[k][k], n) for k, n in enumerate(("early", "middle", "late"))), F.size("g").alias("n_groups"), cell(F.col("s")[3], "total"), cell(F.col("m")[4], "mean_of_all"), cell(F.col("h")[5], "half"))
+
+
 @register("t02_accumulate_samples", f"WITH {INTERVALS_SQL} SELECT s, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM ev, LATERAL (SELECT unnest(range(floor(start / 600)::BIGINT, floor(start / 600)::BIGINT + greatest(1, floor(duration / 600)::BIGINT))) AS s) GROUP BY 1")
 def t02(spark: SparkSession, sf: str) -> DataFrame:
     first = F.floor(F.col("start") / 600)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import intervals as I
 from tessera.operators.order import nth_row, totals_before
+from tessera.operators.relational import group_values
 from tessera.registry import register
 from tessera.session import table
 from tessera.tables import INTERVALS_SQL, intervals, load
@@ -226,6 +227,24 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(F.broadcast(q)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+@register("a16_word_frequency_groups", r"""
+WITH w AS (SELECT conv_id % 5 = 0 AS test, role, unnest(string_split(text, ' ')) AS w FROM conversations), tr AS (SELECT w, count(*) AS f FROM w WHERE NOT test AND w <> '' GROUP BY 1),
+te AS (SELECT role, w FROM w WHERE test AND w <> ''), i AS (SELECT * FROM tr WHERE w IN (SELECT w FROM te)), q AS (SELECT quantile_cont(f, 0.25) AS a, quantile_cont(f, 0.5) AS b, quantile_cont(f, 0.75) AS c FROM i)
+SELECT role, CASE WHEN f IS NULL THEN 'OOV' WHEN f <= a THEN 'Rare' WHEN f <= b THEN 'Q2' WHEN f <= c THEN 'Q3' ELSE 'Frequent' END AS grp, count(*) AS n, round(avg(length(te.w)), 6) AS mean_length FROM te LEFT JOIN i ON i.w = te.w CROSS JOIN q GROUP BY 1, 2""")
+def a16_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the test turns by how frequent they are in the other turns, or that they are not there; cut points over the words of both."""
+    w = load(spark, sf, "conversations").select((F.col("conv_id") % 5 == 0).alias("test"), "role", F.explode(F.split("text", " ")).alias("w")).filter("w <> ''")
+    test = w.filter("test").groupBy("role", "w").agg(F.count("*").alias("n"))
+    train = w.filter("not test").groupBy("w").agg(F.count("*").alias("f")).join(test.select("w").distinct(), "w", "left_semi")
+    # frequencies repeat: their counts are few, whatever the number of words
+    cuts = train.groupBy("f").agg(F.count("*").alias("k")).agg(F.percentile("f", [0.25, 0.5, 0.75], F.col("k")).alias("q"))
+    grp = F.when(F.col("f").isNull(), "OOV")
+    for i, name in enumerate(("Rare", "Q2", "Q3")):
+        grp = grp.when(F.col("f") <= F.col("q")[i], name)
+    found = test.join(train, "w", "left").join(F.broadcast(cuts)).groupBy("role", grp.otherwise("Frequent").alias("grp"))
+    return found.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.length("w")) / F.sum("n"), 6).alias("mean_length"))
+
+
 @register("a17_normalised_frequency", "WITH f AS (SELECT lang, avg(n) AS m FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1) SELECT lang, round(m / (SELECT m FROM f WHERE lang = 'en'), 6) AS rel FROM f")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
     f = load(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.avg("n").alias("m"))
@@ -259,6 +278,13 @@ def a21(spark: SparkSession, sf: str) -> DataFrame:
     return g.filter("n >= 3").drop("n")
 
 
+@register("a21_group_first", "SELECT o_custkey, any_value(c_acctbal) AS c_acctbal FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 HAVING count(*) >= 12")
+def a21_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The balance of each customer with at least twelve orders, which all of the customer's orders agree on."""
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    return group_values(load(spark, sf, "orders").select("o_custkey").join(c, "o_custkey"), "o_custkey", "c_acctbal", "first", 12)
+
+
 @register("a22_metric_per_group", "SELECT label, round(avg(embedding[1]), 6) AS m, round(var_pop(embedding[2]::DOUBLE), 6) AS v FROM embeddings GROUP BY 1")
 def a22(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "embeddings").groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("m"), F.round(F.var_pop(F.col("embedding")[1].cast("double")), 6).alias("v"))

@@ -407,3 +407,14 @@ def test_smoothing_composes_over_partitions(spark):
                 level = 0.8 * level + 0.2 * np.array(v)
         assert np.allclose(got[k], level)
     assert O.smoothed(spark.createDataFrame([], "k long, i long, v array<double>"), "k", ["i"], "v", 0.8).count() == 0
+
+
+def test_group_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 4.0), ("c", 5.0)], "k string, v double")
+    assert rows(R.group_values(df, "k", "v")) == [("a", 1.0), ("b", 3.0), ("c", 5.0)]
+    assert rows(R.group_values(df, "k", "v", least=2)) == [("a", 1.0), ("b", 3.0)]
+    assert rows(R.group_values(df.filter("k <> 'b'"), "k", "v", "first", 2)) == [("a", 1.0)]
+    assert rows(R.group_values(df.filter("k = 'c'"), "k", "v", "first", 2)) == [("c", 5.0)]  # no group has two rows
+    assert rows(R.group_values(df.filter("k <> 'a'"), "k", "v", "first", 3)) == []  # left out before its values are compared
+    with pytest.raises(Exception, match="a group holds different values: b"):
+        R.group_values(df, "k", "v", "first").collect()
