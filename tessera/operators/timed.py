@@ -78,29 +78,41 @@ def baseline_corrected(rows: DataFrame, since: float, until: float, clamp: float
     return out if clamp is None else out.withColumn("corrected", F.greatest(F.lit(-clamp), F.least(F.lit(clamp), F.col("corrected"))))
 
 
-#: The emotions in the order in which they are compared, and the level that a dominant one exceeds.
-EMOTIONS = ("Smile", "Laugh", "Sad", "Angry", "Surprised", "Fear", "Sleepy")
+#: What each emotion makes of face shapes: a weight for each, what is added, and the levels that shapes must exceed. They
+#: stand in the order in which emotions are compared.
+EMOTIONS = {
+    "Smile": ({"smile": 1.0}, 0.0, {}),
+    "Laugh": ({"smile": 0.6, "jaw_open": 0.8}, 0.0, {"smile": 0.4, "jaw_open": 0.15}),
+    "Sad": ({"brow_inner": 0.5, "frown": 0.5}, 0.0, {}),
+    "Angry": ({"brow_down": 4.0, "squint": 0.5, "nose": 0.2}, -0.12, {"brow_down": 0.03}),
+    "Surprised": ({"jaw_open": 0.8, "eye_wide": 0.2}, 0.0, {}),
+    "Fear": ({"brow_inner": 0.4, "brow_outer": 0.3, "eye_wide": 0.3, "stretch": 0.1}, -0.15, {}),
+    "Sleepy": ({"blink": 2.5}, -1.5, {}),
+}
+#: A laugh ends at 1 and, above 0.5, leaves a smile of 0.2; an open jaw takes 1.2 of its share from sadness.
+LAUGH_MOST, LAUGH_HIDES, SMILE_LEFT, JAW_ON_SADNESS = 1.0, 0.5, 0.2, 1.2
+#: The level that a dominant emotion exceeds; the level from which an emotion counts for the mood, and how much.
 NEUTRAL = 0.15
+MOOD = {"Smile": (0.05, 2.0), "Laugh": (0.05, 2.5), "Surprised": (0.15, 0.5), "Angry": (0.05, -2.0), "Sad": (0.05, -1.5), "Fear": (0.15, -1.2)}
 
 
 def emotion_targets(shape: dict[str, Column], base: dict[str, float] | None = None) -> list[Column]:
     """What a frame's face shapes (0 to 1; pairs of sides already averaged) say of each emotion. `base` holds resting levels of
     brow_inner, brow_down, brow_inner_down and nose, above which those count."""
-    rest = base or {}
-    above = lambda name: F.greatest(F.lit(0.0), shape[name] - F.lit(float(rest.get(name, 0.0))))
-    inner, down, nose = above("brow_inner"), F.greatest(above("brow_down"), above("brow_inner_down")), above("nose")
-    jaw, smile, zero = shape["jaw_open"], shape["smile"], F.lit(0.0)
-    laugh = F.when((smile > 0.4) & (jaw > 0.15), F.least(F.lit(1.0), smile * 0.6 + jaw * 0.8)).otherwise(0.0)
-    angry = F.when(down > 0.03, (down - 0.03) * 4.0 + shape["squint"] * 0.5 + nose * 0.2).otherwise(0.0)
-    return [
-        F.when(laugh > 0.5, 0.2).otherwise(smile),
-        laugh,
-        F.greatest(zero, (inner * 0.5 + shape["frown"] * 0.5) * (1 - jaw * 1.2)),
-        F.greatest(zero, angry),
-        jaw * 0.8 + shape["eye_wide"] * 0.2,
-        F.greatest(zero, inner * 0.4 + shape["brow_outer"] * 0.3 + shape["eye_wide"] * 0.3 + shape["stretch"] * 0.1 - 0.15),
-        F.greatest(zero, (shape["blink"] - 0.6) * 2.5),
-    ]
+    raised = {n: F.greatest(F.lit(0.0), shape[n] - F.lit(float((base or {}).get(n, 0.0)))) for n in ("brow_inner", "brow_down", "brow_inner_down", "nose")}
+    face = {**shape, **raised, "brow_down": F.greatest(raised["brow_down"], raised["brow_inner_down"])}
+    out = {}
+    for name, (weights, added, gates) in EMOTIONS.items():
+        level = F.lit(added)
+        for n, weight in weights.items():
+            level = level + face[n] * weight
+        for n, least in gates.items():
+            level = F.when(face[n] > least, level).otherwise(0.0)
+        out[name] = F.greatest(F.lit(0.0), level)
+    out["Laugh"] = F.least(F.lit(LAUGH_MOST), out["Laugh"])
+    out["Smile"] = F.when(out["Laugh"] > LAUGH_HIDES, SMILE_LEFT).otherwise(out["Smile"])
+    out["Sad"] = F.greatest(F.lit(0.0), out["Sad"] * (1 - face["jaw_open"] * JAW_ON_SADNESS))
+    return list(out.values())
 
 
 def moods(frames: DataFrame, key: str, order: list[str], shape: dict[str, Column], base: dict[str, float] | None = None, keep: float = 0.8) -> DataFrame:
@@ -115,10 +127,10 @@ def moods(frames: DataFrame, key: str, order: list[str], shape: dict[str, Column
     for name in seen:
         dominant = dominant.when((top > NEUTRAL) & (level[name] == top), name)
     dominant = dominant.otherwise("Neutral")
-    part = lambda name, least, weight: F.when(level[name] > least, level[name] * weight).otherwise(0.0)
-    good = part("Smile", 0.05, 2.0) + part("Laugh", 0.05, 2.5) + part("Surprised", 0.15, 0.5)
-    bad = part("Angry", 0.05, 2.0) + part("Sad", 0.05, 1.5) + part("Fear", 0.15, 1.2)
-    mood = F.when(top > NEUTRAL, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (good - bad + 1) / 2))).otherwise(0.5)
+    balance = F.lit(0.0)
+    for name, (least, weight) in MOOD.items():
+        balance = balance + F.when(level[name] > least, level[name] * weight).otherwise(0.0)
+    mood = F.when(top > NEUTRAL, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (balance + 1) / 2))).otherwise(0.5)
     return out.select(key, "levels", dominant.alias("dominant"), mood.alias("mood"))
 
 
