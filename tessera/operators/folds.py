@@ -62,21 +62,46 @@ def pack_clusters(sizes: dict[int, int], ratios: dict[str, float]) -> dict[int,
 
 
 def merge_sentences(rows: DataFrame, min_duration: float | None = None, min_words: int | None = None) -> DataFrame:
-    """Groups of consecutive sentences (timeline, start, text, id): one more opens when the group's first start is
-    `min_duration` back and it has `min_words` words."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "id"])
-        group, first, words, out = -1, 0.0, 0, []
-        for start, text in zip(pdf.start, pdf.text, strict=True):
-            new = group < 0 or ((min_duration is None or start - first >= min_duration) and (min_words is None or words >= min_words))
-            if new:
-                group, first, words = group + 1, start, 0
-            words += len((text or "").split())
-            out.append(group)
-        return pd.DataFrame({"id": pdf.id, "timeline": pdf.timeline, "grp": np.array(out, "int64")})
-
-    return rows.select("id", "timeline", "start", "text").groupBy("timeline").applyInPandas(fold, "id long, timeline long, grp long")
+    """(id, timeline, grp): groups of consecutive sentences (timeline, start, text, id): one more opens when the group's first start is
+    `min_duration` back and it has `min_words` words.
+
+    Starts and words only grow along a timeline, so where the next group would open, if one opened here, is the further one of two places,
+    each found by putting what is needed among the sentences' own values. From the first sentence on, these jumps are doubled:
+    each round the known openings lead to as many more."""
+    order = Window.partitionBy("timeline").orderBy("start", "id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    size = F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    s = rows.select("id", "timeline", "start", size.cast("double").alias("size"))
+    s = table(s.select("id", "timeline", F.col("start").cast("double").alias("start"), (F.row_number().over(order) - 1).alias("i"), F.coalesce(F.sum("size").over(before), F.lit(0.0)).alias("words")))
+
+    def reached(value: str, more: float) -> DataFrame:
+        """(timeline, i, j): the first sentence whose value is at least that of sentence i and `more`."""
+        asked = s.select("timeline", (F.col(value) + more).alias("at"), F.lit(None).cast("int").alias("j"), "i")
+        there = s.select("timeline", F.col(value).alias("at"), F.col("i").alias("j"), F.lit(None).cast("int").alias("i"))
+        # what is asked for stands before what is there, and sentences of equal values in their order
+        along = Window.partitionBy("timeline").orderBy("at", F.col("j").isNotNull(), "j").rowsBetween(0, Window.unboundedFollowing)
+        return asked.unionByName(there).withColumn("j", F.first("j", ignorenulls=True).over(along)).filter("i is not null and j is not null")
+
+    jumps = s.select("timeline", "i", (F.col("i") + 1).alias("j"))
+    for value, more in (("start", min_duration), ("words", min_words)):
+        if more is not None:
+            further = reached(value, float(more)).select("timeline", "i", F.col("j").alias("further"))
+            jumps = jumps.join(further, ["timeline", "i"]).withColumn("j", F.greatest("j", "further")).drop("further")
+    jumps = table(jumps)
+    opened = table(s.filter("i = 0").select("timeline", "i"))
+    known = opened.count()
+    while True:
+        to = jumps.join(opened, ["timeline", "i"], "left_semi").select("timeline", F.col("j").alias("i"))
+        opened = table(opened.unionByName(to.join(s.select("timeline", "i"), ["timeline", "i"], "left_semi")).distinct())
+        known, last = opened.count(), known
+        if known == last:
+            break
+        twice = jumps.select("timeline", F.col("i").alias("j"), F.col("j").alias("further"))
+        jumps = table(jumps.join(twice, ["timeline", "j"]).select("timeline", "i", F.col("further").alias("j")))
+    marked = s.join(opened.withColumn("open", F.lit(1)), ["timeline", "i"], "left")
+    grp = F.sum(F.coalesce("open", F.lit(0))).over(Window.partitionBy("timeline").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return marked.select("id", "timeline", grp.cast("long").alias("grp"))
 
 
 def sentence_context(rows: DataFrame, max_context: int | None = None) -> DataFrame:

@@ -418,3 +418,26 @@ def test_group_values(spark):
     assert rows(R.group_values(df.filter("k <> 'a'"), "k", "v", "first", 3)) == []  # left out before its values are compared
     with pytest.raises(Exception, match="a group holds different values: b"):
         R.group_values(df, "k", "v", "first").collect()
+
+
+@pytest.mark.parametrize(("duration", "words"), [(2.5, None), (None, 4), (3.0, 5), (0.0, None), (None, None)])
+def test_merged_sentences_equal_a_fold(spark, duration, words):
+    import random
+
+    r = random.Random(11)
+    s = []
+    for line in (1, 2, 3):
+        at = 0.0
+        for _ in range(40 if line < 3 else 1):
+            s.append((len(s), line, at, r.choice(["", None, "a", "a b", " a  b c ", "a\tb c d"])))
+            at += r.choice([0.0, 0.5, 1.0, 2.0])
+    want = {}
+    for line in (1, 2, 3):
+        grp, first, n = -1, 0.0, 0
+        for i, _, start, text in (x for x in s if x[1] == line):
+            if grp < 0 or ((duration is None or start - first >= duration) and (words is None or n >= words)):
+                grp, first, n = grp + 1, start, 0
+            n += len((text or "").split())
+            want[i] = grp
+    df = spark.createDataFrame(s, "id long, timeline long, start double, text string").repartition(3)
+    assert {x["id"]: x["grp"] for x in L.merge_sentences(df, duration, words).collect()} == want
