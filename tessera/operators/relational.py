@@ -122,7 +122,7 @@ def group_values(rows: DataFrame, key: str, value: str, how: str = "mean", least
 GRAMS = 100_000  # grams of needles that may be sent to every task
 
 
-def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 3) -> DataFrame:
+def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 5) -> DataFrame:
     """(hay, needle) of two columns of distinct strings, where the hay holds the needle anywhere.
 
     A needle's grams of `size` characters (of all of it, if it is shorter) stand in whatever holds it, so the one of them in the
@@ -147,13 +147,17 @@ def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 3) -> Dat
         return out
 
     wanted = table(wanted.select("x", F.explode(every(F.col("needle"), F.col("k"))).alias("gram")))
-    asked = wanted.select("gram").distinct()
-    # few grams go to the texts, so that only those that are asked for leave them
-    few = asked.limit(GRAMS + 1).count() <= GRAMS
-    index = hays.select("h", F.explode(every(F.col("hay"), None)).alias("gram"))
-    index = table(index.join(F.broadcast(asked) if few else asked, "gram", "left_semi"))
-    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    postings = hays.select("h", F.explode(every(F.col("hay"), None)).alias("gram"))
+
+    def only(rows: DataFrame, grams: DataFrame) -> DataFrame:
+        """Rows of some grams; few of them go to the rows, so that others never leave a text."""
+        few = grams.limit(GRAMS + 1).count() <= GRAMS
+        return rows.join(F.broadcast(grams) if few else grams, "gram", "left_semi")
+
+    # first the counts, which tasks sum before they are shuffled; then the places of the rarest grams alone
+    often = only(postings, wanted.select("gram").distinct()).groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no hay has rules the needle out
     rare = wanted.join(often, "gram", "left").groupBy("x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).filter("m.n > 0")
-    met = rare.select("x", F.col("m.gram").alias("gram")).join(index, "gram").select("x", "h")
+    rare = table(rare.select("x", F.col("m.gram").alias("gram")))
+    met = rare.join(only(postings, rare.select("gram").distinct()), "gram").select("x", "h")
     return met.join(needles, "x").join(hays, "h").filter(F.contains("hay", "needle")).select("hay", "needle")
