@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.registry import register
-from tessera.session import table, tables_dir
+from tessera.session import tables_dir
 from tessera.sources import files
 from tessera.streaming import flows
 from tessera.tables import INTERVALS_SQL, intervals, load
