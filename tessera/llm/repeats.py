@@ -18,7 +18,8 @@ steps, none of which holds a group in one task or emits pairs:
    read; the others are kept in the shared folder until the shards are done.
 
 Keys: ids that are unique integers are used as they are. Otherwise (null, repeated or other ids) documents are numbered in
-the order of (id, hash of text), null first; rows that repeat id and text are one document and all get its result.
+the order of (id, hash of text), null first; rows that repeat id and text are documents of their own: as windows of one also
+start in the other, op5 removes both, and op1 all but one.
 """
 
 from __future__ import annotations
@@ -95,18 +96,28 @@ class Units:
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(d, text, id) with one row a document, and (d, id) of all rows where `d` is not the id itself."""
+    """(d, text, id) with one row for each row of `docs`, and (d, id) of all of them where `d` is not the id itself.
+
+    Where ids are missing or repeat, rows are numbered by id, then text; rows that repeat both are documents of their own.
+    Ids with texts are counted before they are numbered, so that many copies of a row never meet in one task."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     if isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         n, ids, distinct = texts.agg(F.count("*"), F.count("id"), F.count_distinct("id")).first()
         if n == ids == distinct:
             return texts.select(F.col("id").cast("long").alias("d"), "text", "id"), None
-    keyed = texts.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
-    order = keyed.select("id", "h", "h2").distinct().orderBy("id", "h", "h2").rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    keyed = texts.withColumn("h", F.sha2("text", 256))
+    counted = keyed.groupBy("id", "h").agg(F.count("*").alias("copies"))
+    order = counted.orderBy("id", "h").rdd.zipWithIndex().map(lambda r: (r[0]["id"], r[0]["h"], r[0]["copies"], r[1]))
     kind = docs.schema[id_col].dataType
-    names = table(docs.sparkSession.createDataFrame(order, T.StructType([T.StructField("i", kind), T.StructField("h", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("d", T.LongType())])))
-    rows = table(keyed.join(names, [keyed["id"].eqNullSafe(names["i"]), keyed["h"] == names["h"], keyed["h2"] == names["h2"]]).select("d", "id", "text"))
-    return table(rows.groupBy("d").agg(F.first("text").alias("text"), F.first("id").alias("id"))), rows.select("d", "id")
+    fields = [("i", kind), ("h", T.StringType()), ("copies", T.LongType()), ("k", T.LongType())]
+    names = table(docs.sparkSession.createDataFrame(order, T.StructType([T.StructField(*f) for f in fields])))
+    # a row's further copies are numbered behind all first ones: a window's first place is then in the first copy of the least id
+    many = names.count()
+    one = keyed.groupBy("id", "h").agg(F.first("text").alias("text"))
+    rows = one.join(names, [one["id"].eqNullSafe(names["i"]), one["h"] == names["h"]])
+    rows = rows.select("id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "k")
+    rows = table(rows.select((F.col("copy") * many + F.col("k")).alias("d"), "id", "text"))
+    return rows, rows.select("d", "id")
 
 
 def pack(x: np.ndarray) -> bytes:

@@ -8,6 +8,7 @@ whole documents, so one document larger than the bound makes a chunk of its own.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
+LONG_WORD = 32  # bytes; longer words are hashed by a digest
 _U = np.uint64
 #: Odd multipliers of the rolling hashes and of the finaliser.
 BASE = 0x9E3779B97F4A7C15
@@ -149,8 +151,16 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Hash of each word, of its folded bytes where `fold` is set."""
-    return span_hashes((BYTE_VALUES[FOLD] if fold else BYTE_VALUES)[data], starts, ends)
+    """Hash of each word, of its folded bytes where `fold` is set.
+
+    Sums modulo 2**64 cancel for long words of a regular build (one that follows the Thue-Morse sequence, and its
+    complement), whatever the base. So words of more than LONG_WORD bytes, which are few, get a cryptographic digest."""
+    h = span_hashes((BYTE_VALUES[FOLD] if fold else BYTE_VALUES)[data], starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    for i, x, y in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        word = FOLD[data[x:y]] if fold else data[x:y]
+        h[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def rolling(units: np.ndarray, k: int) -> np.ndarray:

@@ -100,12 +100,31 @@ def test_dedups_against_brute_force(spark, monkeypatch, hot):
 
 
 def test_dedup_keys_and_clashing_columns(spark):
-    """Repeated rows are one document; null and equal ids work; other columns may have any names."""
+    """Repeated rows are documents of their own; null and equal ids work; other columns may have any names."""
     t, u = " ".join(f"w{i}" for i in range(30)), "x y z"
     df = spark.createDataFrame([(1, t, 5, "k"), (1, t, 5, "k"), (None, t, 6, "k"), (1, u, 7, "k")], "doc_id long, text string, d long, kept_text string")
     got = sorted((r[0] is None, r[0] or 0, r[1], r[2], r[3]) for r in dedup.substring_dedup(df, 20, text=True).select("doc_id", "n_units", "n_removed", "kept_text").collect())
     assert got == [(False, 1, 3, 0, u), (False, 1, 30, 30, ""), (False, 1, 30, 30, ""), (True, 0, 30, 0, t)]
     assert dedup.suffix_array_dedup(df.limit(0)).count() == 0
+    again = frame(spark, [(1, t), (1, t), (1, u), (2, t)])
+    assert sorted((r[0], r[1]) for r in dedup.substring_dedup(again, 20).select("doc_id", "n_removed").collect()) == [(1, 0), (1, 0), (1, 30), (2, 30)]
+    size = len(t)
+    assert sorted((r[0], r[1]) for r in dedup.suffix_array_dedup(again, 50).select("doc_id", "n_removed").collect()) == [(1, 0), (1, size), (1, size), (2, size)]
+
+
+def test_words_of_a_regular_build_have_hashes_of_their_own(spark):
+    """The word that spells the Thue-Morse sequence and its complement: sums modulo a power of two make them equal."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    c = w.translate(str.maketrans("ab", "ba"))
+    one, other = (" ".join(f"w{i}" if i != 9 else x for i in range(20)) for x in (w, c))
+    df = frame(spark, [(1, one), (2, other), (3, one)])
+    assert {r[0]: r[1] for r in dedup.substring_dedup(df, 20).select("doc_id", "n_removed").collect()} == {1: 0, 2: 0, 3: 20}
+    near = neardup.near_duplicates(df.withColumn("text", F.split("text", " ")[9]))
+    assert {r["doc_id"]: r["component_id"] for r in near.collect()} == {1: 1, 2: 2, 3: 1}
+    hits = decontaminate.decontaminate(df, spark.createDataFrame([("x", w)], "item_id string, text string"), 10)
+    assert {r["doc_id"]: r["n_hit"] for r in hits.collect()} == {1: 1, 2: 0, 3: 1}
+    scores = {r["doc_id"]: r["n_known"] for r in lm.score_texts(df, F.col("id") == 2).collect()}
+    assert (scores[1], scores[2]) == (21, 20)
 
 
 # --- op2
