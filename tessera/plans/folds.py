@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import alignment, cluster, ngrams
 from tessera.operators import folds as L
+from tessera.operators.components import fit_components, project
 from tessera.operators.graph import connected
 from tessera.plans.measures import TFIDF_SQL, tfidf
 from tessera.registry import register
@@ -267,6 +268,23 @@ def t10(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", F.transform(vector_to_array("p"), lambda x: F.round(F.abs(x), 5)).alias("p"))
 
 
+@register("t10_incremental_components")
+def t10_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Four components of the factors of batches of 200 rows, which merge at full rank: nothing is lost."""
+    e = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = project(e, "embedding", fit_components(e, "embedding", keep=64, batch=200), 4)
+    return out.select("vec_id", F.transform("p", lambda x: F.round(F.abs(x), 5)).alias("p"))
+
+
+@register("t10_merged_scatter", "SELECT i AS place, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x) * count(*), 4) AS scatter FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY 1")
+def t10_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, mean and squared deviations of each component, read from the merged factors alone."""
+    f = fit_components(load(spark, sf, "embeddings"), "embedding", keep=64, batch=200)
+    rows = [(i, f.n, float(m), float(s)) for i, (m, s) in enumerate(zip(f.mean, (f.scaled**2).sum(axis=0), strict=True))]
+    out = spark.createDataFrame(rows, "place long, n long, mean double, scatter double")
+    return out.select("place", "n", F.round("mean", 6).alias("mean"), F.round("scatter", 4).alias("scatter"))
+
+
 @register("t13_decode_by_step")
 def t13(spark: SparkSession, sf: str) -> DataFrame:
     """Sixteen steps: four components each decode the next one, linear with a ridge."""
