@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.registry import register
 from tessera.session import tables_dir
 from tessera.sources import files
+from tessera.sources.study import register_study
 from tessera.streaming import flows
 from tessera.tables import INTERVALS_SQL, intervals, load
 
@@ -66,6 +67,34 @@ def s15(spark: SparkSession, sf: str) -> DataFrame:
     return files.load_study(spark, e, place(spark), "n_events >= 5", (number,)).select("event_id", "timeline", "k")
 
 
+STUDY = "timeline string, event_id long, start double, duration double"
+
+
+def written_study(spark: SparkSession, sf: str) -> str:
+    """A study folder: the events of each timeline as files of their own."""
+    at = place(spark)
+    intervals(spark, sf).select("event_id", "timeline", "start", "duration").repartition("timeline").write.partitionBy("timeline").csv(at, header=True)
+    return at
+
+
+@register("s15_study_source", f"WITH {INTERVALS_SQL} SELECT CAST(timeline AS VARCHAR) AS timeline, count(*) AS n, round(min(start), 3) AS first, round(sum(duration), 3) AS durations FROM ev WHERE CAST(timeline AS VARCHAR) >= '2' AND start > 0 GROUP BY 1")
+def s15_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Timelines whose names come after '2' by the study source, which reads only their files."""
+    register_study(spark)
+    e = spark.read.format("study").schema(STUDY).load(written_study(spark, sf)).filter("timeline >= '2' AND start > 0")
+    return e.groupBy("timeline").agg(F.count("*").alias("n"), F.round(F.min("start"), 3).alias("first"), F.round(F.sum("duration"), 3).alias("durations"))
+
+
+@register("s15_study_stream", f"WITH {INTERVALS_SQL} SELECT CAST(timeline AS VARCHAR) AS timeline, event_id, round(start, 3) AS start FROM ev")
+def s15_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same folder as a stream; a second poll finds nothing new."""
+    register_study(spark)
+    stream, at = spark.readStream.format("study").option("settle", 0).schema(STUDY).load(written_study(spark, sf)), place(spark)
+    for _ in range(2):
+        flows.poll(stream, f"{at}/sink", f"{at}/cp")
+    return spark.read.schema(STUDY).parquet(f"{at}/sink").select("timeline", "event_id", F.round("start", 3).alias("start"))
+
+
 @register("g01_ndjson_assembly", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def g01(spark: SparkSession, sf: str) -> DataFrame:
     """A stream of chunks for each user, every record cut into two chunks, with malformed lines in between."""
