@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.folds import sentence_words
 from tessera.registry import register
 from tessera.session import tables_dir
 from tessera.sources import files
 from tessera.sources.study import register_study
 from tessera.streaming import flows
+from tessera.streaming.context import ROCKSDB, streamed_context
 from tessera.tables import INTERVALS_SQL, intervals, load
 
 
@@ -170,6 +172,33 @@ def g07(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("user_id").agg(F.round(F.max_by("s", "n"), 6).alias("s"), F.max("n").alias("n"))
 
 
+@register("g07_streamed_context", r"""
+WITH c AS (SELECT conv_id, turn, text, CASE WHEN text <> lead(text) OVER (PARTITION BY conv_id ORDER BY turn) THEN text ELSE '' END AS done FROM conversations),
+p AS (SELECT *, coalesce(string_agg(done, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS past, string_split(text, ' ') AS words FROM c),
+w AS (SELECT conv_id, turn, text, past, unnest(range(len(words))) AS k, words FROM p),
+x AS (SELECT conv_id, turn, k, past || substr(text, 1, length(array_to_string(words[1:k + 1], ' '))) AS context FROM w)
+SELECT conv_id, turn, k, array_to_string(list_reverse(list_reverse(string_split(context, ' '))[1:21]), ' ') AS context FROM x""")
+def g07_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of every turn with the context before it, from a stream in three polls: odd turns come a second and a half
+    late. A last word far ahead lets the watermark pass all others."""
+    w, folder, at = sentence_words(load(spark, sf, "conversations")), place(spark), place(spark)
+    w = w.select(F.array("id.conv_id", "id.turn", "id.k").alias("id"), "timeline", F.timestamp_seconds(F.col("start") + 1000).alias("ts"), "text", "sentence", "sentence_char", "split", (F.col("start") + F.col("start") % 2 * 1.5).cast("double").alias("comes"))
+    end = spark.range(1).select(*(F.lit(v).cast(w.schema[c].dataType).alias(c) for c, v in {"timeline": -1, "text": "", "sentence": "", "sentence_char": None, "split": None, "comes": None}.items()), F.array(F.lit(-1).cast("long")).alias("id"), F.lit("2200-01-01").cast("timestamp").alias("ts"))
+    low, high = load(spark, sf, "conversations").select((F.col("turn") + F.col("turn") % 2 * 1.5).alias("comes")).approxQuantile("comes", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
+    parts = [w.filter(F.col("comes") <= low), w.filter((F.col("comes") > low) & (F.col("comes") <= high)), w.filter(F.col("comes") > high).unionByName(end)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        for part in parts:
+            part.drop("comes").write.mode("append").parquet(folder)
+            flows.poll(streamed_context(flows.source(spark, folder, w.drop("comes").schema, 1000), 20, "2 seconds"), f"{at}/sink", f"{at}/cp")
+    finally:
+        spark.conf.set(provider, before)
+    got = spark.read.schema("id array<long>, context string").parquet(f"{at}/sink")
+    return got.select(*(F.element_at("id", k + 1).alias(c) for k, c in enumerate(("conv_id", "turn", "k"))), "context")
+
+
 @register("g08_read_through_cache", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN c_name ELSE 'fetched ' || o_custkey END AS answer FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def g08(spark: SparkSession, sf: str) -> DataFrame:
     asked = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))

@@ -72,6 +72,15 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("component", "item_id").alias("component"))
 
 
+def sentence_words(c: DataFrame) -> DataFrame:
+    """All words of all turns, as `sentence_context` takes them: a turn is a sentence, a conversation a timeline."""
+    words = F.split("text", " ")
+    place = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.length(F.array_join(F.slice(words, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0))
+    w = c.select("conv_id", "turn", F.col("text").alias("sentence"), F.posexplode(F.arrays_zip(words.alias("text"), place.alias("at"))).alias("k", "w"))
+    w = w.select("conv_id", "turn", "sentence", "k", "w.text", F.col("w.at").cast("double").alias("sentence_char"))
+    return w.select(F.struct("conv_id", "turn", F.col("k").cast("long").alias("k")).alias("id"), F.col("conv_id").alias("timeline"), F.col("turn").alias("start"), "text", "sentence", "sentence_char", F.lit("train").alias("split"))
+
+
 @register("w04_sentence_context", r"""
 WITH c AS (SELECT conv_id, turn, text, CASE WHEN text <> lead(text) OVER (PARTITION BY conv_id ORDER BY turn) THEN text ELSE '' END AS done FROM conversations),
 p AS (SELECT *, coalesce(string_agg(done, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS past, string_split(text, ' ') AS words FROM c),
@@ -80,12 +89,7 @@ x AS (SELECT conv_id, turn, k, past || substr(text, 1, length(array_to_string(wo
 SELECT conv_id, turn, k, array_to_string(list_reverse(list_reverse(string_split(context, ' '))[1:21]), ' ') AS context FROM x""")
 def w04(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of every turn in its sentence, with the context before it."""
-    c = load(spark, sf, "conversations")
-    words = F.split("text", " ")
-    place = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.length(F.array_join(F.slice(words, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0))
-    w = c.select("conv_id", "turn", F.col("text").alias("sentence"), F.posexplode(F.arrays_zip(words.alias("text"), place.alias("at"))).alias("k", "w"))
-    w = w.select("conv_id", "turn", "sentence", "k", "w.text", F.col("w.at").cast("double").alias("sentence_char"))
-    w = w.select(F.struct("conv_id", "turn", F.col("k").cast("long").alias("k")).alias("id"), F.col("conv_id").alias("timeline"), F.col("turn").alias("start"), "text", "sentence", "sentence_char", F.lit("train").alias("split"))
+    w = sentence_words(load(spark, sf, "conversations"))
     return L.sentence_context(w, 20).select("id.*", "context")
 
 
