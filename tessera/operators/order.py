@@ -17,10 +17,14 @@ RANGES = 200
 
 
 def totals_before(rows: DataFrame, value: str, amount: Column | None = None) -> DataFrame:
-    """`rows` with `before`: the sum of `amount` (default 1) over the rows with a smaller `value`. Values are unique and not null."""
+    """`rows` with `before`: the sum of `amount` (default 1) over the rows with a smaller `value`. Values are unique and not null.
+
+    Rows and their ranges are computed once, as a table: approximate quantiles, and sums of doubles, may come out otherwise when they are
+    computed again, and would then not fit the ranges' totals."""
     amount = F.lit(1) if amount is None else amount
     cuts = rows.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("cuts"))
     cut = rows.withColumn("_amount", amount).join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter(F.coalesce("cuts", F.array(F.lit(None).cast(rows.schema[value].dataType))), lambda c: c < F.col(value)))).drop("cuts")
+    cut = table(cut)
     sizes = cut.groupBy("_part").agg(F.sum("_amount").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
@@ -30,7 +34,10 @@ def totals_before(rows: DataFrame, value: str, amount: Column | None = None) ->
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """`rows` with `name`: the rank of the value from 1 on, ties at the mean of their places."""
+    """`rows` with `name`: the rank of the value from 1 on, ties at the mean of their places.
+
+    The rows are computed once, as a table: they meet their ranks by the value, which must be the same to the last bit."""
+    rows = table(rows)
     ties = rows.groupBy(value).agg(F.count("*").alias("_ties"))
     ranked = totals_before(ties, value, F.col("_ties")).select(value, (F.col("before") + (F.col("_ties") + 1) / 2).alias(name))
     return rows.join(ranked, value)

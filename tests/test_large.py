@@ -22,3 +22,10 @@ def same_as_sql(spark, sf: str, name: str) -> bool:
 def test_offsets_on_both_sides_of_zero_share_an_hour(spark, tmp_path):
     rows = "(1, '2024-01-02 10:00:00', 0, 'view', 5), (2, '2024-01-02 10:20:00', 3, 'click', 5), (3, '2024-01-02 09:40:00', 3, 'click', 5), (4, '2024-01-02 05:10:00', 4, 'click', 5), (5, '2024-01-02 05:50:00', 4, 'click', 5)"
     assert same_as_sql(spark, events(tmp_path, rows), "j24_constellation_match")
+
+
+def test_ranks_of_values_that_come_out_otherwise_when_computed_again(spark):
+    """As sums of doubles do whose parts arrive in another order."""
+    unsteady = F.udf(lambda i: i + __import__("random").random() / 4, "double").asNondeterministic()
+    rows = spark.range(400).select("id", unsteady("id").alias("v"))
+    assert [r["k"] for r in O.average_ranks(rows, "v", "k").orderBy("id").collect()] == [i + 1.0 for i in range(400)]
