@@ -70,3 +70,10 @@ def pool_layers(layers: Column, n: int, at: list[float] | None, how: str) -> Col
         edges = [*picked[:-1], picked[-1] + 1]
         return F.array(*(pool(F.slice(layers, a + 1, b - a), "mean") for a, b in zip(edges, edges[1:], strict=False)))
     return pool(F.array(*(F.element_at(layers, i + 1) for i in picked)), how)
+
+
+def binary_round(value: Column, places: int) -> Column:
+    """Rounded as SQL engines of C do: the double is scaled, and the scaled one is rounded, halves away from zero. `F.round` takes the shortest
+    decimal text instead, so that halves that no double holds (0.15) go another way."""
+    scale = F.lit(10.0**places)
+    return F.round(value * scale, 0) / scale

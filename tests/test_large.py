@@ -29,3 +29,8 @@ def test_ranks_of_values_that_come_out_otherwise_when_computed_again(spark):
     unsteady = F.udf(lambda i: i + __import__("random").random() / 4, "double").asNondeterministic()
     rows = spark.range(400).select("id", unsteady("id").alias("v"))
     assert [r["k"] for r in O.average_ranks(rows, "v", "k").orderBy("id").collect()] == [i + 1.0 for i in range(400)]
+
+
+def test_event_modes_round_halves_as_sql_does(spark, tmp_path):
+    rows = ", ".join(f"({i}, '2024-01-02 10:00:00', {i}, 'purchase', {50.00005 + i / 1e4:.5f})" for i in range(200))
+    assert same_as_sql(spark, events(tmp_path, rows), "t03_all_event_modes")
