@@ -7,8 +7,13 @@ spreads over its cells.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tessera.operators import offsets
 
 EPS = 1e-8
 
@@ -132,13 +137,35 @@ def order_in_timeline() -> Window:
 def best_offsets(songs: DataFrame, samples: DataFrame, bins: int, tolerance: float) -> DataFrame:
     """(song, sample, score, offset): how many tokens of a sample (sample, token, freq, t) lie at one offset in time from tokens of a song
     (song, freq, t), at the best of the offsets between two tokens whose frequencies are at most `bins` apart; the least of
-    equally good offsets. Offsets closer than `tolerance` are one: they meet in cells of that width and the neighbouring ones.
-
-    Samples are a stated query set; only the distinct candidate offsets meet the distinct offsets of tokens."""
-    pairs = samples.select("sample", "token", F.col("freq").alias("f"), F.col("t").alias("u")).join(songs)
-    pairs = pairs.select("song", "sample", "token", (F.col("t") - F.col("u")).alias("at"), (F.abs(F.col("freq") - F.col("f")) <= bins).alias("near"))
-    cell = F.floor(F.col("at") / tolerance)
-    wanted = pairs.filter("near").select("song", "sample", F.col("at").alias("offset"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
-    met = wanted.join(pairs.select("song", "sample", "token", "at", cell.alias("cell")), ["song", "sample", "cell"]).filter(F.abs(F.col("at") - F.col("offset")) < tolerance)
-    score = met.groupBy("song", "sample", "offset").agg(F.count_distinct("token").alias("score"))
-    return score.groupBy("song", "sample").agg(F.max_by(F.struct("score", "offset"), F.struct("score", -F.col("offset"))).alias("m")).select("song", "sample", "m.score", "m.offset")
+    equally good offsets. Offsets closer than `tolerance` are one. Times count in steps of 2^-22 s, which leaves seconds since 1970 as they are.
+
+    Samples are a stated query set. Whole songs and whole samples meet in cells of some thousand tokens a side; only tokens are sent
+    there, and pairs of tokens are made and counted in a task, some at once."""
+    songs = songs.filter("song is not null and t is not null").select("song", F.col("freq").cast("double").alias("freq"), F.col("t").cast("double").alias("t"))
+    samples = samples.filter("sample is not null and t is not null").select("sample", "token", F.col("freq").cast("double").alias("freq"), F.col("t").cast("double").alias("t"))
+
+    def blocks(rows: DataFrame, key: str, tokens: int) -> int:
+        n, keys = rows.agg(F.count("*"), F.count_distinct(key)).first()
+        return max(1, -(-n // tokens), -(-keys // 1024))
+
+    p, q = blocks(songs, "song", 8192), blocks(samples, "sample", 16_384)
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = min(p * q, 4096)
+    left = songs.select(mine("song", p).alias("_a"), every(q).alias("_b"), "*").repartition(parts, "_a", "_b")
+    right = samples.select(every(p).alias("_a"), mine("sample", q).alias("_b"), "*").repartition(parts, "_a", "_b")
+    kinds = [to_arrow_type(d.schema[c].dataType) for d, c in ((songs, "song"), (samples, "sample"))]
+    schema = pa.schema([("song", kinds[0]), ("sample", kinds[1]), ("score", pa.int64()), ("offset", pa.float64())])
+
+    def met(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return schema.empty_table()
+        coded = lambda t, c: t.column(c).combine_chunks().dictionary_encode()
+        number = lambda c: c.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        side = lambda t, c: offsets.Side(number(c), t.column("t").to_numpy(), t.column("freq").to_numpy())
+        song, sample = coded(a, "song"), coded(b, "sample")
+        i, j, score, offset = offsets.best(side(a, song), side(b, sample), number(coded(b, "token")), bins, tolerance)
+        return pa.Table.from_arrays([song.dictionary.take(pa.array(i)), sample.dictionary.take(pa.array(j)), pa.array(score, pa.int64()), pa.array(offset, pa.float64())], schema=schema)
+
+    types = [d.schema[c].dataType.simpleString() for d, c in ((songs, "song"), (samples, "sample"))]
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(met, f"song {types[0]}, sample {types[1]}, score long, offset double")

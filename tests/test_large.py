@@ -1,9 +1,13 @@
 """What came out otherwise than SQL, or grew too fast, on larger tables."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.operators import intervals as I
+from tessera.operators import offsets
 from tessera.operators import order as O
 from tests.oracle import both, database
 
@@ -34,3 +38,33 @@ def test_ranks_of_values_that_come_out_otherwise_when_computed_again(spark):
 def test_event_modes_round_halves_as_sql_does(spark, tmp_path):
     rows = ", ".join(f"({i}, '2024-01-02 10:00:00', {i}, 'purchase', {50.00005 + i / 1e4:.5f})" for i in range(200))
     assert same_as_sql(spark, events(tmp_path, rows), "t03_all_event_modes")
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_offsets_equal_all_pairs(seed):
+    """Also where pairs are compared a few at once, and where a token has several times or no name."""
+    r = np.random.default_rng(seed)
+    n, m = r.integers(1, 60, 2)
+    song, sample = r.integers(0, 4, n), r.integers(0, 3, m)
+    t, u = 1.7e9 + r.integers(0, 60, n) * 0.25, 1.7e9 + r.integers(0, 60, m) * 0.25
+    f, g = r.integers(0, 30, n) * 1.0, r.integers(0, 30, m) * 1.0
+    token = np.arange(m) if seed % 3 else r.integers(-1, m, m)
+    want = {}
+    for a in np.unique(song):
+        for b in np.unique(sample):
+            d, names = t[song == a][:, None] - u[sample == b], token[sample == b]
+            near = d[abs(f[song == a][:, None] - g[sample == b]) <= 5]
+            scores = [(len(set(names[(abs(d - c) < 1.5).any(0)]) - {-1}), -c) for c in near]
+            if scores:
+                want[a, b] = (max(scores)[0], -max(scores)[1])
+    for at_once in (offsets.AT_ONCE, 50):
+        found = offsets.best(offsets.Side(song, t, f), offsets.Side(sample, u, g), token, 5, 1.5, at_once)
+        assert {(a, b): (k, c) for a, b, k, c in zip(*found, strict=True)} == want
+
+
+def test_offsets_do_not_send_pairs_of_tokens(spark):
+    tokens = spark.range(3000).selectExpr("id % 30 as song", "id % 20 as sample", "id as token", "id % 7 as freq", "id * 100.0D as t")
+    best = I.best_offsets(tokens.select("song", "freq", "t"), tokens.select("sample", "token", "freq", "t"), 5, 600.0)
+    plan = best._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert best.count() == 600
