@@ -191,11 +191,17 @@ def bigram_dice(a: Column, b: Column) -> Column:
     """Dice coefficient of two strings' character pairs, counted with multiplicity; 0 where one has none."""
     low = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     pairs = lambda c: F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    x, y = pairs(low(a)), pairs(low(b))
-    times = lambda v, p: F.size(F.filter(v, lambda q: q == p))
-    common = F.aggregate(F.transform(F.array_distinct(x), lambda p: F.least(times(x, p), times(y, p))), F.lit(0), lambda s, n: s + n)
-    total = F.size(x) + F.size(y)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * common / total).otherwise(F.when(low(a) == low(b), 1.0).otherwise(0.0))
+    # an argument of a lambda is computed once, an expression inside of one each time
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    times = lambda v, p: F.size(v) - F.size(F.array_remove(v, p))
+
+    def dice(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        common = F.aggregate(F.transform(F.array_intersect(x, y), lambda p: F.least(times(x, p), times(y, p))), F.lit(0), lambda t, n: t + n)
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * common / (F.size(x) + F.size(y))).otherwise(F.when(s["same"], 1.0).otherwise(0.0))
+
+    cut = once(F.struct(low(a).alias("a"), low(b).alias("b")), lambda s: F.struct(pairs(s["a"]).alias("x"), pairs(s["b"]).alias("y"), (s["a"] == s["b"]).alias("same")))
+    return once(cut, dice)
 
 
 #: Intents of a message in the order in which their patterns are tried, then the patterns that tell specialties apart.

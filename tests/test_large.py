@@ -1,11 +1,14 @@
 """What came out otherwise than SQL, or grew too fast, on larger tables."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions import text as X
 from tessera.operators import intervals as I
 from tessera.operators import offsets
 from tessera.operators import order as O
@@ -68,3 +71,14 @@ def test_offsets_do_not_send_pairs_of_tokens(spark):
     plan = best._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert best.count() == 600
+
+
+def test_bigram_dice_cuts_each_text_once(spark):
+    texts = [("night", "nacht"), ("aaaa", "aa a"), ("a", "A"), ("", ""), ("ab", ""), (None, "ab"), ("ab", None), ("abab ab", "BABA")]
+    d = spark.createDataFrame(texts, "a string, b string").select("a", "b", X.bigram_dice(F.col("a"), F.col("b")).alias("dice"))
+    assert d._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 2
+    for a, b, dice in d.collect():
+        x, y = ("".join(t.lower().split()) if t is not None else None for t in (a, b))
+        p, q = (Counter(t[i : i + 2] for i in range(len(t) - 1)) if t else Counter() for t in (x, y))
+        both_have = p and q
+        assert dice == (2 * (p & q).total() / (p.total() + q.total()) if both_have else float(x is not None and x == y)), (a, b)
