@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -256,9 +256,14 @@ def t06(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("t07_rasterised_detector", f"WITH {INTERVALS_SQL} SELECT timeline, s, max(k) AS level FROM (SELECT timeline, s, CASE WHEN s = f THEN 2 WHEN s = l THEN 1 ELSE 0 END AS k FROM (SELECT timeline, floor(start / 900)::BIGINT AS f, floor(stop / 900)::BIGINT AS l FROM ev), LATERAL (SELECT unnest(range(f, l + 1)) AS s)) GROUP BY 1, 2")
 def t07(spark: SparkSession, sf: str) -> DataFrame:
-    e = intervals(spark, sf).select("timeline", F.floor(F.col("start") / 900).alias("f"), F.floor(F.col("stop") / 900).alias("l"))
-    s = e.select("timeline", "f", "l", F.explode(F.sequence("f", "l")).alias("s"))
-    return s.groupBy("timeline", "s").agg(F.max(F.when(F.col("s") == F.col("f"), 2).when(F.col("s") == F.col("l"), 1).otherwise(0)).alias("level"))
+    """Only first and last samples are grouped. Between two of them that follow each other, all samples are in an event or none."""
+    e = intervals(spark, sf).select("timeline", F.floor(F.col("start") / 900).alias("f"), F.floor(F.col("stop") / 900).alias("l")).filter("l >= f")
+    end = lambda s, level: F.struct(F.col(s).alias("s"), F.lit(level).alias("level"), F.col("l").alias("reach"))
+    ends = e.select("timeline", F.explode(F.array(end("f", 2), end("l", 1))).alias("x")).groupBy("timeline", "x.s").agg(F.max("x.level").alias("level"), F.max("x.reach").alias("reach"))
+    order = Window.partitionBy("timeline").orderBy("s")
+    marks = ends.select("timeline", "s", "level", F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("reach"), F.lead("s").over(order).alias("next"))
+    between = F.when((F.col("reach") > F.col("s")) & (F.col("next") > F.col("s") + 1), F.transform(F.sequence(F.col("s") + 1, F.col("next") - 1), lambda k: F.struct(k.alias("s"), F.lit(0).alias("level"))))
+    return marks.select("timeline", F.explode(F.concat(F.array(F.struct("s", "level")), F.coalesce(between, F.array().cast("array<struct<s:bigint,level:int>>")))).alias("x")).select("timeline", "x.s", "x.level")
 
 
 RASTER_SQL = f"""

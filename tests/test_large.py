@@ -82,3 +82,12 @@ def test_bigram_dice_cuts_each_text_once(spark):
         p, q = (Counter(t[i : i + 2] for i in range(len(t) - 1)) if t else Counter() for t in (x, y))
         both_have = p and q
         assert dice == (2 * (p & q).total() / (p.total() + q.total()) if both_have else float(x is not None and x == y)), (a, b)
+
+
+def test_rasterised_levels_are_not_grouped_sample_by_sample(spark, tmp_path):
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-02 00:00:00' + INTERVAL ({i * i * 37 % 90_000}) SECOND, {i % 3}, 'view', {i * 7 % 40 - 2})" for i in range(120))
+    sf = events(tmp_path, rows)
+    assert same_as_sql(spark, sf, "t07_rasterised_detector")
+    plan = catalog.QUERIES["t07_rasterised_detector"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # samples are spread out above the only aggregate
+    assert plan.index("Generate explode") < plan.index("Aggregate")
