@@ -12,6 +12,7 @@ from tessera.functions import text as X
 from tessera.operators import intervals as I
 from tessera.operators import offsets
 from tessera.operators import order as O
+from tessera.streaming import flows
 from tests.oracle import both, database
 
 
@@ -91,3 +92,26 @@ def test_rasterised_levels_are_not_grouped_sample_by_sample(spark, tmp_path):
     plan = catalog.QUERIES["t07_rasterised_detector"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # samples are spread out above the only aggregate
     assert plan.index("Generate explode") < plan.index("Aggregate")
+
+
+def test_smoothing_takes_what_it_needs_only(spark, tmp_path):
+    sf = events(tmp_path, "(1, '2024-01-02 10:00:00', 0, 'view', 5)")
+    stream = flows.source(spark, sf, spark.read.parquet(f"{sf}/events.parquet").schema)
+    lines = flows.smooth(stream)._jdf.queryExecution().analyzed().toString().splitlines()
+    assert not any("Project" in line and "props" in line for line in lines) and any("Project" in line and "value" in line for line in lines)
+
+
+def test_smoothing_of_unordered_events_equals_sql(spark, tmp_path):
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-02 00:00:00' + INTERVAL ({i * 37 % 11}) SECOND, {i % 2}, 'view', {i * 7 % 40})" for i in range(30))
+    duckdb_sf = events(tmp_path, rows)
+    e = spark.read.parquet(f"{duckdb_sf}/events.parquet")
+    e.coalesce(1).write.parquet(f"{tmp_path}/in")
+    found: list = []
+    updates = flows.smooth(flows.source(spark, f"{tmp_path}/in", e.schema))
+    updates.writeStream.outputMode("update").foreachBatch(lambda b, k: found.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    for r in found:
+        s = 0.0
+        for x in sorted((x for x in e.collect() if x["user_id"] == r["user_id"]), key=lambda x: (x["ts"], x["event_id"])):
+            s = s * 0.8 + x["value"] * (1 - 0.8)
+        assert (r["s"], r["n"]) == (s, 15)
+    assert len(found) == 2
