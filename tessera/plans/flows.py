@@ -181,18 +181,26 @@ SELECT conv_id, turn, k, array_to_string(list_reverse(list_reverse(string_split(
 def g07_context(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of every turn with the context before it, from a stream in three polls: odd turns come a second and a half
     late. A last word far ahead lets the watermark pass all others."""
-    w, folder, at = sentence_words(load(spark, sf, "conversations")), place(spark), place(spark)
-    w = w.select(F.array("id.conv_id", "id.turn", "id.k").alias("id"), "timeline", F.timestamp_seconds(F.col("start") + 1000).alias("ts"), "text", "sentence", "sentence_char", "split", (F.col("start") + F.col("start") % 2 * 1.5).cast("double").alias("comes"))
-    end = spark.range(1).select(*(F.lit(v).cast(w.schema[c].dataType).alias(c) for c, v in {"timeline": -1, "text": "", "sentence": "", "sentence_char": None, "split": None, "comes": None}.items()), F.array(F.lit(-1).cast("long")).alias("id"), F.lit("2200-01-01").cast("timestamp").alias("ts"))
-    low, high = load(spark, sf, "conversations").select((F.col("turn") + F.col("turn") % 2 * 1.5).alias("comes")).approxQuantile("comes", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
-    parts = [w.filter(F.col("comes") <= low), w.filter((F.col("comes") > low) & (F.col("comes") <= high)), w.filter(F.col("comes") > high).unionByName(end)]
+    folder, at, comes = place(spark), place(spark), F.col("turn") + F.col("turn") % 2 * 1.5
+    c = load(spark, sf, "conversations").withColumn("comes", comes.cast("double"))
+
+    def words(turns: DataFrame) -> DataFrame:
+        # words are many times their turns, so turns are spread before they are cut
+        w = sentence_words(turns.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 900)))
+        return w.select(F.array("id.conv_id", "id.turn", "id.k").alias("id"), "timeline", F.timestamp_seconds(F.col("start") + 1000).alias("ts"), "text", "sentence", "sentence_char", "split")
+
+    low, high = c.approxQuantile("comes", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
+    parts = [words(c.filter(F.col("comes") <= low)), words(c.filter((F.col("comes") > low) & (F.col("comes") <= high))), words(c.filter(F.col("comes") > high))]
+    schema = parts[0].schema
+    end = spark.range(1).select(*(F.lit(v).cast(schema[c].dataType).alias(c) for c, v in {"timeline": -1, "text": "", "sentence": "", "sentence_char": None, "split": None}.items()), F.array(F.lit(-1).cast("long")).alias("id"), F.lit("2200-01-01").cast("timestamp").alias("ts"))
+    parts[-1] = parts[-1].unionByName(end)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKSDB)
     try:
         for part in parts:
-            part.drop("comes").write.mode("append").parquet(folder)
-            flows.poll(streamed_context(flows.source(spark, folder, w.drop("comes").schema, 1000), 20, "2 seconds"), f"{at}/sink", f"{at}/cp")
+            part.write.mode("append").parquet(folder)
+            flows.poll(streamed_context(flows.source(spark, folder, schema, 1000), 20, "2 seconds"), f"{at}/sink", f"{at}/cp")
     finally:
         spark.conf.set(provider, before)
     got = spark.read.schema("id array<long>, context string").parquet(f"{at}/sink")

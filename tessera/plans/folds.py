@@ -75,7 +75,7 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
 def sentence_words(c: DataFrame) -> DataFrame:
     """All words of all turns, as `sentence_context` takes them: a turn is a sentence, a conversation a timeline."""
     words = F.split("text", " ")
-    place = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.length(F.array_join(F.slice(words, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0))
+    place = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.when(k > 0, F.length(F.call_function("substring_index", "text", F.lit(" "), k)) + 1).otherwise(0))
     w = c.select("conv_id", "turn", F.col("text").alias("sentence"), F.posexplode(F.arrays_zip(words.alias("text"), place.alias("at"))).alias("k", "w"))
     w = w.select("conv_id", "turn", "sentence", "k", "w.text", F.col("w.at").cast("double").alias("sentence_char"))
     return w.select(F.struct("conv_id", "turn", F.col("k").cast("long").alias("k")).alias("id"), F.col("conv_id").alias("timeline"), F.col("turn").alias("start"), "text", "sentence", "sentence_char", F.lit("train").alias("split"))

@@ -115,3 +115,56 @@ def test_smoothing_of_unordered_events_equals_sql(spark, tmp_path):
             s = s * 0.8 + x["value"] * (1 - 0.8)
         assert (r["s"], r["n"]) == (s, 15)
     assert len(found) == 2
+
+
+def test_words_that_come_together_are_one_element_of_the_state():
+    """As each element is a trip to the state store; no word carries its whole sentence there."""
+    import pandas as pd
+
+    from tessera.streaming import context
+
+    class Held(list):
+        appendValue = list.append  # noqa: N815
+
+        def get(self):
+            return self[0] if len(self) == 1 and not isinstance(self[0], tuple) else iter(self)
+
+        def appendList(self, rows):  # noqa: N802
+            self.extend(rows)
+
+        def update(self, value):
+            self[:] = [list(value)]
+
+        def put(self, rows):
+            self[:] = rows
+
+    held = {"waiting": Held(), "fold": Held()}
+    timers = []
+
+    class Handle:
+        registerTimer = staticmethod(timers.append)  # noqa: N815
+
+        def getListState(self, name, schema):  # noqa: N802
+            return held[name]
+
+        getValueState = getListState  # noqa: N815
+
+    held["fold"].get = lambda: held["fold"][0] if held["fold"] else None
+    times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 3000})()
+    p = context.ContextProcessor(1)
+    p.init(Handle())
+    frame = pd.DataFrame([(1_000_000 * k, np.array([k, 0]), b"s", " b c", " y z", float(k), None) for k in range(1, 6)], columns=context.FIELDS)
+    assert list(p.handleInputRows((1,), iter([frame[:3], frame[3:]]), times)) == []
+    assert len(held["waiting"]) == 1 and timers == [1000]
+    out = list(p.handleExpiredTimer((1,), times, None))
+    assert [x.context.tolist() for x in out] == [["b c"] * 3] and out[0].id.tolist() == [[1, 0], [2, 0], [3, 0]]
+    assert len(held["waiting"]) == 1 and timers == [1000, 4000]
+
+
+def test_words_of_a_stream_carry_what_a_context_holds(spark, tmp_path):
+    from tessera.streaming.context import streamed_context
+
+    w = spark.createDataFrame([(1, 1, 1.0, "w", "a w", 2.0, None)], "id long, timeline long, start double, text string, sentence string, sentence_char double, split string").withColumn("ts", F.timestamp_seconds("start"))
+    w.write.parquet(f"{tmp_path}/in")
+    plan = streamed_context(flows.source(spark, f"{tmp_path}/in", w.schema), 3, "2 seconds")._jdf.queryExecution().analyzed().toString()
+    assert "sentence#" not in plan.split("TransformWithState")[1].splitlines()[0] and "substring_index" in plan
