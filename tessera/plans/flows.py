@@ -74,8 +74,9 @@ STUDY = "timeline string, event_id long, start double, duration double"
 
 def written_study(spark: SparkSession, sf: str) -> str:
     """A study folder: the events of each timeline as files of their own."""
-    at = place(spark)
-    intervals(spark, sf).select("event_id", "timeline", "start", "duration").repartition("timeline").write.partitionBy("timeline").csv(at, header=True)
+    at, tasks = place(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = intervals(spark, sf).select(F.col("timeline").cast("string").alias("timeline"), "event_id", "start", "duration")
+    e.repartition(tasks, "timeline").sortWithinPartitions("timeline").write.format("study").mode("append").save(at)
     return at
 
 

@@ -76,3 +76,34 @@ def test_stream_takes_each_file_once(spark, folder, tmp_path):
     want = sorted([*ROWS, ("late", "Word", 7.0, None, None)], key=str)
     assert sorted(poll(), key=str) == want
     assert sorted(poll(), key=str) == want
+
+
+def test_writes_a_file_for_each_timeline(spark, tmp_path):
+    register_study(spark)
+    df = spark.createDataFrame([("a b", 0.1 + 0.2, "x"), ("c/d", 1e300, None), ("a b", 2.0, 'two\n"lines"'), ("é", -0.0, ",")], "timeline string, start double, text string")
+    for _ in range(2):
+        df.repartition(2, "timeline").sortWithinPartitions("timeline").write.format("study").mode("append").save(f"file://{tmp_path}/s")
+    got = spark.read.format("study").schema(df.schema).load(f"file:{tmp_path}/s")
+    assert sorted(rows(got), key=str) == sorted(2 * rows(df), key=str)
+    assert sorted(p.parent.name for p in (tmp_path / "s").rglob("*")  if p.is_file()) == sorted(2 * ["timeline=a%20b", "timeline=c%2Fd", "timeline=%C3%A9"])
+
+
+def test_a_write_that_fails_leaves_no_files(spark, tmp_path):
+    register_study(spark)
+    df = spark.range(0, 100, 1, 2).selectExpr("cast(id as string) as timeline", "if(id = 99, cast(raise_error('late') as double), id) as start")
+    with pytest.raises(Exception, match="late"):
+        df.write.format("study").mode("append").save(str(tmp_path / "s"))
+    assert not [p for p in (tmp_path / "s").rglob("*") if p.is_file()]
+
+
+def test_many_small_files_go_to_several_tasks(spark, tmp_path):
+    """Of a size that one task would hold; their rows come in few batches."""
+    at = tmp_path / "s"
+    at.mkdir()
+    for k in range(600):
+        (at / f"{k}.csv").write_text(f"type,start\nWord,{k}\n")
+    files = StudyFiles({"path": str(at)}, spark.createDataFrame([], EVENTS).schema)
+    parts = StudyReader(files).partitions()
+    assert [len(p.paths) for p in parts] == [256, 256, 88]
+    batches = [b for p in parts for b in files.read(p)]
+    assert len(batches) == 3 and sorted(x for b in batches for x in b.column("start").to_pylist()) == list(range(600))
