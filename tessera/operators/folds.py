@@ -117,15 +117,19 @@ def sentence_context(rows: DataFrame, max_context: int | None = None) -> DataFra
     inside = F.coalesce(F.col("sentence") != "", F.lit(False))
     placed = inside & F.col("sentence_char").isNotNull() & ~F.isnan(F.col("sentence_char").cast("double"))
     own = F.substring("sentence", F.lit(1), (F.col("sentence_char") + F.length("text")).cast("int"))
-    # where contexts are short, words carry no more than those need, and name their sentence by a digest
-    name = F.col("sentence") if max_context is None else F.sha2("sentence", 256)
+    # where contexts are short, words carry no more of their sentence than those need, and name it by a digest
+    name, tail = F.col("sentence"), F.col("sentence")
     if max_context is not None:
-        # the blank before the first word that is kept stays, so that what comes before it is not joined to it
-        end = F.substring_index(own, " ", -max_context - 1)
-        own = F.when(F.length(end) < F.length(own), F.concat(F.lit(" "), end)).otherwise(own)
-    w = rows.select("id", "timeline", "start", name.alias("sentence"), own.alias("own"), "sentence_char", "split", inside.alias("inside"), placed.alias("placed"))
+
+        def cut(text: Column) -> Column:
+            # the blank before the first word that is kept stays, so that what comes before it is not joined to it
+            end = F.substring_index(text, " ", -max_context - 1)
+            return F.when(F.length(end) < F.length(text), F.concat(F.lit(" "), end)).otherwise(text)
+
+        name, tail, own = F.unhex(F.sha2("sentence", 256)), cut(F.col("sentence")), cut(own)
+    w = rows.select("id", "timeline", "start", name.alias("sentence"), tail.alias("tail"), own.alias("own"), "sentence_char", "split", inside.alias("inside"), placed.alias("placed"))
     w = w.withColumn("stretch", F.sum((~F.col("inside")).cast("int")).over(so_far))
-    w = w.withColumn("prev", F.last(F.when(F.col("placed"), F.struct("sentence", "sentence_char", "split", "stretch")), ignorenulls=True).over(before))
+    w = w.withColumn("prev", F.last(F.when(F.col("placed"), F.struct("sentence", "tail", "sentence_char", "split", "stretch")), ignorenulls=True).over(before))
     # a word outside all sentences has begun a stretch of its own
     near = F.col("prev.stretch") == F.col("stretch") - F.when(F.col("inside"), 0).otherwise(1)
     ended = near & F.col("placed") & (F.col("sentence") != F.col("prev.sentence")) & (F.col("sentence_char") <= F.col("prev.sentence_char"))
@@ -135,13 +139,13 @@ def sentence_context(rows: DataFrame, max_context: int | None = None) -> DataFra
     w = w.withColumn("adds", F.col("ended") & ~F.col("reset"))
     era = Window.partitionBy("timeline", "era").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, 0)
     if max_context is None:
-        context = F.concat(F.array_join(F.collect_list(F.when(F.col("adds"), F.col("prev.sentence"))).over(era), ""), "own")
+        context = F.concat(F.array_join(F.collect_list(F.when(F.col("adds"), F.col("prev.tail"))).over(era), ""), "own")
         return w.select("id", F.when(F.col("placed"), context).otherwise("").alias("context"))
     # sentences are folded by themselves, and only as many of their words as a context can hold go on to the words
-    w = table(w.withColumn("done", F.sum(F.col("adds").cast("int")).over(era)).select("id", "timeline", "era", "done", F.when(F.col("adds"), F.col("prev.sentence")).alias("ended"), "placed", "own"))
-    texts = rows.filter(inside).groupBy(F.sha2("sentence", 256).alias("ended")).agg(F.first("sentence").alias("before"))
-    past = w.filter("ended is not null").select("timeline", "era", "done", "ended").join(texts, "ended")
-    past = running_tail(past.select("timeline", "era", "done", "before"), ["timeline", "era"], "done", "before", max_context + 1)
+    # `done` counts through all eras, so that all windows are of one sort
+    w = table(w.withColumn("done", F.sum(F.col("adds").cast("int")).over(so_far)).select("id", "timeline", "era", "done", F.when(F.col("adds"), F.col("prev.tail")).alias("ended"), "placed", "own"))
+    past = w.filter("ended is not null").select("timeline", "era", "done", F.col("ended").alias("before"))
+    past = running_tail(past, ["timeline", "era"], "done", "before", max_context + 1)
     past = past.select(F.col("timeline").alias("_t"), F.col("era").alias("_e"), F.col("done").alias("_d"), "tail")
     joined = w.join(past, w["timeline"].eqNullSafe(past["_t"]) & (w["era"] == past["_e"]) & (w["done"] == past["_d"]), "left")
     context = F.substring_index(F.concat(F.coalesce("tail", F.lit("")), "own"), " ", -max_context - 1)

@@ -89,7 +89,8 @@ x AS (SELECT conv_id, turn, k, past || substr(text, 1, length(array_to_string(wo
 SELECT conv_id, turn, k, array_to_string(list_reverse(list_reverse(string_split(context, ' '))[1:21]), ' ') AS context FROM x""")
 def w04(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of every turn in its sentence, with the context before it."""
-    w = sentence_words(load(spark, sf, "conversations"))
+    # words are many times their turns, so turns are spread before they are cut
+    w = sentence_words(load(spark, sf, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return L.sentence_context(w, 20).select("id.*", "context")
 
 

@@ -168,3 +168,16 @@ def test_words_of_a_stream_carry_what_a_context_holds(spark, tmp_path):
     w.write.parquet(f"{tmp_path}/in")
     plan = streamed_context(flows.source(spark, f"{tmp_path}/in", w.schema), 3, "2 seconds")._jdf.queryExecution().analyzed().toString()
     assert "sentence#" not in plan.split("TransformWithState")[1].splitlines()[0] and "substring_index" in plan
+
+
+def test_sentence_context_sorts_words_once_and_aggregates_no_sentences(spark, monkeypatch):
+    from tessera.operators import folds
+
+    plans: list[str] = []
+    kept = folds.table
+    monkeypatch.setattr(folds, "table", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    w = spark.createDataFrame([(k, 1, k, "w", f"a b c d {k // 2}", float(k % 2), None) for k in range(9)], "id long, timeline long, start long, text string, sentence string, sentence_char double, split string")
+    context = folds.sentence_context(w, 1)
+    assert len(plans) == 1 and plans[0].count("+- Sort [") == 1
+    assert "first(" not in context._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(context.collect())[4] == "d 1a"
