@@ -35,9 +35,8 @@ def plain_quotes(c: Column) -> Column:
 
 
 def quote_norm(c: Column) -> Column:
-    """Letters and digits of a quotation for fuzzy comparison."""
-    out = F.regexp_replace(F.lower(plain_quotes(strip_html(c))), "[^a-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(out, " +", " "))
+    """Letters and digits of a quotation for fuzzy comparison; what is between them is one blank, in one pass over a long text."""
+    return F.trim(F.regexp_replace(F.lower(strip_html(c)), "[^a-z0-9]+", " "))
 
 
 def bracket_norm(c: Column) -> Column:

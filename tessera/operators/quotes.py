@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators.alignment import grounding
+from tessera.operators.alignment import groundings
 
 KEY = 30  # characters of a segment that are looked for
 ENTRIES = 64  # quotes that share a copy of a body
@@ -47,13 +47,13 @@ def ground_entries(entries: DataFrame, bodies: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<score: double, passage: string>>")
     def score(body: pd.Series, quotes: pd.Series) -> pd.Series:
-        out = []
-        for b, some in zip(body, quotes, strict=True):
-            out.append([])
-            for text in some:
-                at = b.find(text.split(" ")[0]) if text else -1
-                out[-1].append({"score": grounding(text, b), "passage": b[at : at + max(len(text) + 40, 80)][:300] if at >= 0 else ""})
-        return pd.Series(out)
+        pairs = [(text, b) for b, some in zip(body, quotes, strict=True) for text in some]
+        found = []
+        for (text, b), v in zip(pairs, groundings(*zip(*pairs, strict=True)) if pairs else [], strict=True):
+            at = b.find(text.split(" ")[0]) if text else -1
+            found.append({"score": v, "passage": b[at : at + max(len(text) + 40, 80)][:300] if at >= 0 else ""})
+        each = iter(found)
+        return pd.Series([[next(each) for _ in some] for some in quotes])
 
     met = held.select("slug", "part", X.quote_norm(F.coalesce("text", F.lit(""))).alias("body")).join(groups, ["slug", "part"])
     found = met.select("slug", F.explode(F.arrays_zip("quotes", score("body", "quotes.q").alias("found"))).alias("x"))

@@ -1,5 +1,6 @@
 """What came out otherwise than SQL, or grew too fast, on larger tables."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import text as X
+from tessera.operators import alignment as A
 from tessera.operators import intervals as I
 from tessera.operators import offsets
 from tessera.operators import order as O
 from tessera.streaming import flows
 from tests.oracle import both, database
+from tests.test_alignment import plain_partial
 
 
 def events(tmp_path, rows: str) -> str:
@@ -181,3 +184,26 @@ def test_sentence_context_sorts_words_once_and_aggregates_no_sentences(spark, mo
     assert len(plans) == 1 and plans[0].count("+- Sort [") == 1
     assert "first(" not in context._jdf.queryExecution().optimizedPlan().toString()
     assert dict(context.collect())[4] == "d 1a"
+
+
+def test_quotes_of_many_pairs_share_a_table(spark, monkeypatch):
+    """All windows of a body come from one table, and tables of many pairs are filled side by side; a pair at a time took a search of its own."""
+    r = random.Random(8)
+    text = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    small = [(text("abé😀 ", r.randint(0, 20)), text("abé😀 ", r.randint(0, 90))) for _ in range(300)]
+    monkeypatch.setattr(A, "TOGETHER", 2)
+    monkeypatch.setattr(A, "LANES", 7)
+    assert A.partial_ratios(small, [0.0] * 300) == pytest.approx([plain_partial(a, b) for a, b in small])
+    monkeypatch.undo()
+    tables, comb = [], A.comb
+    monkeypatch.setattr(A, "comb", lambda *a: tables.append(len(a[0])) or comb(*a))
+    A.groundings([text("abcdefgh ", 200) for _ in range(256)], [text("abcdefgh ", 600) for _ in range(256)])
+    assert sum(tables) == 256 and len(tables) <= 2
+
+
+def test_quotes_are_normalised_as_before(spark):
+    odd = ["", "  ", "A  <b>Tag</b>&amp;&nbsp; “q” — d’e", "ÀÉ x\n\ty", "a<", "İSTANBUL ß", "-a-", None, "1 2  3"]
+    c = F.col("t")
+    twice = F.trim(F.regexp_replace(F.regexp_replace(F.lower(X.plain_quotes(X.strip_html(c))), "[^a-z0-9 ]+", " "), " +", " "))
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(X.quote_norm(c).alias("a"), twice.alias("b")).collect()
+    assert all(x["a"] == x["b"] for x in rows)
