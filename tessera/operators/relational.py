@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +122,93 @@ def group_values(rows: DataFrame, key: str, value: str, how: str = "mean", least
 
 
 GRAMS = 100_000  # grams of needles that may be sent to every task
+BLOCK = 1 << 16  # bytes of texts that are looked at together
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _words(data: np.ndarray, at: int = 0) -> np.ndarray:
+    """The 8 bytes from each place of `data` on as a number, from `at` to where 8 are left."""
+    return np.ndarray(len(data) - 7 - at, "<u8", data, at, (1,))
+
+
+class _Grams:
+    """Some strings, and where they stand in the texts of an Arrow array, in one pass over its bytes for most strings: 8 bytes at each place
+    are looked up, and only where they begin a string the rest is. Shorter strings take a pass for each length in bytes.
+
+    Up to 8 bytes are compared as numbers. Longer strings go by a number made of theirs, so that another string may pass for one: whoever
+    asks compares what is found."""
+
+    def __init__(self, grams: list[str]):
+        coded = [g.encode("utf-8", "surrogatepass") for g in grams]
+        self.strings = pa.array(grams, pa.string())
+        self.empty = [i for i, c in enumerate(coded) if not c]
+        self.longest = max(map(len, coded), default=0)
+        self.passes = []
+        for size in range(1, 9):
+            tables, begins = [], []
+            for n in sorted({len(c) for c in coded if min(len(c), 8) == size}):
+                which = np.array([i for i, c in enumerate(coded) if len(c) == n])
+                data = np.frombuffer(b"".join(coded[i] for i in which) + bytes(8), np.uint8)
+                at = np.arange(len(which)) * n
+                keys = self.keys(_words(data), at, n)
+                begins.append(_words(data)[at] & self.mask(size))
+                order = np.argsort(keys, kind="stable")
+                tables.append((n, keys[order], which[order], *self.slots(keys)))
+            if tables:
+                self.passes.append((self.mask(size), *self.slots(np.concatenate(begins)), tables))
+
+    @staticmethod
+    def mask(size: int) -> np.uint64:
+        return np.uint64((1 << 8 * size) - 1)
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+        """A table that rules most other numbers out by their first bits, once multiplied, and how many bits are dropped."""
+        bits = max(12, (16 * len(keys)).bit_length())
+        out = np.zeros(1 << bits, bool)
+        out[keys * _ODD >> np.uint64(64 - bits)] = True
+        return out, np.uint64(64 - bits)
+
+    def keys(self, words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """A number for the n bytes from some places on."""
+        if n <= 8:
+            return words[at] & self.mask(n)
+        out = words[at]
+        for further in [*range(8, n - 8, 8), n - 8]:
+            out = (out ^ out >> np.uint64(29)) * _ODD + words[at + further]
+        return out
+
+    def held(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and strings that meet, each pair once."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        texts = texts.cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        size = int(ends[-1] - ends[0])
+        data = np.zeros(size + self.longest + 8, np.uint8)
+        if size:
+            data[:size] = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends, words = ends - ends[0], _words(data)
+        pairs = [np.arange(len(texts)) * len(self.strings) + i for i in self.empty]
+        for mask, slots, shift, tables in self.passes:
+            for low in range(0, size, BLOCK):
+                block = words[low : min(size, low + BLOCK)] & mask
+                np.multiply(block, _ODD, out=block)
+                np.right_shift(block, shift, out=block)
+                at = np.flatnonzero(slots[block.view(np.int64)]) + low
+                for n, keys, which, own, drop in tables:
+                    key = self.keys(words, at, n)
+                    likely = own[key * _ODD >> drop]
+                    key, place = key[likely], at[likely]
+                    row = np.searchsorted(ends, place, "right") - 1
+                    inside = place + n <= ends[row + 1]
+                    key, row = key[inside], row[inside]
+                    left, right = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+                    # two strings with one number are both found
+                    for k in range(int((right - left).max(initial=0))):
+                        met = left + k < right
+                        pairs.append(np.unique(row[met] * len(self.strings) + which[left[met] + k]))
+        return np.divmod(np.unique(np.concatenate(pairs or [np.zeros(0, np.int64)])), max(1, len(self.strings)))
 
 
 def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 5) -> DataFrame:
@@ -134,8 +223,8 @@ def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 5) -> Dat
     sizes = sorted(r[0] for r in wanted.select("k").distinct().collect())  # `size` + 1 numbers at most
 
     def grams(text: Column, k: int) -> Column:
-        # a pattern that only looks ahead finds overlapping grams in one pass over the text
-        return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))) if k else F.array(F.lit(""))
+        # a pattern that only looks ahead finds overlapping grams in one pass over the text; none begins inside a character of two units
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?!\p{{Cs}})(?=(.{{{k}}}))"), F.lit(1))) if k else F.array(F.lit(""))
 
     def every(text: Column, k: Column | None) -> Column:
         """Grams of one size, that of `k`, or of all sizes."""
@@ -147,17 +236,25 @@ def containment_pairs(hays: DataFrame, needles: DataFrame, size: int = 5) -> Dat
         return out
 
     wanted = table(wanted.select("x", F.explode(every(F.col("needle"), F.col("k"))).alias("gram")))
-    postings = hays.select("h", F.explode(every(F.col("hay"), None)).alias("gram"))
 
-    def only(rows: DataFrame, grams: DataFrame) -> DataFrame:
-        """Rows of some grams; few of them go to the rows, so that others never leave a text."""
-        few = grams.limit(GRAMS + 1).count() <= GRAMS
-        return rows.join(F.broadcast(grams) if few else grams, "gram", "left_semi")
+    def postings(grams: DataFrame) -> DataFrame:
+        """(h, gram) of some grams; few of them go to the texts, so that others never leave one."""
+        some = [r[0] for r in grams.limit(GRAMS + 1).collect()]
+        if len(some) > GRAMS:
+            return hays.select("h", F.explode(every(F.col("hay"), None)).alias("gram")).join(grams, "gram", "left_semi")
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Grams(some)
+            for batch in batches:
+                row, gram = known.held(batch.column(1))
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), known.strings.take(pa.array(gram))], ["h", "gram"])
+
+        return hays.select("h", "hay").mapInArrow(look, "h long, gram string")
 
     # first the counts, which tasks sum before they are shuffled; then the places of the rarest grams alone
-    often = only(postings, wanted.select("gram").distinct()).groupBy("gram").agg(F.count("*").alias("n"))
+    often = postings(wanted.select("gram").distinct()).groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no hay has rules the needle out
     rare = wanted.join(often, "gram", "left").groupBy("x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).filter("m.n > 0")
     rare = table(rare.select("x", F.col("m.gram").alias("gram")))
-    met = rare.join(only(postings, rare.select("gram").distinct()), "gram").select("x", "h")
+    met = rare.join(postings(rare.select("gram").distinct()), "gram").select("x", "h")
     return met.join(needles, "x").join(hays, "h").filter(F.contains("hay", "needle")).select("hay", "needle")

@@ -310,7 +310,7 @@ def j09_passages(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("whole"), F.substring("text", 30, 40).alias("part"))
     d = load(spark, sf, "documents").filter("text is not null").groupBy("text").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     text = d.select("text")
-    down = containment_pairs(text.withColumnRenamed("text", "hay"), p.select(F.col("part").alias("needle")).distinct())
+    down = containment_pairs(text.withColumnRenamed("text", "hay"), p.select(F.col("part").alias("needle")).distinct(), size=12)
     up = containment_pairs(p.select(F.col("whole").alias("hay")).distinct(), text.withColumnRenamed("text", "needle"))
     down = down.join(p, F.col("needle") == F.col("part")).select("item_id", F.col("hay").alias("text"))
     up = up.join(p, F.col("hay") == F.col("whole")).select("item_id", F.col("needle").alias("text"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tessera.operators import alignment as A
 from tessera.operators import intervals as I
 from tessera.operators import offsets
 from tessera.operators import order as O
+from tessera.operators import relational as R
 from tessera.streaming import flows
 from tests.oracle import both, database
 from tests.test_alignment import plain_partial
@@ -207,3 +209,29 @@ def test_quotes_are_normalised_as_before(spark):
     twice = F.trim(F.regexp_replace(F.regexp_replace(F.lower(X.plain_quotes(X.strip_html(c))), "[^a-z0-9 ]+", " "), " +", " "))
     rows = spark.createDataFrame([(t,) for t in odd], "t string").select(X.quote_norm(c).alias("a"), twice.alias("b")).collect()
     assert all(x["a"] == x["b"] for x in rows)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abé😀", "a\u0000b "])
+def test_grams_stand_where_they_are_found(monkeypatch, letters):
+    """Strings of any length, the empty one too, in texts that share blocks of bytes; none across the end of a text."""
+    monkeypatch.setattr(R, "BLOCK", 5)
+    r = random.Random(9)
+    make = lambda n, k: ["".join(r.choice(letters) for _ in range(r.randint(0, k))) for _ in range(n)]
+    grams, texts = sorted({"", *make(60, 4), *make(40, 14)}), ["", *make(60, 40), ""]
+    texts += [g + "b" for g in grams[::9]] + [""]
+    row, gram = R._Grams(grams).held(pa.array(["x", *texts])[1:])
+    assert {(texts[i], grams[k]) for i, k in zip(row, gram, strict=True)} == {(t, g) for t in texts for g in grams if g in t}
+    assert len(set(zip(row, gram, strict=True))) == len(row) and not len(R._Grams(grams).held(pa.array([], pa.string()))[0])
+
+
+@pytest.mark.parametrize("most", [R.GRAMS, 3])
+def test_texts_are_not_taken_apart_for_few_needles(spark, monkeypatch, most):
+    """The words of few needles go to the texts; no row of a text's grams is made."""
+    monkeypatch.setattr(R, "GRAMS", most)
+    hays = spark.range(300).selectExpr("concat('text ', id, ' é says ', id * 7 % 100, ' times so, and no more') as hay")
+    needles = spark.createDataFrame([("é says 7 times so",), ("nowhere at all",), ("text 29",), ("",), ("no",)], "needle string")
+    found = R.containment_pairs(hays, needles, size=12)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Generate explode" in plan) == (most == 3)
+    want = [(h, x) for (h,) in hays.collect() for (x,) in needles.collect() if x in h]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 600
