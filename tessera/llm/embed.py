@@ -5,14 +5,18 @@ other lengths keep their own axes): the leading principal
 directions, then a rotation that alternates between binary codes and the orthogonal matrix that fits them best. A vector's
 code holds the signs of its rotated, centred coordinates.
 
-Retrieval: the code is cut into TABLES substrings, each with a table. Two unit vectors with cosine >= c are at most
-2 - 2c apart in squared distance, so in one substring at most a TABLES-th of it; bits that differ there must have small
-coordinates, and on one of the two sides the squares of those coordinates sum to at most half of that. So a vector looks up,
-besides its own substring, every substring that flips bits within that limit. All pairs at the threshold meet: the
-retrieval is exact, not approximate (recall 1 up to rounding).
-
-Rerank: the vectors that meet under a table entry are compared in blocks of at most BLOCK by BLOCK by matrix product. A
-pair counts only under the first entry that finds it, which its two codes tell. A block returns for each vector the number of
+Blocks: the vectors of a label and length are dealt by hash into as many groups as their bytes need, each of about SHARE, and every two
+groups (and each with itself) meet in a block. A vector is sent once for each group of its label, never for the codes it looks up:
+those are some hundreds, and stay in the task.
+
+Retrieval: in a block the code is cut into TABLES substrings, each with a table of one group. Two unit vectors with cosine >= c are
+at most 2 - 2c apart in squared distance, so in one substring at most a TABLES-th of it; bits that differ there must have
+coordinates whose squares sum to no more. So a vector of the other group looks up, besides its own substring, every substring
+that flips bits within that limit. All pairs at the threshold meet: the retrieval is exact, not approximate (recall 1 up to
+rounding).
+
+Rerank: TILE vectors with near codes are compared with all that any of them found by matrix product, in single precision with a margin
+for its rounding, and what is left in double precision. A pair is compared once. A block returns for each vector the number of
 its links and its root in the block, never pairs. Equal vectors of a label are one class with a count and a number of its own, which
 stands for it in all joins: ids may repeat.
 
@@ -27,13 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
 from tessera.session import table
 
-TABLES, BLOCK, MOST_BITS, ROUNDS, LENGTHS = 4, 256, 64, 30, 16
+TABLES, MOST_BITS, ROUNDS, LENGTHS = 4, 64, 30, 16
+SHARE, TILE, EDGES, MOST_PARTS = 1 << 24, 32, 1 << 20, 2000  # bytes of a group's vectors; vectors compared at once; edges held until they are contracted
 
 
 class Quantiser:
@@ -76,30 +82,98 @@ def probes(z: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     return row, code
 
 
-def found_in(zx: np.ndarray, zy: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Whether x finds y, and y finds x, in a table, from their coordinates there."""
-    flips = (zx > 0) != (zy > 0)
-    return (flips * zx.astype("f8") ** 2).sum(1) <= limit, (flips * zy.astype("f8") ** 2).sum(1) <= limit
-
-
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each member's component, in a block."""
-    root = np.arange(n)
+def local_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each member's component in a block, from roots so far and more edges."""
     while True:
         new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
+        low = np.minimum(root[a], root[b])
+        for x in (a, b, root[a], root[b]):
+            np.minimum.at(new, x, low)
         new = new[new]
         if (new == root).all():
             return root
         root = new
 
 
+class Group:
+    """Vectors of one length in the order of their first substring, their rotated coordinates, and a table of codes for each substring."""
+
+    def __init__(self, rows: pa.Table, kind: str, quantiser: Quantiser):
+        self.node, self.copies = (rows.column(c).to_numpy() for c in ("node", "copies"))
+        self.raw = np.frombuffer(b"".join(rows.column("v").to_pylist()), kind).reshape(rows.num_rows, -1)
+        self.parts, self.tables = quantiser.parts, []
+        sort = np.argsort(self.codes(quantiser.rotated(unit_rows(self.raw.astype("f8"))), self.parts[0]), kind="stable")
+        self.node, self.copies, self.raw = self.node[sort], self.copies[sort], self.raw[sort]
+        unit = self.unit(slice(None))
+        self.z, self.single = quantiser.rotated(unit), unit.astype("f4")
+        for part in self.parts:
+            code = self.codes(self.z, part)
+            self.tables.append((np.argsort(code, kind="stable"), np.r_[0, np.cumsum(np.bincount(code, minlength=1 << len(part)))]))
+
+    @staticmethod
+    def codes(z: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (z[:, part] > 0) @ (1 << np.arange(len(part)))
+
+    def unit(self, at: np.ndarray | slice) -> np.ndarray:
+        return unit_rows(self.raw[at].astype("f8"))
+
+    def found_by(self, z: np.ndarray, limit: float) -> np.ndarray:
+        """All members that agree with any of these coordinates in a substring, up to flips within `limit`."""
+        found = np.zeros(len(self.raw), bool)
+        for part, (order, first) in zip(self.parts, self.tables, strict=True):
+            wanted = np.zeros(1 << len(part), bool)
+            wanted[probes(z[:, part], limit)[1]] = True
+            code = np.flatnonzero(wanted)
+            code = code[first[code] < first[code + 1]]
+            n = first[code + 1] - first[code]
+            found[order[np.repeat(first[code] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(found)
+
+
+def linked_in_block(x: Group, y: Group | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, number of links, root) of the vectors that have links between two groups, or in one if there is no other."""
+    own, y = y is None, x if y is None else y
+    base = 0 if own else len(x.node)
+    node, copies = (x.node, x.copies) if own else (np.r_[x.node, y.node], np.r_[x.copies, y.copies])
+    limit = (2 - 2 * cosine) / len(x.parts) * (1 + 1e-4) + 1e-9  # coordinates are rounded to single precision
+    low = cosine - 1e-6 - 2e-7 * x.raw.shape[1]
+    links, root, ends, held = np.zeros(len(node), np.int64), np.arange(len(node)), [], 0
+    for since in range(0, len(x.node), TILE):
+        tile = slice(since, since + TILE)
+        other = y.found_by(x.z[tile], limit)
+        if own:
+            other = other[other > since]
+        other = other[(x.single[tile] @ y.single[other].T >= low).any(0)]
+        link = x.unit(tile) @ y.unit(other).T >= cosine
+        mine = np.arange(since, since + len(link))
+        if own:
+            link &= mine[:, None] < other
+        some = link.any(0)
+        if not some.any():
+            continue
+        other, link = base + other[some], link[:, some]
+        links[mine] += link @ copies[other]
+        links[other] += copies[mine] @ link
+        # the tile's vectors that share a neighbour, and each neighbour with one of its own
+        near = link.astype("f4")
+        a, b = np.nonzero(near @ near.T)
+        ends += [(mine[a], mine[b]), (other, mine[link.argmax(0)])]
+        held += len(a) + len(other)
+        if held > EDGES:
+            root = local_roots(root, *map(np.concatenate, zip(*ends, strict=True)))
+            ends, held = [], 0
+    if ends:
+        root = local_roots(root, *map(np.concatenate, zip(*ends, strict=True)))
+    some = np.flatnonzero(links)
+    return node[some], links[some], node[root[some]]
+
+
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id (least id that links reach), kept (id = component_id)."""
     spark = vectors.sparkSession
     id_kind, label_kind = (vectors.schema[c].dataType.simpleString() for c in (id_col, label_col))
-    limit = (2 - 2 * cosine) / TABLES / 2
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind, width = ("f4", 4) if single else ("f8", 8)
 
     def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,11 +182,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
                 x = v.values.to_numpy(zero_copy_only=False).astype("f8") if v.is_valid else np.zeros(0)
                 with np.errstate(over="ignore"):
                     ok = len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf
-                out.append(x.tobytes() if ok else None)
+                out.append(x.astype(kind).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(out, pa.binary())], names=["id", "label", "v"])
 
     plain = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").alias("v"))
-    rows = table(plain.mapInArrow(usable, f"id {id_kind}, label {label_kind}, v binary").withColumn("h", F.when(F.col("v").isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull(), F.md5("v"))))
+    rows = plain.mapInArrow(usable, f"id {id_kind}, label {label_kind}, v binary").withColumn("h", F.when(F.col("v").isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull(), F.unhex(F.md5("v"))))
     classes = rows.filter("h is not null").groupBy("label", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = table(classes.withColumn("node", F.monotonically_increasing_id()))
     lengths = [r[0] for r in classes.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect()]
@@ -123,125 +197,35 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
         if share < 1:
             some = some.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
         got = some.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
-        models[n // 8] = Quantiser(unit_rows(np.array([np.frombuffer(r[0]) for r in got])))
-
-    def model(dim: int) -> Quantiser:
-        if dim not in models:
-            models[dim] = Quantiser(np.zeros((0, dim)))
-        return models[dim]
-
-    def by_length(cells: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = np.array([len(x) for x in cells])
-        for n in np.unique(size).tolist():
-            at = np.flatnonzero(size == n)
-            yield at, np.frombuffer(b"".join(cells[i] for i in at.tolist())).reshape(len(at), -1)
-
-    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z: list[bytes] = [b""] * b.num_rows
-            for at, x in by_length(b.column("v").to_pylist()):
-                for i, r in zip(at.tolist(), model(x.shape[1]).rotated(unit_rows(x)), strict=True):
-                    z[i] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label", "node", "copies", "v")), pa.array(z, pa.binary())], names=["label", "node", "copies", "v", "z"])
-
-    turned = table(classes.select("label", "node", "copies", "v").mapInArrow(rotate, f"label {label_kind}, node long, copies long, v binary, z binary"))
+        models[n // width] = Quantiser(unit_rows(np.array([np.frombuffer(r[0], kind) for r in got]).astype("f8")))
+
+    # labels of more than one group are few: a group fills SHARE
+    key = ["label", "n"]
+    sized = classes.withColumn("n", F.length("v"))
+    groups = sized.groupBy(*key).agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("groups"))
+    blocks = groups.agg(F.sum(F.col("groups") * (F.col("groups") + 1) / 2)).first()[0] or 0
+    dealt = sized.join(F.broadcast(groups.filter("groups > 1")), key, "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    block = [*key, F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, int(4 * blocks)), 1)
+    dealt = dealt.select(*block, (F.col("g") < F.col("o")).alias("first"), "node", "copies", "v").repartition(parts, *key, "i", "j")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        dim = rows.column("n")[0].as_py() // width
+        quantiser = models.get(dim) or Quantiser(np.zeros((0, dim)))
+        both = [part for part in (rows.filter(rows.column("first")), rows.filter(pc.invert(rows.column("first")))) if part.num_rows]
+        one_group = rows.column("i")[0] == rows.column("j")[0]
+        if rows.num_rows < 2 or not one_group and len(both) < 2:
+            out = np.zeros((3, 0), np.int64)
+        else:
+            x, *y = (Group(part, kind, quantiser) for part in both)
+            out = linked_in_block(x, y[0] if y else None, cosine)
+        return pa.Table.from_arrays([pa.array(c) for c in out], names=["a", "n", "b"])
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells, vs = b.column("z").to_pylist(), b.column("v").to_pylist()
-            for at, x in by_length(vs):
-                z = np.frombuffer(b"".join(cells[i] for i in at.tolist()), "f4").reshape(len(at), -1)
-                for t, part in enumerate(model(x.shape[1]).parts):
-                    row, code = probes(z[:, part], limit * (1 + 1e-9))
-                    row, code = np.r_[np.arange(len(z)), row], np.r_[code[: len(z)], code]
-                    take = pa.array(at[row])
-                    role = pa.array(np.arange(len(row)) >= len(z))
-                    kind = pa.array(np.full(len(row), x.shape[1] * TABLES + t, np.int32))
-                    yield pa.RecordBatch.from_arrays([b.column("label").take(take), kind, pa.array(code), role, b.column("node").take(take)], names=["label", "t", "code", "probe", "node"])
-
-    found = turned.select("label", "node", "v", "z").mapInArrow(entries, f"label {label_kind}, t int, code long, probe boolean, node long")
-    key = ["label", "t", "code"]
-    met = found.groupBy(*key).agg(F.count_if(~F.col("probe")).alias("nb"), F.count_if("probe").alias("np")).filter("nb >= 1 and np >= 2")
-    met = met.select(*key, F.ceil(F.col("nb") / BLOCK).cast("int").alias("jb"), F.ceil(F.col("np") / BLOCK).cast("int").alias("ib"))
-    placed = found.join(met, key)
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    placed = placed.withColumn("i", F.when(F.col("probe"), F.array(own("ib"))).otherwise(every("ib"))).withColumn("j", F.when(F.col("probe"), every("jb")).otherwise(F.array(own("jb"))))
-    placed = placed.select(*key, "probe", "node", F.explode("i").alias("i"), "j").select(*key, "probe", "node", "i", F.explode("j").alias("j"))
-    block = [*key, "i", "j"]
-    placed = placed.join(turned.select("node", "copies", "v", "z"), "node")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = placed.select(F.hash(*block).alias("k"), *block, "probe", "node", "copies", "v", "z").repartition(parts, *block).sortWithinPartitions("k", *block, "probe", "node")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            for at in range(0, b.num_rows, 1 << 12):
-                whole = pa.concat_batches([*held, b.slice(at, 1 << 12)])
-                edge = changes(whole)
-                yield from blocks(whole.slice(0, edge[-1]), edge[:-1])
-                held = [whole.slice(edge[-1])]
-        if held and held[0].num_rows:
-            edge = changes(held[0])
-            yield from blocks(held[0], edge)
-
-    def changes(b: pa.RecordBatch) -> list[int]:
-        """First rows of the blocks in a batch."""
-        new = np.zeros(b.num_rows, bool)
-        new[0] = True
-        for c in ("k", "t", "code", "i", "j"):
-            v = b.column(c).to_numpy(zero_copy_only=False)
-            new[1:] |= v[1:] != v[:-1]
-        label = b.column("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        new[1:] |= label[1:] != label[:-1]
-        return np.flatnonzero(new).tolist()
-
-    def blocks(b: pa.RecordBatch, edge: list[int]) -> Iterator[pa.RecordBatch]:
-        if not b.num_rows:
-            return
-        name, probe = b.column("node").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False)
-        copies, kind = b.column("copies").to_numpy(), b.column("t").to_numpy()
-        vs, zs = b.column("v").to_pylist(), b.column("z").to_pylist()
-        at, links, to = [], [], []
-        for x, y in zip(edge, [*edge[1:], b.num_rows], strict=True):
-            first = x + int(np.argmax(probe[x:y])) if probe[x:y].any() else y
-            if first in (x, y):
-                continue
-            v = unit_rows(np.frombuffer(b"".join(vs[x:y])).reshape(y - x, -1))
-            z = np.frombuffer(b"".join(zs[x:y]), "f4").reshape(y - x, -1)
-            q, r = np.nonzero(v[first - x :] @ v[: first - x].T >= cosine)
-            q += first - x
-            ok = name[x + q] != name[x + r]
-            q, r = q[ok], r[ok]
-            if not len(q):
-                continue
-            t = int(kind[x]) % TABLES
-            split = model(v.shape[1]).parts
-            mine, back = found_in(z[q][:, split[t]], z[r][:, split[t]], limit)
-            ok = mine & (~back | (name[x + q] < name[x + r]))
-            for u in range(t):
-                one, two = found_in(z[q][:, split[u]], z[r][:, split[u]], limit)
-                ok &= ~(one | two)
-            q, r = q[ok], r[ok]
-            if not len(q):
-                continue
-            # a vector stands in a block as a probe and as an entry: one node for both
-            same = np.unique(name[x:y], return_index=True, return_inverse=True)
-            node = same[2]
-            n = np.bincount(node[q], copies[x + r], len(same[0])) + np.bincount(node[r], copies[x + q], len(same[0]))
-            root = local_roots(len(same[0]), node[q], node[r])
-            some = np.flatnonzero(n)
-            at.append(x + same[1][some])
-            links.append(n[some])
-            to.append(x + same[1][root[some]])
-        if at:
-            at, to = np.concatenate(at), np.concatenate(to)
-            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(np.concatenate(links).astype(np.int64)), pa.array(name[to])], names=["a", "n", "b"])
-
-    linked = table(placed.mapInArrow(rerank, "a long, n long, b long"))
+    linked = table(dealt.groupBy(*key, "i", "j").applyInArrow(compare, "a long, n long, b long"))
     counts = linked.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     group = components(linked.select("a", "b")).withColumnRenamed("id", "node")
-    reps = classes.select("label", "h", "node", "id", "copies").join(counts, "node", "left").join(group, "node", "left")
+    reps = classes.select("label", "h", "node", "id", "copies").join(counts, "node", "left").join(group, "node", "left").filter("n is not null or copies > 1")
     reps = table(reps.select("label", "h", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.col("component").alias("group")))
     # groups are named by the number of a class: their least id is the component
     least = reps.filter("group is not null").groupBy("group").agg(F.min("id").alias("component"))

@@ -1,9 +1,11 @@
 """The corpus operators against brute force, libraries and edge cases."""
 
+import pathlib
 import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tokenizers import Tokenizer, models
 
 from tessera.llm import bpe, decontaminate, dedup, embed, license, lm, neardup, quality, repeats, rlz, skew, suffix, unigram
 from tessera.llm.graph import components
+from tessera.session import table, tables_dir
 from tests.llm import brute
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "ré", "st") for b in ("ta", "ro", "Ne", "xi", "pu")]
@@ -282,6 +285,47 @@ def test_vectors_with_repeated_ids(spark):
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 0, 4, True), (4, 1, 4, True), (9, 1, 1, False), (1, 1, 1, True)])
 
 
+def plain_links(rows: list[tuple]) -> dict:
+    """What the operator returns for (id, vector, label), by all pairs."""
+    u, lab = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & (lab[:, None] == lab[None, :]) & ~np.eye(len(u), dtype=bool)
+    root = brute.components([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(link), strict=True)])
+    return {r[0]: (int(n), root[r[0]], root[r[0]] == r[0]) for r, n in zip(rows, link.sum(1), strict=True)}
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_short_vectors(spark, dim):
+    """A code of fewer bits than tables has fewer substrings, so that a pair may differ more in each."""
+    r = np.random.default_rng(dim)
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(r.normal(size=(300, dim)))]
+    assert as_dict(embed.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == plain_links(rows)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_in_many_groups(spark, monkeypatch, kind):
+    """A label of several groups: near copies, chains and copies whose links go through blocks of other groups."""
+    monkeypatch.setattr(embed, "SHARE", 10_000)
+    r = np.random.default_rng(6)
+    step = np.cumsum(r.normal(size=(150, 12)) * 0.05, axis=0) + r.normal(size=12)
+    v = np.concatenate([step, r.normal(size=12) + r.normal(size=(200, 12)) * 0.03, r.normal(size=(200, 12))]).astype("f4")
+    rows = [(int(i), [float(x) for x in v[i]], int(i == 7)) for i in r.permutation(len(v))]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 60, 3)]
+    assert as_dict(embed.near_duplicate_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(5))) == plain_links(rows)
+
+
+def test_vectors_are_not_sent_for_each_code(spark):
+    """Vectors without near ones: what goes to disk is a few times the vectors, not hundreds of entries for each."""
+    root = pathlib.Path(str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0]))
+    folder = pathlib.Path(tables_dir(spark))
+    size = lambda: sum(p.stat().st_size for top in (root, folder) for p in top.rglob("*") if p.is_file())
+    x = np.random.default_rng(8).normal(size=(4000, 64)).astype("f4")
+    df = table(spark.createDataFrame(pd.DataFrame({"vec_id": range(4000), "embedding": x.tolist(), "label": [1] * 4000})).withColumn("embedding", F.col("embedding").cast("array<float>")))
+    before = size()
+    embed.near_duplicate_vectors(df).write.format("noop").mode("overwrite").save()
+    assert size() - before < 8 * x.nbytes
+
+
 # --- op7
 
 
