@@ -33,12 +33,15 @@ def overlap_slice(samples: Column, array_start: Column, frequency: float, start:
 def combine_events(rows: DataFrame, how: str, key: str = "segment", order: tuple[str, ...] = ("start", "event_id"), data: str = "data", trigger: str = "is_trigger") -> DataFrame:
     """(key, data): the arrays of a segment's events, in order, as one.
 
-    sum, average, first, last, middle (of n, the one at n // 2), trigger (the segment's own event), single (an error if there
-    are more), cat (one after another), stack (an array of arrays)."""
-    some = rows.filter(F.col(trigger)) if how == "trigger" else rows
-    g = some.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, data))).alias("all")).select(key, F.transform("all", lambda x: x[data]).alias("all"))
+    sum, average, first, last, middle (of n, the one at n // 2), trigger (the segment's own event; null where it is not among
+    them), single (an error if there are more), cat (one after another), stack (an array of arrays)."""
+    one = F.struct(*order, data)
+    taken = F.when(F.col(trigger), one) if how == "trigger" else one
+    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(taken)).alias("all")).select(key, F.transform("all", lambda x: x[data]).alias("all"))
     n, every = F.size("all"), F.col("all")
-    if how in ("first", "trigger"):
+    if how == "trigger":
+        out = F.get(every, 0)
+    elif how == "first":
         out = F.element_at(every, 1)
     elif how == "single":
         out = F.when(n > 1, F.raise_error(F.format_string("%d events in a segment that should have one", n)).cast(rows.schema[data].dataType)).otherwise(F.element_at(every, 1))

@@ -49,6 +49,12 @@ def test_event_modes_round_halves_as_sql_does(spark, tmp_path):
     assert same_as_sql(spark, events(tmp_path, rows), "t03_all_event_modes")
 
 
+def test_event_modes_of_a_purchase_that_is_not_among_its_own_events(spark, tmp_path):
+    """One without duration, inside another event, does not overlap itself: its trigger is null. One that overlaps nothing has no row."""
+    rows = "(1, '2024-01-02 10:00:00', 0, 'view', 5), (2, '2024-01-02 10:10:00', 0, 'purchase', 0), (3, '2024-01-02 10:20:00', 0, 'purchase', -1), (4, '2024-01-03 10:00:00', 0, 'purchase', 0), (5, '2024-01-04 10:00:00', 0, 'purchase', 7)"
+    assert same_as_sql(spark, events(tmp_path, rows), "t03_all_event_modes")
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_offsets_equal_all_pairs(seed):
     """Also where pairs are compared a few at once, and where a token has several times or no name."""
