@@ -7,7 +7,7 @@ code holds the signs of its rotated, centred coordinates.
 
 Blocks: the vectors of a label and length are dealt by hash into as many groups as their bytes need, each of about SHARE, and every two
 groups (and each with itself) meet in a block. A vector is sent once for each group of its label, never for the codes it looks up:
-those are some hundreds, and stay in the task.
+those are some hundreds, and stay in the task. Labels of less than a SMALL-th of a group share blocks, and the label is part of the code.
 
 Retrieval: in a block the code is cut into TABLES substrings, each with a table of one group. Two unit vectors with cosine >= c are
 at most 2 - 2c apart in squared distance, so in one substring at most a TABLES-th of it; bits that differ there must have
@@ -27,6 +27,7 @@ their own, each with its own links, whether their vectors are equal or not. An e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ from tessera.llm.graph import components
 from tessera.session import table
 
 TABLES, MOST_BITS, ROUNDS, LENGTHS = 4, 64, 30, 16
-SHARE, TILE, EDGES, MOST_PARTS = 1 << 24, 32, 1 << 20, 2000  # bytes of a group's vectors; vectors compared at once; edges held until they are contracted
+SHARE, SMALL, MOST_PARTS = 1 << 24, 64, 2000  # bytes of a group's vectors
+TILE, EDGES = 32, 1 << 20  # vectors compared at once; edges held until they are contracted
 
 
 class Quantiser:
@@ -96,37 +98,45 @@ def local_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """Vectors of one length in the order of their first substring, their rotated coordinates, and a table of codes for each substring."""
+    """Vectors of one length in the order of label and first substring, their rotated coordinates, and a table for each substring: members
+    by their cells, the cells, and where each begins. A cell is a label's number and a code."""
 
     def __init__(self, rows: pa.Table, kind: str, quantiser: Quantiser):
-        self.node, self.copies = (rows.column(c).to_numpy() for c in ("node", "copies"))
+        self.node, self.copies, self.label = (rows.column(c).to_numpy() for c in ("node", "copies", "label"))
         self.raw = np.frombuffer(b"".join(rows.column("v").to_pylist()), kind).reshape(rows.num_rows, -1)
         self.parts, self.tables = quantiser.parts, []
-        sort = np.argsort(self.codes(quantiser.rotated(unit_rows(self.raw.astype("f8"))), self.parts[0]), kind="stable")
-        self.node, self.copies, self.raw = self.node[sort], self.copies[sort], self.raw[sort]
+        sort = np.argsort(self.cells(quantiser.rotated(unit_rows(self.raw.astype("f8"))), self.parts[0]), kind="stable")
+        self.node, self.copies, self.label, self.raw = (x[sort] for x in (self.node, self.copies, self.label, self.raw))
+        self.labels = len(np.unique(self.label))
         unit = self.unit(slice(None))
         self.z, self.single = quantiser.rotated(unit), unit.astype("f4")
         for part in self.parts:
-            code = self.codes(self.z, part)
-            self.tables.append((np.argsort(code, kind="stable"), np.r_[0, np.cumsum(np.bincount(code, minlength=1 << len(part)))]))
+            cell = self.cells(self.z, part)
+            order = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1]])
+            self.tables.append((order, cell[order][first], np.r_[first, len(cell)]))
 
-    @staticmethod
-    def codes(z: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return (z[:, part] > 0) @ (1 << np.arange(len(part)))
+    def cells(self, z: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (self.label << len(part)) + (z[:, part] > 0) @ (1 << np.arange(len(part)))
 
     def unit(self, at: np.ndarray | slice) -> np.ndarray:
         return unit_rows(self.raw[at].astype("f8"))
 
-    def found_by(self, z: np.ndarray, limit: float) -> np.ndarray:
-        """All members that agree with any of these coordinates in a substring, up to flips within `limit`."""
+    def found_by(self, z: np.ndarray, label: np.ndarray, limit: float) -> np.ndarray:
+        """All members that agree with any of these vectors in the label and a substring, up to flips within `limit`."""
         found = np.zeros(len(self.raw), bool)
-        for part, (order, first) in zip(self.parts, self.tables, strict=True):
-            wanted = np.zeros(1 << len(part), bool)
-            wanted[probes(z[:, part], limit)[1]] = True
-            code = np.flatnonzero(wanted)
-            code = code[first[code] < first[code + 1]]
-            n = first[code + 1] - first[code]
-            found[order[np.repeat(first[code] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        for part, (order, cells, first) in zip(self.parts, self.tables, strict=True):
+            row, code = probes(z[:, part], limit)
+            if self.labels == 1:
+                wanted = np.zeros(1 << len(part), bool)
+                wanted[code[label[row] == self.label[0]]] = True
+                at = np.flatnonzero(wanted[cells & ((1 << len(part)) - 1)])
+            else:
+                code += label[row] << len(part)
+                at = np.minimum(np.searchsorted(cells, code), len(cells) - 1)
+                at = np.unique(at[cells[at] == code])
+            n = first[at + 1] - first[at]
+            found[order[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
         return np.flatnonzero(found)
 
 
@@ -140,11 +150,11 @@ def linked_in_block(x: Group, y: Group | None, cosine: float) -> tuple[np.ndarra
     links, root, ends, held = np.zeros(len(node), np.int64), np.arange(len(node)), [], 0
     for since in range(0, len(x.node), TILE):
         tile = slice(since, since + TILE)
-        other = y.found_by(x.z[tile], limit)
+        other = y.found_by(x.z[tile], x.label[tile], limit)
         if own:
             other = other[other > since]
         other = other[(x.single[tile] @ y.single[other].T >= low).any(0)]
-        link = x.unit(tile) @ y.unit(other).T >= cosine
+        link = (x.unit(tile) @ y.unit(other).T >= cosine) & (x.label[tile, None] == y.label[other])
         mine = np.arange(since, since + len(link))
         if own:
             link &= mine[:, None] < other
@@ -199,20 +209,27 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
         got = some.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
         models[n // width] = Quantiser(unit_rows(np.array([np.frombuffer(r[0], kind) for r in got]).astype("f8")))
 
-    # labels of more than one group are few: a group fills SHARE
-    key = ["label", "n"]
+    # large labels are few: each has more than a SMALL-th of a group
     sized = classes.withColumn("n", F.length("v"))
-    groups = sized.groupBy(*key).agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("groups"))
-    blocks = groups.agg(F.sum(F.col("groups") * (F.col("groups") + 1) / 2)).first()[0] or 0
-    dealt = sized.join(F.broadcast(groups.filter("groups > 1")), key, "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    sizes = sized.groupBy("label", "n").agg(F.sum("n").alias("bytes"))
+    large = F.col("bytes") * SMALL > SHARE
+    groups = F.ceil(F.col("bytes") / SHARE).cast("int")
+    blocks, rest = sizes.agg(F.sum(F.when(large, groups * (groups + 1) / 2)), F.sum(F.when(~large, F.col("bytes")))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shared = max(4 * parts, math.ceil((rest or 0) / SHARE))
+    dealt = sized.join(F.broadcast(sizes.filter(large).select("label", "n", groups.alias("groups"))), ["label", "n"], "left")
+    hashed = F.xxhash64("label")
+    dealt = dealt.withColumn("of", F.when(F.col("groups").isNull(), F.pmod(hashed, F.lit(shared))).otherwise(hashed)).withColumn("groups", F.coalesce("groups", F.lit(1)))
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    block = [*key, F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j")]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, int(4 * blocks)), 1)
-    dealt = dealt.select(*block, (F.col("g") < F.col("o")).alias("first"), "node", "copies", "v").repartition(parts, *key, "i", "j")
+    dealt = dealt.select("n", "of", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), (F.col("g") < F.col("o")).alias("first"), "label", "node", "copies", "v")
+    block = ["n", "of", "i", "j"]
+    dealt = dealt.repartition(max(parts, min(MOST_PARTS, int(4 * (blocks or 0)) + (shared if rest else 0))), *block)
 
     def compare(rows: pa.Table) -> pa.Table:
         dim = rows.column("n")[0].as_py() // width
         quantiser = models.get(dim) or Quantiser(np.zeros((0, dim)))
+        number = rows.column("label").combine_chunks().dictionary_encode().indices.cast(pa.int64())
+        rows = rows.set_column(rows.column_names.index("label"), "label", number)
         both = [part for part in (rows.filter(rows.column("first")), rows.filter(pc.invert(rows.column("first")))) if part.num_rows]
         one_group = rows.column("i")[0] == rows.column("j")[0]
         if rows.num_rows < 2 or not one_group and len(both) < 2:
@@ -222,7 +239,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
             out = linked_in_block(x, y[0] if y else None, cosine)
         return pa.Table.from_arrays([pa.array(c) for c in out], names=["a", "n", "b"])
 
-    linked = table(dealt.groupBy(*key, "i", "j").applyInArrow(compare, "a long, n long, b long"))
+    linked = table(dealt.groupBy(*block).applyInArrow(compare, "a long, n long, b long"))
     counts = linked.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     group = components(linked.select("a", "b")).withColumnRenamed("id", "node")
     reps = classes.select("label", "h", "node", "id", "copies").join(counts, "node", "left").join(group, "node", "left").filter("n is not null or copies > 1")

@@ -314,6 +314,15 @@ def test_vectors_in_many_groups(spark, monkeypatch, kind):
     assert as_dict(embed.near_duplicate_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(5))) == plain_links(rows)
 
 
+def test_vectors_of_small_labels_share_blocks(spark, monkeypatch):
+    """Small labels beside one of several groups: near vectors of different labels do not link."""
+    monkeypatch.setattr(embed, "SHARE", 10_000)
+    r = np.random.default_rng(9)
+    base = r.normal(size=(30, 12))
+    rows = [(i, [float(x) for x in base[r.integers(30)] + r.normal(size=12) * 0.05], "many" if i % 3 else str(r.integers(120))) for i in range(900)]
+    assert as_dict(embed.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(5))) == plain_links([(i, np.array(v, "f4").astype("f8"), label) for i, v, label in rows])
+
+
 def test_vectors_are_not_sent_for_each_code(spark):
     """Vectors without near ones: what goes to disk is a few times the vectors, not hundreds of entries for each."""
     root = pathlib.Path(str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0]))
